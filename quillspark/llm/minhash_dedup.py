@@ -1,9 +1,9 @@
 """Near-duplicate groups by MinHash with tensored banding and exact verification.
 
-Two collections of HALVES short MinHash bands are computed for each document. A table key is a pair, one band of each
-collection, so HALVES ** 2 tables need only 2 * HALVES bands: 48 MinHash values stand for 64 tables of 6 rows, where
+Two collections of `halves` short MinHash bands are computed for each document. A table key is a pair, one band of each
+collection, so halves ** 2 tables need only 2 * halves bands: 48 MinHash values stand for 64 tables of 6 rows, where
 plain banding would compute 384. A pair with Jaccard similarity s shares a table with probability
-(1 - (1 - s ** ROWS) ** HALVES) ** 2, which is 0.999 at 0.85 and 0.997 at 0.8 with the smaller band of two rows there.
+(1 - (1 - s ** rows) ** halves) ** 2: 0.999 at 0.85 with eight bands of three rows, and at 0.8 with eight of two.
 
 Documents with the same shingle set are one text and are collapsed first. Texts that share a table key, directly or
 through others, form a candidate cluster. Inside a cluster every pair is decided on the full sets by whichever task
@@ -143,7 +143,7 @@ def _resolve(per_cent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves: int = 8, rows: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves: int = 8, rows: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each distinct doc_id of docs(doc_id, text, ...).
 
     Texts are linked when 100 * intersection >= per_cent * union of their sets of `words`-word shingles (A-Z lowered,
@@ -190,3 +190,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves:
     one = placed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     nameless = signed.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return one.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs whose document is kept by near_duplicates(), one for each doc_id; rows without doc_id stay."""
+    groups_of = near_duplicates(docs, **parameters)
+    gone = cut(groups_of.filter("NOT kept").select(F.col("doc_id").alias("_gone")))
+    kept = docs.join(bounded_broadcast(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    many = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_many")))
+    n = many.count()
+    if not n:
+        return kept
+    repeated = F.col("doc_id") == F.col("_many")
+    return kept.join(bounded_broadcast(many, n), repeated, "left_anti").unionByName(kept.join(bounded_broadcast(many, n), repeated, "left_semi").dropDuplicates(["doc_id"]))

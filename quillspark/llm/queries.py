@@ -5,17 +5,85 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import frames
+from quillspark.llm.decontaminate import leaks
+from quillspark.llm.line_dedup import dedup_lines
 from quillspark.llm.minhash_dedup import near_duplicates
+from quillspark.llm.packing import pack, tokenize_pieces
+from quillspark.llm.quality import QualityModel, score_quality, train_quality
+
+#: Least probability of quality 1 that a document is kept with.
+QUALITY_THRESHOLD = 0.3
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> QualityModel:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return train_quality(docs, labels.filter(~held_out()))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(frames.documents(spark, sf_dir), words=3, per_cent=85)
+    return near_duplicates(frames.documents(spark, sf_dir), words=3, per_cent=85, halves=8, rows=3)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = tokenize_pieces(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(frames.cut(pieces))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(frames.documents(spark, sf_dir))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(frames.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frames.documents(spark, sf_dir)
+    scored = score_quality(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dedup_lines(frames.documents(spark, sf_dir))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_decontamination": op5_decontamination,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, i, parts[i] AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d,
+       LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) r
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), frequent AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (WHERE keeper IS NOT NULL AND doc_id < keeper) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR doc_id >= keeper), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent USING (key) GROUP BY doc_id
+""",
+}

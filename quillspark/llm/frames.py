@@ -6,14 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.workers import ship_package
+
 #: Rows of an Arrow batch sent to Python. Texts can be long, so batches are short: memory stays bounded.
 ARROW_ROWS = "256"
 #: A side of a join is broadcast only when a count shows it has at most so many rows (of two or three longs each).
@@ -24,22 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_shipped: set[str] = set()
-
-
 def python_workers(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, and send this package to the executors, where it may not be installed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="quillspark-code-")
-        atexit.register(shutil.rmtree, folder, True)
-        with zipfile.ZipFile(archive := f"{folder}/quillspark_code.zip", "w") as z:
-            for source in sorted(package.rglob("*.py")):
-                z.write(source, source.relative_to(package.parent))
-        sc.addPyFile(archive)
-        _shipped.add(sc.applicationId)
+    ship_package(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -15,8 +15,6 @@ from quillspark.functions.text import tokens
 from quillspark.functions.workers import ship_package
 
 K1, B = 1.2, 0.75
-#: Query terms are broadcast up to so many rows; beyond, the join shuffles.
-BROADCAST_TERMS = 500_000
 
 # What a query that holds one of the keys is extended with.
 ALIASES: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = (
@@ -71,9 +69,9 @@ def build_index(docs: DataFrame, key: str, fields: list[str], analyse=tokens) ->
     return TextIndex(postings, stats)
 
 
-def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
-    """(query_id, term, times) of queries."""
-    return queries.select(F.col(key).alias("query_id"), F.explode(tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+def query_terms(queries: DataFrame, key: str, text: str, analyse=tokens) -> DataFrame:
+    """(query_id, term, times) of queries; the analyser is that of the index."""
+    return queries.select(F.col(key).alias("query_id"), F.explode(analyse(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
 def bm25(index: TextIndex, terms: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:

@@ -70,6 +70,12 @@ def failed_report(rows: DataFrame, title: str = "title", url: str = "url") -> Da
     return rows.select(no.alias("no"), F.format_string('<li>%d. <a href="%s">%s</a></li>', no, F.col(url), F.replace(F.col(title), F.lit("<"), F.lit("&lt;"))).alias("item"))
 
 
+def indicators(text: Column | str, words: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """Flags of a page by name: whether its text holds any of the flag's words, without case. Give them to withColumns()."""
+    low = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return {name: F.exists(F.array(*[F.lit(w.lower()) for w in own]), lambda w: F.contains(low, w)) for name, own in words.items()}
+
+
 def excerpts(chunks: DataFrame, terms: tuple[str, ...] = ("introduction", "conclusion", "discussion", "summary", "results", "contribution"), heads: int = 2, budget: int = 6000) -> DataFrame:
     """(paper_id, chunk_id, pick, text): the first chunks of each paper(paper_id, idx, section, text), then for each term the
     first chunk of a section that holds it and has not been picked from; cut to a budget of characters in all.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as tx
 from quillspark.operators import chunking, citations, fusion, layout, lexical, matching, records, taxonomy, vectors
 from quillspark.plans import views as v
+from quillspark.plans.engine import Corpus
 from quillspark.plans.views import BLOCKS, LINES, P, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +207,16 @@ def embed_passages(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.size("embedding").cast("long").alias("dimensions"), F.round(tx.l2_norm("embedding"), 3).alias("norm"))
 
 
+@query()
+def search_tool(spark: SparkSession, d: str) -> DataFrame:
+    """The search tool for all benchmark texts at once: words and hashed vectors fused, at most two hits a paper."""
+    embedder = vectors.hashing_embedder(64)
+    papers = v.papers(spark, d).withColumns({"n_pages": F.lit(1), "md": F.col("text")})
+    corpus = Corpus(papers, vectors.embed(v.chunks(spark, d), "text", embedder), _graph(spark, d), embedder)
+    queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return corpus.search_all(queries).select("query_id", "position", "chunk_id", F.round("score", 6).alias("score"), F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
+
+
 # --- catalogue tools ----------------------------------------------------------------------------------------------
 
 
@@ -378,6 +389,13 @@ def heading_detect(spark: SparkSession, d: str) -> DataFrame:
     return layout.with_headings(v.blocks(spark, d)).select("paper_id", F.col("ord").cast("long").alias("ord"), "is_heading")
 
 
+@query()
+def abstracts(spark: SparkSession, d: str) -> DataFrame:
+    """Abstracts of layout blocks, under the heading that opens each paper's second section."""
+    found = layout.sections(v.blocks(spark, d)).withColumn("heading", F.when(F.col("section_no") == 1, F.lit("Abstract")).otherwise(F.col("heading")))
+    return layout.abstracts(found)
+
+
 @query(_HEADING_SQL + r""", g AS (SELECT *, sum(CAST(is_heading AS INT)) OVER (PARTITION BY paper_id ORDER BY ord) AS section_no FROM h),
 j AS (SELECT paper_id, section_no, coalesce(max(text) FILTER (WHERE is_heading), '') AS heading, coalesce(string_agg(text, ' ' ORDER BY ord) FILTER (WHERE NOT is_heading), '') AS raw FROM g GROUP BY paper_id, section_no),
 c AS (SELECT paper_id, section_no, heading, trim(regexp_replace(replace(raw, chr(173), ''), '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS body FROM j)

@@ -250,6 +250,11 @@ def test_upsert_and_changes(spark):
     assert html == [(1, '<li>1. <a href="u1">A</a></li>'), (2, '<li>2. <a href="u2">B&lt;</a></li>')]
 
 
+def test_indicators(spark):
+    pages = spark.createDataFrame([("Please SIGN in",), (None,)], "html string")
+    assert values(pages.withColumns(records.indicators("html", {"login": ("sign in", "log in"), "robot": ("captcha",)})), "login", "robot") == [(True, False), (False, False)]
+
+
 def test_excerpts(spark):
     sections = ["Intro", "Intro", "Summary and conclusion", "Discussion", "Results", "Results"]
     rows = [("p", f"p::{k}", k, s, "x" * 1500) for k, s in enumerate(sections)]

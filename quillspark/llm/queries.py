@@ -136,6 +136,19 @@ WITH parsed AS (
 )
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parsed p LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON f.page_id = p.page_id
+""",
+    # A turn adds 14 characters and its role; escapes add one for each backslash, turn end and # before two others.
+    "op9_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(14 + length(role) + 2 * length(text) - length(replace(text, '\', '')) + len(string_split(text, '</turn>')) - 1
+                + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
 """,
     "op10_line_dedup": """
 WITH lines AS (

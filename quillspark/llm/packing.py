@@ -10,12 +10,12 @@ shuffles one narrow row a piece, salted so that one very common length is spread
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,17 +25,81 @@ from quillspark.llm.frames import python_workers
 #: Entries of a Python worker's memory of encoded words.
 REMEMBERED = 500_000
 #: Characters for which the library's normaliser and pre-tokeniser are a plain lower-casing and splitting.
-_PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~¡-¬®-įı-ſ‐-‧]*+")
+_PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~¡-¬®-įı-ſ‐-‧]*")
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+|\n")
+
+
+class BatchMerges:
+    """Byte-pair merges of many words at once: in every round, each word merges its leftmost pair of the least rank."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list, suffix: str):
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        names = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(plain))}
+        self.inner = np.array([vocabulary[names[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocabulary[names[b] + suffix] for b in range(256)], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        keys = np.array([vocabulary[x] << 20 | vocabulary[y] for x, y in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.made = np.array([vocabulary[x + y] for x, y in pairs], np.int64)
+        self.never = len(pairs)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.never)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word; no word is empty."""
+        raw = [w.encode() for w in words]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(r) for r in raw])
+        symbol = self.inner[data]
+        symbol[ends - 1] = self.last[data[ends - 1]]
+        word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+        rank = np.full(len(symbol), self.never)  # of a symbol with the next
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        rank[inside] = self._rank(symbol[inside], symbol[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(rank, first)
+            sizes = np.diff(first, append=len(symbol))
+            ready = np.repeat(least == self.never, sizes)
+            if ready.any():
+                done.append((word[ready], symbol[ready]))
+                symbol, word, rank = symbol[~ready], word[~ready], rank[~ready]
+                going = least < self.never
+                least, sizes = least[going], sizes[going]
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, sizes))
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
+            symbol[at] = self.made[rank[at]]
+            rest = np.ones(len(symbol), bool)
+            rest[at + 1] = False
+            at = at - np.arange(len(at))  # places once the merged symbols are gone
+            symbol, word, rank = symbol[rest], word[rest], rank[rest]
+            before = at[(at > 0) & (word[at - 1] == word[at])] - 1
+            after = at[at + 1 < len(word)]
+            after = after[word[after] == word[after + 1]]
+            rank[at] = self.never
+            for k in (before, after):
+                rank[k] = self._rank(symbol[k], symbol[k + 1])
+        owner = np.concatenate([w for w, _ in done]) if done else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        ids = np.concatenate([x for _, x in done])[order].astype("<u4").tobytes() if done else b""
+        cuts = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        return [ids[x:y] for x, y in zip([0, *cuts], cuts)]
 
 
 class WordTokenizer:
     """Ids of whole texts by a BPE tokeniser that drops white space, with a memory of encoded words.
 
-    White-space-separated chunks are encoded once and remembered. Texts with characters outside common Latin, and any
-    text that may hold a special token, are left to the library as a whole; so are all texts if the file's normaliser
-    or pre-tokeniser is not the known one.
+    White-space-separated chunks are encoded once and remembered, new words of a batch all at once. Texts with
+    characters outside common Latin, and any text that may hold a special token, are left to the library as a whole;
+    so are all texts if the file's normaliser, pre-tokeniser or model is not of the known kind.
     """
 
     def __init__(self, source: str):
@@ -48,22 +112,33 @@ class WordTokenizer:
         own = json.loads(source)
         parts = (own.get("pre_tokenizer") or {}).get("pretokenizers", [])
         steps = [x["type"] for x in (own.get("normalizer") or {}).get("normalizers", [])]
-        self.known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"]
+        model = own["model"]
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and model["type"] == "BPE" and bool(model["end_of_word_suffix"]) and not model["dropout"] and not model.get("ignore_merges")
         self.special = tuple(x["content"] for x in own.get("added_tokens", []))
         if self.known:
-            self.bare = Tokenizer.from_str(json.dumps(own | {"normalizer": None, "pre_tokenizer": parts[1], "added_tokens": []}))
+            self.merges = BatchMerges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
-        split = {c: _SPLIT.findall(c) for c in new}
+        if not new:
+            return
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        fresh = list(set(chain.from_iterable(split.values())) - self.words.keys())
-        for word, e in zip(fresh, self.bare.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(e.ids, "<u4").tobytes()
-        for c, parts in split.items():
-            self.chunks[c] = b"".join([self.words[x] for x in parts])
+        listed = list(new)
+        parts = _SPLIT.findall("\n".join(listed))
+        fresh = list(set(parts) - self.words.keys() - {"\n"})
+        for a in range(0, len(fresh), 50_000):
+            self.words.update(zip(fresh[a : a + 50_000], self.merges(fresh[a : a + 50_000]), strict=True))
+        # The ids of all chunks in one string, cut at the line feeds between them.
+        self.words["\n"] = b"\xff\xff\xff\xff"
+        joined = np.frombuffer(b"".join(map(self.words.__getitem__, parts)), "<u4")
+        cuts = (4 * np.append(np.flatnonzero(joined == 0xFFFFFFFF), len(joined))).tolist()
+        whole = joined.tobytes()
+        start = 0
+        for chunk, cut in zip(listed, cuts, strict=True):
+            self.chunks[chunk] = whole[start:cut]
+            start = cut + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import l2_distance, l2_normalize
+from quillspark.functions.text import l2_normalize
 from quillspark.functions.workers import ship_package
 
 #: Most query vectors that are sent to every task at once; larger query tables are answered in blocks.
@@ -81,11 +81,12 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
 
 
 def related(groups: DataFrame, group: str, k: int) -> DataFrame:
-    """(source, group, similarity, rank): the k groups with the nearest centroids to each group's, itself excluded."""
-    a, b = groups.select(F.col(group).alias("source"), F.col("embedding").alias("own")), groups
-    pairs = F.broadcast(a).join(b, F.col("source") != F.col(group)).withColumn("distance", l2_distance("own", "embedding"))
-    order = Window.partitionBy("source").orderBy(F.round("distance", 9), group)
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("source", group, (1 - F.col("distance") / 2).alias("similarity"), "rank")
+    """(source, group, similarity, rank): the k groups with the nearest centroids to each group's, itself excluded; by knn(), in blocks of groups."""
+    number = F.col(group).cast("long") if dict(groups.dtypes)[group] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(group)
+    own = groups.select(number.alias("id"), group, "embedding")
+    near = knn(own.select(F.col("id").alias("query_id"), "embedding"), own, k, drop_self=True)
+    named = near.join(own.select("id", group), "id").join(own.select(F.col("id").alias("query_id"), F.col(group).alias("source")), "query_id")
+    return named.select("source", group, "similarity", "rank")
 
 
 def passage_text(title: str = "title", section: str = "section", text: str = "text"):

@@ -17,7 +17,7 @@ from quillspark.llm.frames import bounded_broadcast, cut
 SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bitmaps are broadcast to the texts only if there are at most so many runs in all (16 bytes each, and 50 a document).
-BROADCAST_RUNS = 2_000_000
+BROADCAST_RUNS = 1_000_000
 
 
 def _lines(text: str = "text") -> Column:

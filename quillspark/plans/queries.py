@@ -358,12 +358,12 @@ def catalog_entries(spark: SparkSession, d: str) -> DataFrame:
 
 # --- layout, sections, chunks -------------------------------------------------------------------------------------
 
-_RECURRING_SQL = f"""WITH l AS (SELECT source AS doc, doc_id % 6 AS page, substr(unnest(string_split(text, chr(10))), 1, 3) AS text FROM documents), p AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY doc),
+_RECURRING_SQL = f"""WITH l AS (SELECT source AS doc, doc_id % 7 AS page, substr(unnest(string_split(text, chr(10))), 1, 3) AS text FROM documents), p AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY doc),
 r AS (SELECT l.doc, l.text, count(DISTINCT page) AS n_pages FROM l JOIN p USING (doc) WHERE pages >= 4 AND length(trim(text)) BETWEEN 3 AND 120 AND NOT ends_with(trim(text), '.') GROUP BY l.doc, l.text, pages HAVING count(DISTINCT page) >= greatest(3, floor(pages * 0.4)))"""
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("source").alias("doc"), (F.col("doc_id") % 6).alias("page"), F.explode(F.split("text", "\n", -1)).alias("line")).select("doc", "page", F.substring("line", 1, 3).alias("text"))
+    return read(spark, d, "documents").select(F.col("source").alias("doc"), (F.col("doc_id") % 7).alias("page"), F.explode(F.split("text", "\n", -1)).alias("line")).select("doc", "page", F.substring("line", 1, 3).alias("text"))
 
 
 @query(_RECURRING_SQL + " SELECT doc, text, CAST(n_pages AS BIGINT) AS n_pages FROM r")

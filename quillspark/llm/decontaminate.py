@@ -21,10 +21,13 @@ _BREAK = "\x02"
 
 
 def _windows(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, at, h, slots): the windows of `size` template words of each text; of all words if there are fewer."""
+    """(key, row, at, h, slots): the windows of `size` template words of each text; of all words if there are fewer.
+
+    `row` tells texts of the same key apart.
+    """
     # Letters and digits of any script make words. A capital after a sentence end or at the start tells nothing.
     raw = F.split(F.coalesce(F.col("text"), F.lit("")), r"[\s]+", -1)
-    rows = rows.select(F.col(key), F.filter(raw, lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("raw"))
+    rows = rows.select(F.col(key), F.xxhash64("text").alias("row"), F.filter(raw, lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("raw"))
 
     def template(x: Column, i: Column) -> Column:
         previous = F.get("raw", i - 1)
@@ -47,7 +50,27 @@ def _windows(rows: DataFrame, key: str, size: int) -> DataFrame:
 
     count = F.greatest(F.size("word") - (size - 1), F.least(F.size("word"), F.lit(1)))
     starts = F.slice("word", 1, count)
-    return rows.select(key, F.explode(F.transform(starts, window)).alias("w")).select(key, "w.at", "w.h", "w.slots")
+    return rows.select(key, "row", F.explode(F.transform(starts, window)).alias("w")).select(key, "row", "w.at", "w.h", "w.slots")
+
+
+def _runs(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, run, w, own, slots): one place for each found window of the item, for each run of hits.
+
+    A run gathers around one distance between the places in the document and in the item; of several hits of a window
+    the nearest to that distance counts. Texts with added or missing words drift by up to half the item. The null run
+    is the document as a whole, for items whose parts stand apart.
+    """
+    pair = ["doc_id", "item_id"]
+    texts = [*pair, "doc_row", "item_row"]
+    hits = hits.withColumns({"shift": F.col("at") - F.col("place"), "bucket": F.floor((F.col("at") - F.col("place")) / (F.col("slack") + 1))})
+    around = F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)])).alias("bucket")
+    anchors = hits.select(*texts, "bucket", F.col("shift").alias("anchor")).distinct().select(*texts, "anchor", around)
+    off = F.abs(F.col("shift") - F.col("anchor"))
+    near = hits.join(anchors, [*texts, "bucket"]).filter(off <= F.col("slack"))
+    near = near.groupBy(*texts, "anchor", "place").agg(F.min(F.struct(off.alias("off"), "at", "w", "own", "slots")).alias("best"))
+    near = near.select(*pair, F.struct("doc_row", "item_row", "anchor").alias("run"), "best.w", "best.own", "best.slots")
+    whole = hits.groupBy(*pair, "w").agg(F.min("own").alias("own"), F.min("slots").alias("slots"))
+    return near.unionByName(whole.withColumn("run", F.lit(None).cast(near.schema["run"].dataType)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8, agreement: float = 0.8) -> DataFrame:
@@ -55,7 +78,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
 
     A document leaks an item if it holds at least `share` of the item's distinct windows of `size` template words. Of
     the slots of the matched windows, at least `agreement` must follow the item's most frequent replacement of their
-    value (slot_agreement is 1 without slots). Windows in which less than half of the words are literal match nothing.
+    value (slot_agreement is 1 without slots). Both are asked of each place where the item may stand, and of the
+    document as a whole; the figures are those of the best. Windows in which less than half of the words are literal
+    match nothing.
 
     Words are separated by white space, without case and without punctuation at their ends. Null or wordless texts,
     rows without doc_id or item_id, and empty tables give nothing; rows that repeat an id are one text together.
@@ -64,20 +89,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     items = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = _windows(items, "item_id", size).filter(F.coalesce(F.size(F.split("slots", _BREAK)), F.lit(0)) * 2 <= size)
-    wanted = cut(wanted.groupBy("item_id", "h").agg(F.min(F.coalesce("slots", F.lit(""))).alias("own")))
-    totals = wanted.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    wanted = cut(wanted.select("item_id", F.col("row").alias("item_row"), F.col("at").alias("place"), F.col("h").alias("w"), "h", F.coalesce("slots", F.lit("")).alias("own")))
+    totals = wanted.groupBy("item_id").agg(F.countDistinct("w").alias("n_windows"), F.floor((F.max("place") + size) / 2).alias("slack"))
     n = wanted.count()
-    hits = _windows(texts, "doc_id", size).join(bounded_broadcast(wanted, n), "h")
-    hits = hits.groupBy("doc_id", "item_id", "h").agg(F.first("own").alias("own"), F.min("slots").alias("slots"))
-    found = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"), F.array_compact(F.collect_list(F.when(F.col("own") != "", F.struct("own", "slots")))).alias("pairs"))
-    found = cut(found.join(bounded_broadcast(totals, n), "item_id").filter(F.col("n_found") >= share * F.col("n_windows")))
-    pair = found.select("doc_id", "item_id", F.explode("pairs").alias("p")).select("doc_id", "item_id", F.explode(F.arrays_zip(F.split("p.own", _BREAK).alias("own"), F.split("p.slots", _BREAK).alias("new"))).alias("z"))
-    same = pair.groupBy("doc_id", "item_id", "z.own", "z.new").agg(F.count("*").alias("n"))
-    same = same.groupBy("doc_id", "item_id", "own").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    same = same.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_slots"), (F.sum("most") / F.sum("n")).alias("slot_agreement"))
-    out = found.drop("pairs").join(same, ["doc_id", "item_id"], "left")
-    out = out.select("doc_id", "item_id", "n_windows", "n_found", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
-    return out.filter(F.col("slot_agreement") >= agreement)
+    hits = cut(_windows(texts, "doc_id", size).withColumnRenamed("row", "doc_row").join(bounded_broadcast(wanted, n), "h").drop("h"))
+    pair, enough = ["doc_id", "item_id"], F.col("n_found") >= share * F.col("n_windows")
+    found = hits.groupBy(*pair).agg(F.countDistinct("w").alias("n_found")).join(bounded_broadcast(totals, n), "item_id").filter(enough).drop("n_found")
+    runs = cut(_runs(hits.join(found, pair)))
+    found = runs.groupBy(*pair, "run").agg(F.countDistinct("w").alias("n_found")).join(bounded_broadcast(totals, n), "item_id").filter(enough)
+    values = runs.filter("own != ''").select(*pair, "run", F.explode(F.arrays_zip(F.split("own", _BREAK).alias("own"), F.split("slots", _BREAK).alias("new"))).alias("z"))
+    same = values.groupBy(*pair, "run", "z.own", "z.new").agg(F.count("*").alias("n"))
+    same = same.groupBy(*pair, "run", "own").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    same = same.groupBy(*pair, "run").agg(F.sum("n").alias("n_slots"), (F.sum("most") / F.sum("n")).alias("slot_agreement"))
+    same = same.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("run").alias("r"), "n_slots", "slot_agreement")
+    out = found.join(same, (F.col("doc_id") == F.col("d")) & (F.col("item_id") == F.col("i")) & F.col("run").eqNullSafe(F.col("r")), "left")
+    out = out.select(*pair, "n_windows", "n_found", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
+    out = out.filter(F.col("slot_agreement") >= agreement)
+    best = out.groupBy(*pair).agg(F.max(F.struct("n_found", "slot_agreement", "n_slots", "n_windows")).alias("b"))
+    return best.select(*pair, "b.n_windows", "b.n_found", "b.n_slots", "b.slot_agreement")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

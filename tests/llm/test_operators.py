@@ -250,6 +250,29 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, []), bench).collect() == [] and decontaminate.leaks(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_leaks_of_several_versions(spark):
+    item = "If {} has {} apples and gives {} apples to {} then how many apples does {} keep after {} days in total when {} returns {} of them"
+    r = random.Random(2)
+
+    def version():
+        a, b = r.sample(["Anna", "Ben", "Carla", "Dora", "Emil", "Fred", "Gina"], 2)
+        x = r.sample(range(10, 99), 4)
+        return item.format(a, x[0], x[1], b, a, x[2], b, x[3])
+
+    bench = spark.createDataFrame([(1, version())], "item_id long, text string")
+    rows = [(k, " ".join(f"{version()}, {' '.join(words(k % 3 * 9, k))}" for _ in range(2 + k % 4))) for k in range(24)]
+    halves = version().split(" then ")
+    rows += [(100, halves[0] + " then how many apples " + " ".join(words(200, 5)) + " apples to Xeno then " + halves[1])]  # its parts stand apart
+    rows += [(101, version().replace(" keep ", " still keep "))]
+    got = {x.doc_id: x for x in decontaminate.leaks(docs(spark, rows), bench, share=0.75).collect()}
+    assert set(got) == {*range(24), 100, 101}
+    assert all(got[k].slot_agreement == 1.0 and got[k].n_found == got[k].n_windows for k in range(24))
+    # Parts of different versions are no consistent version.
+    a, b = version().split(), version().split()
+    mixed = " ".join(x if k % 2 else y for k, (x, y) in enumerate(zip(a, b, strict=True)))
+    assert decontaminate.leaks(docs(spark, [(1, mixed)]), bench, agreement=1.0).collect() == []
+
+
 # --- fingerprints -------------------------------------------------------------------------------------------------
 
 

@@ -20,10 +20,11 @@ _SLOT = "\x01"
 _BREAK = "\x02"
 
 
-def _windows(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, row, at, h, slots): the windows of `size` template words of each text; of all words if there are fewer.
+def _windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
+    """(key, row, at, size, h, slots, literal): the windows of `sizes` template words of each text.
 
-    `row` tells texts of the same key apart.
+    `row` tells texts of the same key apart. With `whole`, a text of fewer words than the largest size is one shorter
+    window. Else windows of one word are taken from texts of one word only.
     """
     # Letters and digits of any script make words. A capital after a sentence end or at the start tells nothing.
     raw = F.split(F.coalesce(F.col("text"), F.lit("")), r"[\s]+", -1)
@@ -37,24 +38,32 @@ def _windows(rows: DataFrame, key: str, size: int) -> DataFrame:
         return F.when(x.rlike(r"^\P{L}*\p{N}\P{L}*$"), _NUMBER).when(unit, _UNIT).when(name, _NAME).otherwise(core)
 
     rows = rows.withColumn("word", F.transform("raw", template))
-    words = [lambda i, k=k: F.get("word", i + k) for k in range(size)]
 
-    def slots(i: Column) -> Column:
-        return F.concat_ws(_BREAK, *[F.when(F.startswith(w(i), F.lit(_SLOT)), F.lower(F.regexp_replace(F.get("raw", i + k), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))) for k, w in enumerate(words)])
+    def windows(size: int) -> Column:
+        words = [lambda i, k=k: F.get("word", i + k) for k in range(size)]
+        is_slot = [lambda i, w=w: F.startswith(w(i), F.lit(_SLOT)) for w in words]
 
-    def window(x: Column, i: Column) -> Column:
-        any_slot = F.startswith(words[0](i), F.lit(_SLOT))
-        for w in words[1:]:
-            any_slot = any_slot | F.coalesce(F.startswith(w(i), F.lit(_SLOT)), F.lit(False))
-        return F.struct(i.alias("at"), F.xxhash64(*[w(i) for w in words]).alias("h"), F.when(any_slot, slots(i)).alias("slots"))
+        def slots(i: Column) -> Column:
+            return F.concat_ws(_BREAK, *[F.when(s(i), F.lower(F.regexp_replace(F.get("raw", i + k), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))) for k, s in enumerate(is_slot)])
 
-    count = F.greatest(F.size("word") - (size - 1), F.least(F.size("word"), F.lit(1)))
-    starts = F.slice("word", 1, count)
-    return rows.select(key, "row", F.explode(F.transform(starts, window)).alias("w")).select(key, "row", "w.at", "w.h", "w.slots")
+        def window(x: Column, i: Column) -> Column:
+            any_slot = is_slot[0](i)
+            for s in is_slot[1:]:
+                any_slot = any_slot | F.coalesce(s(i), F.lit(False))
+            fields = [i.alias("at"), F.lit(size).alias("size"), F.xxhash64(*[w(i) for w in words]).alias("h"), F.when(any_slot, slots(i)).alias("slots")]
+            literal = F.concat_ws(_BREAK, *[F.when(~s(i), w(i)) for s, w in zip(is_slot, words, strict=True)])
+            return F.struct(*fields, *([literal.alias("literal")] if whole else []))
+
+        count = F.size("word") - (size - 1)
+        count = F.greatest(count, F.least(F.size("word"), F.lit(1))) if whole else F.when(F.size("word") == 1, 1).otherwise(0) if size == 1 else F.greatest(count, F.lit(0))
+        return F.transform(F.slice("word", 1, count), window)
+
+    w = F.explode(F.concat(*[windows(k) for k in sizes])).alias("w")
+    return rows.select(key, "row", F.size("word").alias("n"), w).select(key, "row", "n", "w.*").withColumn("size", F.least("size", "n")).drop("n")
 
 
 def _runs(hits: DataFrame) -> DataFrame:
-    """(doc_id, item_id, run, w, own, slots): one place for each found window of the item, for each run of hits.
+    """(doc_id, item_id, run, w, own, slots, literal): one place for each found window of the item, for each run of hits.
 
     A run gathers around one distance between the places in the document and in the item; of several hits of a window
     the nearest to that distance counts. Texts with added or missing words drift by up to half the item. The null run
@@ -67,9 +76,9 @@ def _runs(hits: DataFrame) -> DataFrame:
     anchors = hits.select(*texts, "bucket", F.col("shift").alias("anchor")).distinct().select(*texts, "anchor", around)
     off = F.abs(F.col("shift") - F.col("anchor"))
     near = hits.join(anchors, [*texts, "bucket"]).filter(off <= F.col("slack"))
-    near = near.groupBy(*texts, "anchor", "place").agg(F.min(F.struct(off.alias("off"), "at", "w", "own", "slots")).alias("best"))
-    near = near.select(*pair, F.struct("doc_row", "item_row", "anchor").alias("run"), "best.w", "best.own", "best.slots")
-    whole = hits.groupBy(*pair, "w").agg(F.min("own").alias("own"), F.min("slots").alias("slots"))
+    near = near.groupBy(*texts, "anchor", "place").agg(F.min(F.struct(off.alias("off"), "at", "w", "own", "slots", "literal")).alias("best"))
+    near = near.select(*pair, F.struct("doc_row", "item_row", "anchor").alias("run"), "best.w", "best.own", "best.slots", "best.literal")
+    whole = hits.groupBy(*pair, "w").agg(F.min("own").alias("own"), F.min("slots").alias("slots"), F.min("literal").alias("literal"))
     return near.unionByName(whole.withColumn("run", F.lit(None).cast(near.schema["run"].dataType)))
 
 
@@ -79,8 +88,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     A document leaks an item if it holds at least `share` of the item's distinct windows of `size` template words. Of
     the slots of the matched windows, at least `agreement` must follow the item's most frequent replacement of their
     value (slot_agreement is 1 without slots). Both are asked of each place where the item may stand, and of the
-    document as a whole; the figures are those of the best. Windows in which less than half of the words are literal
-    match nothing.
+    document as a whole; the figures are those of the best. If less than two
+    different words of the matched windows are literal, at least `agreement` of the slots must have the item's values.
+
+    Items of less than `size` words are one window of as many words, which any document may hold; those of one word
+    leak into documents of this word only.
 
     Words are separated by white space, without case and without punctuation at their ends. Null or wordless texts,
     rows without doc_id or item_id, and empty tables give nothing; rows that repeat an id are one text together.
@@ -88,21 +100,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     """
     items = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = _windows(items, "item_id", size).filter(F.coalesce(F.size(F.split("slots", _BREAK)), F.lit(0)) * 2 <= size)
-    wanted = cut(wanted.select("item_id", F.col("row").alias("item_row"), F.col("at").alias("place"), F.col("h").alias("w"), "h", F.coalesce("slots", F.lit("")).alias("own")))
+    wanted = _windows(items, "item_id", [size], whole=True)
+    wanted = cut(wanted.select("item_id", "size", "literal", F.col("row").alias("item_row"), F.col("at").alias("place"), F.col("h").alias("w"), "h", F.coalesce("slots", F.lit("")).alias("own")))
     totals = wanted.groupBy("item_id").agg(F.countDistinct("w").alias("n_windows"), F.floor((F.max("place") + size) / 2).alias("slack"))
     n = wanted.count()
-    hits = cut(_windows(texts, "doc_id", size).withColumnRenamed("row", "doc_row").join(bounded_broadcast(wanted, n), "h").drop("h"))
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect()) or [size]
+    hits = cut(_windows(texts, "doc_id", sizes).withColumnRenamed("row", "doc_row").join(bounded_broadcast(wanted, n), ["h", "size"]).drop("h", "size"))
     pair, enough = ["doc_id", "item_id"], F.col("n_found") >= share * F.col("n_windows")
     found = hits.groupBy(*pair).agg(F.countDistinct("w").alias("n_found")).join(bounded_broadcast(totals, n), "item_id").filter(enough).drop("n_found")
     runs = cut(_runs(hits.join(found, pair)))
-    found = runs.groupBy(*pair, "run").agg(F.countDistinct("w").alias("n_found")).join(bounded_broadcast(totals, n), "item_id").filter(enough)
+    literal = F.size(F.array_remove(F.array_distinct(F.flatten(F.collect_set(F.split("literal", _BREAK)))), ""))
+    found = runs.groupBy(*pair, "run").agg(F.countDistinct("w").alias("n_found"), literal.alias("n_literal")).join(bounded_broadcast(totals, n), "item_id").filter(enough)
     values = runs.filter("own != ''").select(*pair, "run", F.explode(F.arrays_zip(F.split("own", _BREAK).alias("own"), F.split("slots", _BREAK).alias("new"))).alias("z"))
     same = values.groupBy(*pair, "run", "z.own", "z.new").agg(F.count("*").alias("n"))
-    same = same.groupBy(*pair, "run", "own").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    same = same.groupBy(*pair, "run").agg(F.sum("n").alias("n_slots"), (F.sum("most") / F.sum("n")).alias("slot_agreement"))
-    same = same.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("run").alias("r"), "n_slots", "slot_agreement")
+    equal = F.sum(F.when(F.col("own") == F.col("new"), F.col("n")).otherwise(0))
+    same = same.groupBy(*pair, "run", "own").agg(F.sum("n").alias("n"), F.max("n").alias("most"), equal.alias("equal"))
+    same = same.groupBy(*pair, "run").agg(F.sum("n").alias("n_slots"), (F.sum("equal") / F.sum("n")).alias("equal"), (F.sum("most") / F.sum("n")).alias("slot_agreement"))
+    same = same.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("run").alias("r"), "n_slots", "slot_agreement", "equal")
     out = found.join(same, (F.col("doc_id") == F.col("d")) & (F.col("item_id") == F.col("i")) & F.col("run").eqNullSafe(F.col("r")), "left")
+    out = out.filter((F.col("n_literal") >= 2) | (F.coalesce("equal", F.lit(1.0)) >= agreement))
     out = out.select(*pair, "n_windows", "n_found", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
     out = out.filter(F.col("slot_agreement") >= agreement)
     best = out.groupBy(*pair).agg(F.max(F.struct("n_found", "slot_agreement", "n_slots", "n_windows")).alias("b"))

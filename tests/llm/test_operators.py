@@ -273,6 +273,17 @@ def test_leaks_of_several_versions(spark):
     assert decontaminate.leaks(docs(spark, [(1, mixed)]), bench, agreement=1.0).collect() == []
 
 
+def test_leaks_of_arithmetic_and_short_items(spark):
+    items = ["Add 12 km plus 3 km plus 40 km.", "What is 12 + 7 - 3?", "A car drives 120 km in 2 hours, then 90 km in 3 hours, then 7 km in 5 hours", "Halve 31", "12 7 3 88 41 6", "Define entropy", "why"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    around = [" ".join(words(30, k)) for k in (1, 2)]
+    rows = [(k, f"{around[0]}. {x} {around[1]}") for k, x in enumerate(items)]
+    rows += [(10, around[0] + " add 5 km plus 9 km plus 71 km " + around[1]), (11, "so what is 41 + 5 - 2? " + around[1]), (12, around[0] + " halve 32"), (13, "13 8 4 89 42 7 " + around[1])]
+    rows += [(14, "why"), (15, "define"), (16, "1 2 3 4 5 6 7 8 km 9 km " * 9)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(k, k) for k in range(6)} | {(10, 0), (11, 1), (14, 6)}
+
+
 # --- fingerprints -------------------------------------------------------------------------------------------------
 
 

@@ -21,42 +21,59 @@ _BREAK = "\x02"
 
 
 def _windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
-    """(key, row, at, size, h, slots, literal): the windows of `sizes` template words of each text.
+    """(key, row, at, size, h, slots, w, literal): the windows of `sizes` template words of each text.
 
-    `row` tells texts of the same key apart. With `whole`, a text of fewer words than the largest size is one shorter
-    window. Else windows of one word are taken from texts of one word only.
+    A capitalised word that opens the text or a sentence may be a name or not: its windows are given both ways, with
+    the same `w`. `row` tells texts of the same key apart. With `whole`, a text of fewer words than the largest size is
+    one shorter window, and w and literal are given. Else windows of one word are taken from texts of one word only.
     """
-    # Letters and digits of any script make words. A capital after a sentence end or at the start tells nothing.
+    # Letters and digits of any script make words.
     raw = F.split(F.coalesce(F.col("text"), F.lit("")), r"[\s]+", -1)
     rows = rows.select(F.col(key), F.xxhash64("text").alias("row"), F.filter(raw, lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("raw"))
+    rows = rows.withColumn("core", F.transform("raw", lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))))
 
     def template(x: Column, i: Column) -> Column:
-        previous = F.get("raw", i - 1)
-        core = F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+        previous, core = F.get("raw", i - 1), F.get("core", i)
         unit = core.isin(*UNITS) & previous.rlike(r"^\P{L}*\p{N}\P{L}*$")
-        name = x.rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}") & previous.rlike(r"[\p{L}\p{N},;]$")
-        return F.when(x.rlike(r"^\P{L}*\p{N}\P{L}*$"), _NUMBER).when(unit, _UNIT).when(name, _NAME).otherwise(core)
+        inside = F.coalesce(previous.rlike(r"[\p{L}\p{N},;]$"), F.lit(False))
+        name = F.when(inside, F.struct(F.lit(_NAME).alias("t"), F.lit(0).alias("maybe"))).otherwise(F.struct(core.alias("t"), F.lit(1).alias("maybe")))
+        sure = F.when(x.rlike(r"^\P{L}*\p{N}\P{L}*$"), _NUMBER).when(unit, _UNIT)
+        return F.when(x.rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}") & ~F.coalesce(unit, F.lit(False)), name).otherwise(F.struct(F.coalesce(sure, core).alias("t"), F.lit(0).alias("maybe")))
 
     rows = rows.withColumn("word", F.transform("raw", template))
 
     def windows(size: int) -> Column:
-        words = [lambda i, k=k: F.get("word", i + k) for k in range(size)]
-        is_slot = [lambda i, w=w: F.startswith(w(i), F.lit(_SLOT)) for w in words]
-
-        def slots(i: Column) -> Column:
-            return F.concat_ws(_BREAK, *[F.when(s(i), F.lower(F.regexp_replace(F.get("raw", i + k), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))) for k, s in enumerate(is_slot)])
-
-        def window(x: Column, i: Column) -> Column:
-            any_slot = is_slot[0](i)
-            for s in is_slot[1:]:
-                any_slot = any_slot | F.coalesce(s(i), F.lit(False))
-            fields = [i.alias("at"), F.lit(size).alias("size"), F.xxhash64(*[w(i) for w in words]).alias("h"), F.when(any_slot, slots(i)).alias("slots")]
-            literal = F.concat_ws(_BREAK, *[F.when(~s(i), w(i)) for s, w in zip(is_slot, words, strict=True)])
-            return F.struct(*fields, *([literal.alias("literal")] if whole else []))
+        def word(i: Column, k: int) -> Column:
+            return F.get("word", i + k)["t"]
+
+        def maybe(i: Column, k: int) -> Column:
+            return F.coalesce(F.get("word", i + k)["maybe"], F.lit(0))
+
+        def window(i: Column, words: list[Column]) -> Column:
+            is_slot = [F.startswith(w, F.lit(_SLOT)) for w in words]
+            slots = F.concat_ws(_BREAK, *[F.when(s, F.get("core", i + k)) for k, s in enumerate(is_slot)])
+            fields = [i.alias("at"), F.lit(size).alias("size"), F.xxhash64(*words).alias("h"), slots.alias("slots")]
+            if whole:
+                literal = F.concat_ws(_BREAK, *[F.when(~s, w) for s, w in zip(is_slot, words, strict=True)])
+                fields += [F.xxhash64(*[word(i, k) for k in range(size)]).alias("w"), literal.alias("literal")]
+            return F.struct(*fields)
+
+        def either(i: Column) -> Column:
+            """The windows at i for each choice of names; bits of a number are the choices."""
+            before = [F.lit(0)]
+            for k in range(size):
+                before.append(before[-1] + maybe(i, k))
+
+            def chosen(bits: Column) -> Column:
+                is_name = [(maybe(i, k) == 1) & (F.call_function("shiftright", bits, before[k]).bitwiseAND(1) == 1) for k in range(size)]
+                return window(i, [F.when(n, _NAME).otherwise(word(i, k)) for k, n in enumerate(is_name)])
+
+            last = F.call_function("shiftleft", F.lit(1), before[size]) - 1
+            return F.when(before[size] == 0, F.array(window(i, [word(i, k) for k in range(size)]))).otherwise(F.transform(F.sequence(F.lit(0), last), chosen))
 
         count = F.size("word") - (size - 1)
         count = F.greatest(count, F.least(F.size("word"), F.lit(1))) if whole else F.when(F.size("word") == 1, 1).otherwise(0) if size == 1 else F.greatest(count, F.lit(0))
-        return F.transform(F.slice("word", 1, count), window)
+        return F.flatten(F.transform(F.slice("word", 1, count), lambda x, i: either(i)))
 
     w = F.explode(F.concat(*[windows(k) for k in sizes])).alias("w")
     return rows.select(key, "row", F.size("word").alias("n"), w).select(key, "row", "n", "w.*").withColumn("size", F.least("size", "n")).drop("n")
@@ -66,7 +83,7 @@ def _runs(hits: DataFrame) -> DataFrame:
     """(doc_id, item_id, run, w, own, slots, literal): one place for each found window of the item, for each run of hits.
 
     A run gathers around one distance between the places in the document and in the item; of several hits of a window
-    the nearest to that distance counts. Texts with added or missing words drift by up to half the item. The null run
+    the nearest to that distance counts, with words taken literally if they are the same. Texts with added or missing words drift by up to half the item. The null run
     is the document as a whole, for items whose parts stand apart.
     """
     pair = ["doc_id", "item_id"]
@@ -76,9 +93,10 @@ def _runs(hits: DataFrame) -> DataFrame:
     anchors = hits.select(*texts, "bucket", F.col("shift").alias("anchor")).distinct().select(*texts, "anchor", around)
     off = F.abs(F.col("shift") - F.col("anchor"))
     near = hits.join(anchors, [*texts, "bucket"]).filter(off <= F.col("slack"))
-    near = near.groupBy(*texts, "anchor", "place").agg(F.min(F.struct(off.alias("off"), "at", "w", "own", "slots", "literal")).alias("best"))
+    n_slots = F.when(F.col("slots") == "", 0).otherwise(F.size(F.split("slots", _BREAK))).alias("n_slots")
+    near = near.groupBy(*texts, "anchor", "place").agg(F.min(F.struct(off.alias("off"), "at", n_slots, "w", "own", "slots", "literal")).alias("best"))
     near = near.select(*pair, F.struct("doc_row", "item_row", "anchor").alias("run"), "best.w", "best.own", "best.slots", "best.literal")
-    whole = hits.groupBy(*pair, "w").agg(F.min("own").alias("own"), F.min("slots").alias("slots"), F.min("literal").alias("literal"))
+    whole = hits.groupBy(*pair, "w").agg(F.min(F.struct(n_slots, "own", "slots", "literal")).alias("best")).select(*pair, "w", "best.own", "best.slots", "best.literal")
     return near.unionByName(whole.withColumn("run", F.lit(None).cast(near.schema["run"].dataType)))
 
 
@@ -92,7 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     different words of the matched windows are literal, at least `agreement` of the slots must have the item's values.
 
     Items of less than `size` words are one window of as many words, which any document may hold; those of one word
-    leak into documents of this word only.
+    leak into documents of this word only. Capitalised words that open a sentence match as names or as they stand.
 
     Words are separated by white space, without case and without punctuation at their ends. Null or wordless texts,
     rows without doc_id or item_id, and empty tables give nothing; rows that repeat an id are one text together.
@@ -101,7 +119,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     items = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = _windows(items, "item_id", [size], whole=True)
-    wanted = cut(wanted.select("item_id", "size", "literal", F.col("row").alias("item_row"), F.col("at").alias("place"), F.col("h").alias("w"), "h", F.coalesce("slots", F.lit("")).alias("own")))
+    wanted = cut(wanted.select("item_id", "size", "literal", F.col("row").alias("item_row"), F.col("at").alias("place"), "w", "h", F.col("slots").alias("own")))
     totals = wanted.groupBy("item_id").agg(F.countDistinct("w").alias("n_windows"), F.floor((F.max("place") + size) / 2).alias("slack"))
     n = wanted.count()
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect()) or [size]

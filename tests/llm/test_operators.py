@@ -284,6 +284,17 @@ def test_leaks_of_arithmetic_and_short_items(spark):
     assert got == {(k, k) for k in range(6)} | {(10, 0), (11, 1), (14, 6)}
 
 
+def test_leaks_with_names_that_open_sentences(spark):
+    item = "Anna buys 12 apples and Ben buys 7 pears. Anna gives 3 apples to Ben. Ben gives 2 pears to Anna. How many apples does Anna have?"
+    other = item
+    for x, y in (("Anna", "Clara"), ("Ben", "David"), ("12", "95"), ("7", "61"), ("3", "18"), ("2", "44")):
+        other = re.sub(rf"\b{x}\b", y, other)
+    bench = spark.createDataFrame([(1, item), (2, "Tom runs. Eva sits. Tom sleeps. Eva reads.")], "item_id long, text string")
+    rows = [(1, item), (2, "Noise before. " + other + " Noise after."), (3, "yesterday, " + other), (6, " ".join(words(99, 1))), (7, "Pia runs. Uwe sits. Pia sleeps. Uwe reads."), (8, "Pia runs. Uwe sits. Kim sleeps. Lea reads.")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (7, 2)}
+
+
 # --- fingerprints -------------------------------------------------------------------------------------------------
 
 

@@ -202,9 +202,9 @@ def find_related(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embed_passages(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.papers(spark, d).select("doc_id", "title", F.lit("").alias("section"), F.col("abstract").alias("text"))
+    rows = v.chunks(spark, d, "title")
     found = vectors.embed(rows.withColumn("passage", vectors.passage_text()), "passage", vectors.hashing_embedder(64))
-    return found.select("doc_id", F.size("embedding").cast("long").alias("dimensions"), F.round(tx.l2_norm("embedding"), 3).alias("norm"))
+    return found.select("doc_id", "chunk_id", F.size("embedding").cast("long").alias("dimensions"), F.round(tx.l2_norm("embedding"), 3).alias("norm"))
 
 
 @query()

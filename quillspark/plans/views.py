@@ -48,11 +48,11 @@ def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CATALOGUE.replace("{orders}", "{o}"), o=read(spark, sf_dir, "orders"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chunk a line, with a section label by its place."""
-    lines = papers(spark, sf_dir).select("doc_id", "paper_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
+def chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One chunk a line, with a section label by its place, and with more columns of its paper."""
+    lines = papers(spark, sf_dir).select("doc_id", "paper_id", *more, F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
     section = F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), F.col("idx") % 6 + 1)
-    return lines.select("doc_id", "paper_id", "idx", F.concat("paper_id", F.lit("::"), F.lpad(F.col("idx").cast("string"), 4, "0")).alias("chunk_id"), section.alias("section"), "text")
+    return lines.select("doc_id", "paper_id", "idx", F.concat("paper_id", F.lit("::"), F.lpad(F.col("idx").cast("string"), 4, "0")).alias("chunk_id"), section.alias("section"), "text", *more)
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

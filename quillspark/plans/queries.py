@@ -392,7 +392,7 @@ def heading_detect(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def abstracts(spark: SparkSession, d: str) -> DataFrame:
     """Abstracts of layout blocks, under the heading that opens each paper's second section."""
-    found = layout.sections(v.blocks(spark, d)).withColumn("heading", F.when(F.col("section_no") == 1, F.lit("Abstract")).otherwise(F.col("heading")))
+    found = layout.sections(v.blocks(spark, d, whole=True)).withColumn("heading", F.when(F.col("section_no") == 1, F.lit("Abstract")).otherwise(F.col("heading")))
     return layout.abstracts(found)
 
 

@@ -55,10 +55,11 @@ def chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return lines.select("doc_id", "paper_id", "idx", F.concat("paper_id", F.lit("::"), F.lpad(F.col("idx").cast("string"), 4, "0")).alias("chunk_id"), section.alias("section"), "text", *more)
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout blocks: the first 70 characters of each line; every fourth is numbered or in a larger font."""
+def blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Layout blocks: each line, or its first 70 characters as in BLOCKS; every fourth is numbered or in a larger font."""
     c = chunks(spark, sf_dir)
-    text = F.when(F.col("idx") % 4 == 1, F.concat(F.lit("2.1 "), F.substring("text", 1, 40))).otherwise(F.substring("text", 1, 70))
+    numbered, other = (F.col("text"), F.col("text")) if whole else (F.substring("text", 1, 40), F.substring("text", 1, 70))
+    text = F.when(F.col("idx") % 4 == 1, F.concat(F.lit("2.1 "), numbered)).otherwise(other)
     size = F.when(F.col("idx") % 4 == 3, 14.0).otherwise(10.0)
     return c.select("paper_id", F.col("idx").alias("ord"), text.alias("text"), size.alias("font_size"), (F.floor(F.col("idx") / 2) + 1).cast("int").alias("page"))
 

@@ -188,6 +188,12 @@ def l2_norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(col(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def padded(number: Column | str, digits: int) -> Column:
+    """A number of at least so many digits, with zeros before it; longer ones stay whole."""
+    x = col(number).cast("string")
+    return F.when(F.length(x) < digits, F.lpad(x, digits, "0")).otherwise(x)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """v over its length; a zero vector stays."""
     n = l2_norm(v)

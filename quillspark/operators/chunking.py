@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import count_tokens
+from quillspark.functions.text import count_tokens, padded
 from quillspark.functions.workers import ship_package
 from quillspark.operators.layout import split_sections
 
@@ -78,4 +78,4 @@ def chunk_sections(docs: DataFrame, key: str = "paper_id", md: str = "md", budge
     pieces = whole.unionByName(long).select(key, "section_no", "section", F.posexplode("pieces").alias("piece", "text")).withColumn("text", F.btrim("text", F.lit(" \t\n\r")))
     kept = pieces.withColumn("tokens", count_tokens("text")).filter(useful("text", F.col("tokens")))
     numbered = kept.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("section_no", "piece")) - 1)
-    return numbered.select(key, F.concat(F.col(key), F.lit("::"), F.lpad(F.col("idx").cast("string"), 4, "0")).alias("chunk_id"), "idx", "section", "text", "tokens")
+    return numbered.select(key, F.concat(F.col(key), F.lit("::"), padded("idx", 4)).alias("chunk_id"), "idx", "section", "text", "tokens")

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import padded
+
 PAPERS = """
 SELECT doc_id, concat('doc-', lpad(cast(doc_id AS string), 6, '0')) AS paper_id,
        substr(split_part(text, chr(10), 1), 1, 80) AS title,
@@ -37,7 +39,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.sql(PAPERS.replace("{documents}", "{d}"), d=read(spark, sf_dir, "documents"))
-    return found.withColumn("topics", F.array("lang", "source"))
+    # The SQL cuts numbers of more than six digits.
+    return found.withColumns({"paper_id": F.concat(F.lit("doc-"), padded("doc_id", 6)), "topics": F.array("lang", "source")})
 
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ def chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """One chunk a line, with a section label by its place, and with more columns of its paper."""
     lines = papers(spark, sf_dir).select("doc_id", "paper_id", *more, F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
     section = F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), F.col("idx") % 6 + 1)
-    return lines.select("doc_id", "paper_id", "idx", F.concat("paper_id", F.lit("::"), F.lpad(F.col("idx").cast("string"), 4, "0")).alias("chunk_id"), section.alias("section"), "text", *more)
+    return lines.select("doc_id", "paper_id", "idx", F.concat("paper_id", F.lit("::"), padded("idx", 4)).alias("chunk_id"), section.alias("section"), "text", *more)
 
 
 def blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:

@@ -4,6 +4,11 @@ Numbers, units and names become typed placeholders, so that a question with othe
 Windows of the benchmark are hash-joined with those of the documents. A document leaks an item if it holds enough of
 the item's distinct windows and its parameters replace the item's consistently: each value of the item stands for one
 value of the document.
+
+Which words are placeholders is decided for few documents only. Each window of an item has an anchor, a run of up to
+three words in it that any document with this window must hold as they stand (numbers are all alike). All documents are
+cut into words and their runs are hash-joined with the anchors; one that lacks the anchors of too many windows of an
+item cannot leak it.
 """
 
 from __future__ import annotations
@@ -18,6 +23,36 @@ UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec
 _NUMBER, _UNIT, _NAME = "\x01n", "\x01u", "\x01p"
 _SLOT = "\x01"
 _BREAK = "\x02"
+#: What stands between two words without their punctuation: at the beginning, from white space on, from punctuation on.
+_BETWEEN = r"\A[^\p{L}\p{N}]++|\s[^\p{L}\p{N}]*+|(?<=[\p{L}\p{N}])[^\p{L}\p{N}\s]++(?:\s[^\p{L}\p{N}]*+|\z)"
+#: A number with its punctuation; all numbers are one word of the anchors.
+_NUMBERS, _ANY_NUMBER = r"(?<!\S)[^\p{L}\p{N}\s]*+\p{N}[^\p{L}\s]*+(?!\S)", "0"
+#: Most words of an anchor.
+ANCHOR_WORDS = 3
+
+
+def _cores(lowered: Column) -> Column:
+    """The words of a lowered text without the punctuation at their ends."""
+    return F.array_remove(F.split(lowered, _BETWEEN, -1), "")
+
+
+def _run_hash(words: list[Column]) -> Column:
+    """The hash of a run of words, made from that of the run without its last word."""
+    h = F.xxhash64(words[0]) if len(words) == 1 else F.xxhash64(words[0], words[1])
+    for w in words[2:]:
+        h = F.xxhash64(h, w)
+    return h
+
+
+def _runs_of(words: Column, lengths: list[int]) -> Column:
+    """The distinct hashes of the runs of so many words of an array."""
+    out = [F.transform(words, lambda x: _run_hash([x]))] if 1 in lengths else []
+    runs = words
+    for n in range(2, max(lengths, default=0) + 1):
+        rest = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        runs = F.zip_with(F.slice(runs, 1, rest), F.slice(words, n, rest), lambda x, y: F.xxhash64(x, y))
+        out += [runs] if n in lengths else []
+    return F.array_distinct(F.concat(*out))
 
 
 def _windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
@@ -29,8 +64,7 @@ def _windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) -
     """
     # Letters and digits of any script make words.
     raw = F.split(F.coalesce(F.col("text"), F.lit("")), r"[\s]+", -1)
-    rows = rows.select(F.col(key), F.xxhash64("text").alias("row"), F.filter(raw, lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("raw"))
-    rows = rows.withColumn("core", F.transform("raw", lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))))
+    rows = rows.select(F.col(key), F.xxhash64("text").alias("row"), F.filter(raw, lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("raw"), _cores(F.lower(F.coalesce("text", F.lit("")))).alias("core"))
 
     def template(x: Column, i: Column) -> Column:
         previous, core = F.get("raw", i - 1), F.get("core", i)
@@ -55,9 +89,22 @@ def _windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) -
             fields = [i.alias("at"), F.lit(size).alias("size"), F.xxhash64(*words).alias("h"), slots.alias("slots")]
             if whole:
                 literal = F.concat_ws(_BREAK, *[F.when(~s, w) for s, w in zip(is_slot, words, strict=True)])
-                fields += [F.xxhash64(*[word(i, k) for k in range(size)]).alias("w"), literal.alias("literal")]
+                fields += [F.xxhash64(*[word(i, k) for k in range(size)]).alias("w"), literal.alias("literal"), anchor(i).alias("anchor")]
             return F.struct(*fields)
 
+        def anchor(i: Column) -> Column:
+            """The longest run of words that are no slot for any choice of names; of equal ones the one with most letters."""
+            sure = [(maybe(i, k) == 0) & ((word(i, k) == _NUMBER) | ~F.startswith(word(i, k), F.lit(_SLOT))) for k in range(size)]
+            text = [F.when(word(i, k) == _NUMBER, _ANY_NUMBER).otherwise(word(i, k)) for k in range(size)]
+            made = []
+            for n in range(1, min(size, ANCHOR_WORDS) + 1):
+                for a in range(size - n + 1):
+                    whole = sure[a]
+                    for k in range(a + 1, a + n):
+                        whole = whole & sure[k]
+                    made.append(F.when(whole, F.struct(F.lit(n).alias("n"), F.length(F.concat(*text[a : a + n])).alias("letters"), _run_hash(text[a : a + n]).alias("run"))))
+            return F.array_max(F.array(*made))
+
         def either(i: Column) -> Column:
             """The windows at i for each choice of names; bits of a number are the choices."""
             before = [F.lit(0)]
@@ -100,6 +147,26 @@ def _runs(hits: DataFrame) -> DataFrame:
     return near.unionByName(whole.withColumn("run", F.lit(None).cast(near.schema["run"].dataType)))
 
 
+def _candidates(texts: DataFrame, wanted: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id) of all documents that hold the anchors of enough windows of an item, and (item_id) of items that have too few anchors for that.
+
+    A window that has no anchor, or not the same one wherever it stands, counts as found.
+    """
+    by_window = wanted.groupBy("item_id", "w").agg(F.max("size").alias("size"), F.min("anchor").alias("anchor"), F.max("anchor").alias("other"), F.count("anchor").alias("known"), F.count("*").alias("n"))
+    by_window = cut(by_window.withColumn("anchor", F.when((F.col("anchor") == F.col("other")) & (F.col("known") == F.col("n")), F.col("anchor"))))
+    least = cut(by_window.groupBy("item_id").agg((share * F.count("*") - F.count(F.when(F.col("anchor").isNull(), 1)) - 1e-9).alias("least")))
+    anchors = by_window.filter("anchor IS NOT NULL").groupBy("item_id", F.col("anchor.run").alias("run"), F.col("anchor.n").alias("length"))
+    anchors = cut(anchors.agg(F.count("*").alias("n"), (F.max("size") == 1).alias("alone")).join(least.filter("least > 0"), "item_id"))
+    lengths = sorted(r["length"] for r in anchors.select("length").distinct().collect())
+    free = cut(least.filter("least <= 0").select("item_id"))
+    if not lengths:
+        return texts.select("doc_id").limit(0), free
+    words = _cores(F.regexp_replace(F.lower("text"), _NUMBERS, _ANY_NUMBER))
+    runs = texts.filter("text IS NOT NULL").select("doc_id", words.alias("words")).select("doc_id", (F.size("words") == 1).alias("one"), F.explode(_runs_of(F.col("words"), lengths)).alias("run"))
+    held = runs.join(bounded_broadcast(anchors.drop("length")), "run").filter("one OR NOT alone").groupBy("doc_id", "item_id").agg(F.sum("n").alias("held"), F.first("least").alias("least"))
+    return cut(held.filter("held >= least").select("doc_id").distinct()), free
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8, agreement: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_slots, slot_agreement): what documents leak which benchmark items.
 
@@ -114,16 +181,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
 
     Words are separated by white space, without case and without punctuation at their ends. Null or wordless texts,
     rows without doc_id or item_id, and empty tables give nothing; rows that repeat an id are one text together.
-    Other columns are ignored.
+    Other columns are ignored. Items that hold almost nothing but names and units have no anchors: for these alone the
+    templates of all documents are made.
     """
     items = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = _windows(items, "item_id", [size], whole=True)
-    wanted = cut(wanted.select("item_id", "size", "literal", F.col("row").alias("item_row"), F.col("at").alias("place"), "w", "h", F.col("slots").alias("own")))
+    wanted = cut(wanted.select("item_id", "size", "literal", F.col("row").alias("item_row"), F.col("at").alias("place"), "w", "h", F.col("slots").alias("own"), "anchor"))
+    candidates, free = _candidates(texts, wanted, share)
+    wanted = wanted.drop("anchor")
     totals = wanted.groupBy("item_id").agg(F.countDistinct("w").alias("n_windows"), F.floor((F.max("place") + size) / 2).alias("slack"))
     n = wanted.count()
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect()) or [size]
-    hits = cut(_windows(texts, "doc_id", sizes).withColumnRenamed("row", "doc_row").join(bounded_broadcast(wanted, n), ["h", "size"]).drop("h", "size"))
+
+    def hits_of(own_texts: DataFrame, own_items: DataFrame) -> DataFrame:
+        return _windows(own_texts, "doc_id", sizes).withColumnRenamed("row", "doc_row").join(bounded_broadcast(own_items, n), ["h", "size"]).drop("h", "size")
+
+    n_free = free.count()
+    hits = hits_of(texts.join(bounded_broadcast(candidates), "doc_id", "left_semi"), wanted.join(bounded_broadcast(free, n_free), "item_id", "left_anti"))
+    if n_free:  # any document may hold items of names and units only
+        hits = hits.unionByName(hits_of(texts, wanted.join(bounded_broadcast(free, n_free), "item_id", "left_semi")))
+    hits = cut(hits)
     pair, enough = ["doc_id", "item_id"], F.col("n_found") >= share * F.col("n_windows")
     found = hits.groupBy(*pair).agg(F.countDistinct("w").alias("n_found")).join(bounded_broadcast(totals, n), "item_id").filter(enough).drop("n_found")
     runs = cut(_runs(hits.join(found, pair)))

@@ -25,8 +25,8 @@ _SLOT = "\x01"
 _BREAK = "\x02"
 #: What stands between two words without their punctuation: at the beginning, from white space on, from punctuation on.
 _BETWEEN = r"\A[^\p{L}\p{N}]++|\s[^\p{L}\p{N}]*+|(?<=[\p{L}\p{N}])[^\p{L}\p{N}\s]++(?:\s[^\p{L}\p{N}]*+|\z)"
-#: A number with its punctuation; all numbers are one word of the anchors.
-_NUMBERS, _ANY_NUMBER = r"(?<!\S)[^\p{L}\p{N}\s]*+\p{N}[^\p{L}\s]*+(?!\S)", "0"
+#: All numbers are one word of the anchors.
+_ANY_NUMBER = "0"
 #: Most words of an anchor.
 ANCHOR_WORDS = 3
 
@@ -37,22 +37,23 @@ def _cores(lowered: Column) -> Column:
 
 
 def _run_hash(words: list[Column]) -> Column:
-    """The hash of a run of words, made from that of the run without its last word."""
-    h = F.xxhash64(words[0]) if len(words) == 1 else F.xxhash64(words[0], words[1])
-    for w in words[2:]:
-        h = F.xxhash64(h, w)
-    return h
+    return F.xxhash64(F.lit(len(words)), *words)
 
 
-def _runs_of(words: Column, lengths: list[int]) -> Column:
-    """The distinct hashes of the runs of so many words of an array."""
-    out = [F.transform(words, lambda x: _run_hash([x]))] if 1 in lengths else []
-    runs = words
-    for n in range(2, max(lengths, default=0) + 1):
-        rest = F.greatest(F.size(words) - (n - 1), F.lit(0))
-        runs = F.zip_with(F.slice(runs, 1, rest), F.slice(words, n, rest), lambda x, y: F.xxhash64(x, y))
-        out += [runs] if n in lengths else []
-    return F.array_distinct(F.concat(*out))
+def _runs_of(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, one, run): the hashes of the runs of so many words, for each place; `one` tells texts of one word."""
+
+    def known(x: Column) -> Column:
+        may_be = (x >= "0") & ((x < ":") | (x >= "\x80"))  # spares most words the pattern
+        return F.when(may_be & x.rlike(r"^\p{N}\P{L}*$"), _ANY_NUMBER).otherwise(x)
+
+    words = texts.filter("text IS NOT NULL").select("doc_id", _cores(F.lower("text")).alias("words"))
+    # The words beside themselves, so that a run is a row and not the work of a function on arrays.
+    shifted = [F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))).alias(f"x{k}") for k in range(max(lengths))]
+    rows = words.select("doc_id", (F.size("words") == 1).alias("one"), F.inline(F.arrays_zip(*shifted)))
+    rows = rows.select("doc_id", "one", *[known(F.col(f"x{k}")).alias(f"x{k}") for k in range(max(lengths))])
+    run = [F.when(F.col(f"x{n - 1}").isNotNull(), _run_hash([F.col(f"x{k}") for k in range(n)])) for n in lengths]
+    return rows.select("doc_id", "one", run[0].alias("run") if len(run) == 1 else F.explode(F.array(*run)).alias("run"))
 
 
 def _windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
@@ -161,9 +162,8 @@ def _candidates(texts: DataFrame, wanted: DataFrame, share: float) -> tuple[Data
     free = cut(least.filter("least <= 0").select("item_id"))
     if not lengths:
         return texts.select("doc_id").limit(0), free
-    words = _cores(F.regexp_replace(F.lower("text"), _NUMBERS, _ANY_NUMBER))
-    runs = texts.filter("text IS NOT NULL").select("doc_id", words.alias("words")).select("doc_id", (F.size("words") == 1).alias("one"), F.explode(_runs_of(F.col("words"), lengths)).alias("run"))
-    held = runs.join(bounded_broadcast(anchors.drop("length")), "run").filter("one OR NOT alone").groupBy("doc_id", "item_id").agg(F.sum("n").alias("held"), F.first("least").alias("least"))
+    held = _runs_of(texts, lengths).join(bounded_broadcast(anchors.drop("length")), "run").filter("one OR NOT alone").dropDuplicates(["doc_id", "item_id", "run"])
+    held = held.groupBy("doc_id", "item_id").agg(F.sum("n").alias("held"), F.first("least").alias("least"))
     return cut(held.filter("held >= least").select("doc_id").distinct()), free
 
 

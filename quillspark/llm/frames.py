@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.workers import ship_package
 
-#: Rows of an Arrow batch sent to Python. Texts can be long, so batches are short: memory stays bounded.
-ARROW_ROWS = "256"
+#: Rows and bytes of an Arrow batch sent to Python. Texts can be long, so batches are short: memory stays bounded.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 #: A side of a join is broadcast only when a count shows it has at most so many rows (of two or three longs each).
 BROADCAST_ROWS = 1_000_000
+#: Narrow rows of a task of a shuffle whose number of partitions is fixed.
+TASK_ROWS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +27,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def python_workers(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, and send this package to the executors, where it may not be installed."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Bound the Arrow batches of this session, and send this package to the executors, where it may not be installed.
+
+    Plans are executed long after the operator has returned, with the settings of then, so the bounds stay. A session
+    that has smaller ones keeps them.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     ship_package(spark)
 
 
@@ -57,6 +66,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def partitions_for(spark: SparkSession, rows: int, of_a_task: int = TASK_ROWS) -> int:
+    """How many partitions a shuffle of so many rows gets: the session's number, or more if tasks would be too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // of_a_task))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column of df has it (Spark compares without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, with a broadcast hint if it is proven to be small. df should be a checkpoint: it is counted."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

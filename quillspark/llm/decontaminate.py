@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.frames import bounded_broadcast, cut
+from quillspark.llm.frames import bounded_broadcast, cut, unused
 
 #: Words that count as units after a number.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "percent", "usd", "eur", "dollars", "euros", "cents", "miles", "mile", "feet", "inch", "inches", "yards", "pounds", "lb", "oz", "meters", "metres", "liters", "litres", "grams", "kilograms", "kmh", "mph", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "w", "kw", "kwh", "v", "a")
@@ -223,5 +223,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The rows of docs that leak no item; rows without doc_id stay. See leaks()."""
-    bad = cut(leaks(docs, benchmark, **parameters).select(F.col("doc_id").alias("_leaks")).distinct())
-    return docs.join(bounded_broadcast(bad), F.col("doc_id").cast("long") == F.col("_leaks"), "left_anti")
+    (own,) = unused(docs, "_leaks")
+    bad = cut(leaks(docs, benchmark, **parameters).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(bounded_broadcast(bad), F.col("doc_id").cast("long") == F.col(own), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from quillspark.llm import bytewords as bw
 from quillspark.llm.components import connected_components
-from quillspark.llm.frames import bounded_broadcast, cut, groups, python_workers
+from quillspark.llm.frames import bounded_broadcast, cut, groups, python_workers, unused
 
 #: Most texts and most shingles of a block of a candidate cluster.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 2_000_000
@@ -195,11 +195,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves:
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs whose document is kept by near_duplicates(), one for each doc_id; rows without doc_id stay."""
     groups_of = near_duplicates(docs, **parameters)
-    gone = cut(groups_of.filter("NOT kept").select(F.col("doc_id").alias("_gone")))
-    kept = docs.join(bounded_broadcast(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    many = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_many")))
+    own, repeats = unused(docs, "_gone", "_many")
+    gone = cut(groups_of.filter("NOT kept").select(F.col("doc_id").alias(own)))
+    kept = docs.join(bounded_broadcast(gone), F.col("doc_id").cast("long") == F.col(own), "left_anti")
+    many = cut(docs.select(F.col("doc_id").alias(repeats)).filter(F.col(repeats).isNotNull()).groupBy(repeats).agg(F.count("*").alias("n")).filter("n > 1").select(repeats))
     n = many.count()
     if not n:
         return kept
-    repeated = F.col("doc_id") == F.col("_many")
+    repeated = F.col("doc_id") == F.col(repeats)
     return kept.join(bounded_broadcast(many, n), repeated, "left_anti").unionByName(kept.join(bounded_broadcast(many, n), repeated, "left_semi").dropDuplicates(["doc_id"]))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.frames import python_workers
+from quillspark.llm.frames import python_workers, unused
 
 #: Entries of a Python worker's memory of encoded words.
 REMEMBERED = 500_000
@@ -243,9 +243,11 @@ def plan_bins(counts: dict[int, int], capacity: tuple[int, int, int], weights: t
 
 
 def pack(pieces: DataFrame, max_tokens: int = 4096, max_documents: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.001, 0.001), select: str = "norm") -> DataFrame:
-    """pieces(doc_id, piece, length, ...) with sequence_id and offset added.
+    """pieces(doc_id, piece, length, ...) with sequence_id and offset added; columns of these names are replaced.
 
-    Lengths are 1 to max_tokens. Without max_documents and max_attention, only the tokens of a sequence are bounded.
+    Lengths are 1 to max_tokens. max_documents bounds the pieces of a sequence, max_attention the sum of their squared
+    lengths. Without them these two capacities are max_tokens and its square, which no sequence can exceed: then only
+    the tokens are bounded.
     A sequence is gapless from offset 0. All pieces of all rows are packed, repeated rows too; null doc_ids count as
     values like any other. An empty table gives an empty result. pieces is read twice: cut its lineage before.
     """
@@ -257,21 +259,23 @@ def pack(pieces: DataFrame, max_tokens: int = 4096, max_documents: int | None =
     plan = spark.sparkContext.broadcast(intervals)  # a few rows for each length
 
     salts = max(16, -(-max(counts.values(), default=0) // 50_000))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    by_salt = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(by_salt), F.lit(0)).alias("_before"))
-    numbered = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")))
-    numbered = numbered.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before")).drop("_salt", "_before")
+    pieces = pieces.drop("sequence_id", "offset")
+    salt, rank, earlier = unused(pieces, "_salt", "_rank", "_before")
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    by_salt = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    before = salted.groupBy("length", salt).agg(F.count("*").alias("n")).select("length", salt, F.coalesce(F.sum("n").over(by_salt), F.lit(0)).alias(earlier))
+    numbered = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece")))
+    numbered = numbered.join(before, ["length", salt]).withColumn(rank, F.col(rank) - 1 + F.col(earlier)).drop(salt, earlier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = plan.value
         starts = table[:, 0] * (1 << 48) + table[:, 1]
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
-            row = table[np.searchsorted(starts, length * (1 << 48) + rank, "right") - 1]
-            t = rank - row[:, 1]
-            kept = [x for x in batch.schema.names if x != "_rank"]
+            length, place = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", rank))
+            row = table[np.searchsorted(starts, length * (1 << 48) + place, "right") - 1]
+            t = place - row[:, 1]
+            kept = [x for x in batch.schema.names if x != rank]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(row[:, 3] + t // row[:, 2]), pa.array(row[:, 4] + t % row[:, 2] * length)], [*kept, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields if f.name != "_rank")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields if f.name != rank)
     return numbered.mapInArrow(run, f"{schema}, sequence_id long, offset long")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.frames import cut
+from quillspark.llm.frames import cut, partitions_for, unused
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between a rule host's key and a path; below all other characters, so that a host's paths come right after it.
@@ -61,7 +61,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     counts. Null URLs and those without :// have an empty host and path, which no rule fits. Rules with nulls are
     ignored; an empty path fits all. Repeated pages are judged alike; without rules all get the default.
     """
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = pages.sparkSession
     known = rules.filter("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL AND host != ''")
     known = known.groupBy(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("rule_verdict"))
     known = cut(known.withColumn("rule_key", host_key(F.col("rule_host"))))
@@ -75,6 +75,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
 
     seen = pages.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")).distinct().filter("host != ''")
     seen = cut(seen.withColumn("key", host_key(F.col("host"))))
+    parts = partitions_for(spark, seen.count())
     open_hosts = _sweep(nested, seen.select("key").distinct(), parts).filter(F.size("stack") > 0)
 
     # Path rules of one host, each with those that contain it.
@@ -90,9 +91,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     inner = inner.filter("key IS NOT NULL").join(own, "key").select("probe", "rule_host", "rule_path", "rule_verdict")
     fits = probes.withColumnRenamed("key", "probe").join(inner, "probe")
     best = F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("m"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")))
-    verdicts = fits.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(best.alias("_best"))
-
-    plain = pages.drop("host", "path", "rule", "verdict") if url not in ("host", "path", "rule", "verdict") else pages
-    judged = plain.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    judged = judged.join(verdicts, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return judged.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_host", "_path", "_best")
+    found = fits.groupBy("host", "path").agg(best.alias("best"))
+    # Pages without a host have no rule: each gets a key that none of the verdicts has, or all of them would be one key.
+    added = ("host", "path", "rule", "verdict")
+    others = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in added]
+    key, own_host, own_path, chosen = unused(pages, "_key", "_host", "_path", "_best")
+    nowhere = F.concat(F.lit("\x00"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+    judged = pages.select(*others, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    judged = judged.withColumn(key, F.when(F.col("host") != "", F.col("host")).otherwise(nowhere))
+    verdicts = found.select(F.col("host").alias(own_host), F.col("path").alias(own_path), F.col("best").alias(chosen))
+    joined = judged.join(verdicts, (F.col(key) == F.col(own_host)) & (F.col("path") == F.col(own_path)), "left")
+    return joined.select(*others, "host", "path", F.col(f"{chosen}.rule").alias("rule"), F.coalesce(F.col(f"{chosen}.verdict"), F.lit(default)).alias("verdict"))

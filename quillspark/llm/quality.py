@@ -2,8 +2,8 @@
 
 Indicators of byte n-grams are scaled by the log ratio of their smoothed frequencies in the two classes; a linear
 hinge-loss model is fitted to the scaled indicators by dual coordinate descent on the driver, over a bounded sample of
-the labelled rows (SAMPLE_ROWS, the least hashes of doc_id, so that the sample does not depend on order or
-partitions). Margins become probabilities by Platt's scaling. Scoring reads every text whole, in one pass, without a
+the labelled rows (SAMPLE_ROWS and SAMPLE_FEATURES, the least hashes of doc_id, so that the sample does not depend on
+order or partitions). Margins become probabilities by Platt's scaling. Scoring reads every text whole, in one pass, without a
 shuffle.
 """
 
@@ -14,18 +14,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytewords as bw
-from quillspark.llm.frames import python_workers
+from quillspark.llm.frames import cut, python_workers
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE_ROWS = 4_000
+#: Indicators that these rows have at most, all together (4 bytes each on the driver): rows beyond are not fitted on.
+SAMPLE_FEATURES = 40_000_000
 #: Hashed features.
 FEATURES = 1 << 18
 #: Lengths of the byte n-grams.
-ORDERS = (1, 2, 3)
+ORDERS = (1, 2, 3, 4)
 #: Indicators of n-grams of one word repeated: a word stands at least so many times in a row.
 REPEATS = (2, 3, 4, 6, 8, 12, 16, 32)
 
@@ -80,12 +83,36 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500))))
 
 
-def fit_nbsvm(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 20) -> QualityModel:
-    """Fit to feature lists and labels (0 or 1). With one class only, every score is that class's smoothed frequency."""
+@dataclass(frozen=True)
+class Rows:
+    """Feature lists one after the other (compressed sparse rows): row k is features[ends[k]:ends[k + 1]]."""
+
+    features: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, lists: list) -> Rows:
+        return cls(np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32), np.cumsum([0, *(len(x) for x in lists)]))
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        return self.features[self.ends[k] : self.ends[k + 1]]
+
+
+def fit_nbsvm(rows: Rows, labels: np.ndarray, smoothing: float = 1.0, cost: float = 1.0, epochs: int = 20) -> QualityModel:
+    """Fit to feature lists and labels (0 or 1). With one class only, every score is that class's smoothed frequency.
+
+    The objective is half the squared length of the weights of the scaled indicators, bias included, and the hinge
+    losses, weighed by cost and so that either class has half of the weight.
+    """
     y = np.where(labels == 1, 1.0, -1.0)
     good, bad = np.full(FEATURES + len(REPEATS), smoothing), np.full(FEATURES + len(REPEATS), smoothing)
-    for x, c in zip(rows, y, strict=True):
-        (good if c > 0 else bad)[x] += 1
+    for k, c in enumerate(y):
+        (good if c > 0 else bad)[rows[k]] += 1
     n_good, n_bad = int((y > 0).sum()), int((y < 0).sum())
     prior = np.log((n_good + 1) / (n_bad + 1))
     if not n_good or not n_bad:
@@ -94,7 +121,7 @@ def fit_nbsvm(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0
 
     # Dual coordinate descent (hinge loss); classes weigh the same in all; the bias is a feature that is always 1.
     # Scaled features are computed anew at each step: keeping them would take twice the memory of the sample.
-    square = np.array([(ratio[x] ** 2).sum() / max(1, len(x)) + 1 for x in rows])
+    square = np.array([(ratio[x] ** 2).sum() / max(1, len(x)) + 1 for x in (rows[k] for k in range(len(rows)))])
     most = cost * np.where(y > 0, len(y) / (2 * n_good), len(y) / (2 * n_bad))
     w, bias, alpha = np.zeros(FEATURES + len(REPEATS)), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(7)
@@ -115,7 +142,7 @@ def fit_nbsvm(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0
         if worst < 1e-3:
             break
     weights = w * ratio
-    margins = np.array([weights[x].sum() / np.sqrt(max(1, len(x))) for x in rows]) + bias
+    margins = np.array([weights[x].sum() / np.sqrt(max(1, len(x))) for x in (rows[k] for k in range(len(rows)))]) + bias
 
     # Platt's scaling by Newton steps, with his smoothed targets.
     target = np.where(y > 0, (n_good + 1) / (n_good + 2), 1 / (n_bad + 2))
@@ -132,16 +159,29 @@ def fit_nbsvm(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0
     return QualityModel(weights, float(bias), float(slope), float(offset))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> QualityModel:
     """A model from docs(doc_id, text) and labels(doc_id, quality 0/1). Other labels, nulls and other columns are ignored.
 
-    Give only the rows of labels that may be learned from. At most sample_rows of them are fetched, as feature lists.
+    Give only the rows of labels that may be learned from. Of labelled documents, those with the least hashes of doc_id
+    are fetched as feature lists: at most sample_rows, and only as long as they can have sample_features in all (at
+    least one). Of rows that repeat a doc_id, the least text counts and the least label; a null text is empty.
     """
     spark = docs.sparkSession
     python_workers(spark)
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = cut(rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")))
+    # A byte begins one n-gram of each length at most.
+    most = F.least(F.coalesce(F.octet_length("text"), F.lit(0)) * len(ORDERS), F.lit(FEATURES)) + len(REPEATS)
+    used, sizes = 0, rows.select("doc_id", most.cast("long").alias("n"), F.xxhash64("doc_id").alias("h")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    kept = []
+    for doc_id, n in zip(sizes.column("doc_id").to_pylist(), sizes.column("n").to_pylist(), strict=True):
+        used += n
+        if kept and used > sample_features:
+            break
+        kept.append((doc_id,))
+    rows = rows.join(F.broadcast(spark.createDataFrame(kept, "doc_id long")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Indicators()
@@ -149,13 +189,27 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             found = [x.astype(np.int32).tobytes() for x in features.of_column(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "features"])
 
-    table = rows.mapInArrow(run, "doc_id long, label int, features binary").toArrow().sort_by([("doc_id", "ascending"), ("features", "ascending")])
-    sample = [np.frombuffer(x, np.int32) for x in table.column("features").to_pylist()]
-    return fit_nbsvm(sample, table.column("label").to_numpy())
-
-
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs(text, ...) with score added: the probability of quality 1. Null and empty texts get the bias's score."""
+    # The batches as they come, in one array of features; the order of rows is fixed by an index.
+    table = rows.mapInArrow(run, "doc_id long, label int, features binary").toArrow()
+    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    at, ends = 0, np.zeros(len(order) + 1, np.int64)
+    np.cumsum(pc.binary_length(table.column("features")).to_numpy()[order] // 4, out=ends[1:])
+    features = np.empty(ends[-1], np.int32)
+    place = np.empty(len(order), np.int64)
+    place[order] = ends[:-1]
+    for chunk in table.column("features").chunks:
+        for x in chunk:
+            own = np.frombuffer(x.as_buffer(), np.int32)
+            features[place[at] : place[at] + len(own)] = own
+            at += 1
+    return fit_nbsvm(Rows(features, ends), table.column("label").to_numpy()[order])
+
+
+def score_quality(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:
+    """docs(text, ...) with the probability of quality 1 added as `column` (one of this name is replaced).
+
+    Null and empty texts get the bias's score. Repeated rows score alike; no rows give none.
+    """
     spark = docs.sparkSession
     python_workers(spark)
     shared = spark.sparkContext.broadcast(QualityModel(model.weights.astype(np.float32), model.bias, model.slope, model.offset))
@@ -165,4 +219,4 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         features, own = Indicators(), shared.value
         return pa.array([own.score(x) for x in features.of_column(texts)], pa.float64())
 
-    return docs.withColumn("score", score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.withColumn(column, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))

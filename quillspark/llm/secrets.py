@@ -25,7 +25,7 @@ ASSIGN = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CHECKED = re.compile(r"(?:gh[opusr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -63,6 +63,8 @@ KINDS: tuple[_Kind, ...] = (
     ("jwt", ("eyj",), JWT, 0, lambda m: _is_header(m[1])),
     ("card", ("card", "visa", "mastercard", "amex"), CARD, 24, lambda m: luhn(m[0])),
 )
+#: What a pattern cannot begin in once it has failed at the beginning of it; so no run is read again at each keyword in it.
+_RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?|[A-Za-z0-9_-]*")}
 _HEX_RUN = b"h" * 32
 _HEX_CLASS = bytes(ord("h") if chr(c) in "0123456789abcdef" else ord(" ") for c in range(256))
 
@@ -89,7 +91,8 @@ class Scanner:
                 hits.setdefault(k, []).append((end - length + 1, end + 1))
         found: list[tuple[int, int, int]] = []
         for k, places in hits.items():
-            _, _, pattern, near, valid = KINDS[k]
+            kind, _, pattern, near, valid = KINDS[k]
+            run = _RUNS.get(kind)
             past = 0
             for start, end in sorted(set(places)):
                 if near:
@@ -97,16 +100,20 @@ class Scanner:
                     m = m if m and m.start() <= end + near and not text[m.start() - 1].isdigit() else None
                 else:
                     m = pattern.match(text, start) if start >= past else None
+                    if m is None and run and start >= past:
+                        past = run.match(text, start).end()
                 if m:
                     past = m.end()
                     if valid(m):
                         found.append((m.start(), k, m.end()))
         mapped = raw.translate(_HEX_CLASS)
-        at = mapped.find(_HEX_RUN)
+        at, before, place = mapped.find(_HEX_RUN), 0, 0  # place: the code points up to byte `before`
         while at >= 0:
-            m = HEX.match(text, len(raw[:at].decode("utf-8", "surrogatepass")))
+            place += len(raw[before:at].decode("utf-8", "surrogatepass"))
+            m = HEX.match(text, place)
             found.append((m.start(), 2, m.end()))
-            at = mapped.find(_HEX_RUN, at + m.end() - m.start())
+            before, place = at + m.end() - m.start(), m.end()
+            at = mapped.find(_HEX_RUN, before)
         return sorted(found)
 
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small fixtures, with the cases their docstrings define."""
 
+import base64
 import hashlib
 import random
 import re
@@ -346,6 +347,47 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score_quality(docs(spark, []), quality.train_quality(docs(spark, []), labels)).collect() == []
 
 
+def test_fit_equals_a_plain_solver():
+    r = np.random.default_rng(3)
+    lists = [np.unique(r.choice(60, 12) + 15 * (k % 3 == 0)).astype(np.int32) for k in range(45)]
+    labels = np.array([int(k % 3 == 0) for k in range(45)])
+    labels[[1, 6]] ^= 1  # not separable
+    model = quality.fit_nbsvm(quality.Rows.of(lists), labels, epochs=2000)
+    # The plain way: a dense matrix of scaled indicators, projected gradient steps on the dual.
+    y = np.where(labels == 1, 1.0, -1.0)
+    x = np.zeros((45, 80))
+    for k, own in enumerate(lists):
+        x[k, own] = 1
+    good, bad = 1 + x[y > 0].sum(axis=0), 1 + x[y < 0].sum(axis=0)
+    ratio = np.log(good / ((y > 0).sum() + 2)) - np.log(bad / ((y < 0).sum() + 2))
+    z = np.hstack([x * ratio / np.sqrt(x.sum(axis=1))[:, None], np.ones((45, 1))])
+    most = np.where(y > 0, 45 / (2 * (y > 0).sum()), 45 / (2 * (y < 0).sum()))
+    q = (z @ z.T) * np.outer(y, y)
+    alpha = np.zeros(45)
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(40_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) * step, 0, most)
+    w = z.T @ (alpha * y)
+    margins = np.array([model.weights[own].sum() / np.sqrt(len(own)) for own in lists]) + model.bias
+    assert np.abs(margins - z @ w).max() < 0.02
+    assert np.abs(model.weights[:80] - w[:80] * ratio).max() < 0.02 and abs(model.bias - w[80]) < 0.02
+
+
+def test_sample_is_bounded(spark):
+    rows = [(k, "ab cd ef " * 40) for k in range(30)] + [(3, "ab cd ef " * 40)] * 200
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit_nbsvm = quality.fit_nbsvm, lambda x, y: seen.append((len(x), len(y))) or fit(x, y)
+    try:
+        quality.train_quality(docs(spark, rows), labels)
+        quality.train_quality(docs(spark, rows), labels, sample_rows=20)
+        quality.train_quality(docs(spark, rows), labels, sample_features=5 * (360 * 4 + 8))
+        quality.train_quality(docs(spark, rows), labels, sample_features=1)
+    finally:
+        quality.fit_nbsvm = fit
+    assert seen == [(30, 30), (20, 20), (5, 5), (1, 1)]
+
+
 def test_indicators_cover_long_texts():
     import pyarrow as pa
 
@@ -377,6 +419,30 @@ def test_secrets_equal_plain_scans(spark):
     assert secrets.scan_secrets(docs(spark, [])).collect() == []
 
 
+def test_time_grows_with_the_text():
+    import time
+
+    scanner = secrets.Scanner()
+    parts = ["0123456789abcdef" * 2 + " é ", "eyJ", "eyJ-abc.", "token    ", "AKIA", "password=", "card 4 1 2 3 ", "-"]
+    for part in parts:
+        small, large = part * (200_000 // len(part)), part * (5_000_000 // len(part))
+        began = time.perf_counter()
+        scanner.spans(small)
+        between = time.perf_counter()
+        scanner.spans(large)
+        assert time.perf_counter() - between < 1 + 100 * (between - began), part  # 25 times the text; 625 if it were the square
+
+
+def test_headers_in_runs_equal_a_plain_scan():
+    header = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    r = random.Random(9)
+    parts = ["eyJ", header, ".", "..", "abc", " ", "eyJ.", "-", "x.y."]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(12)))
+        plain = [(m.start(), m.end()) for m in secrets.JWT.finditer(text) if secrets._is_header(m[1])]
+        assert [(s, e) for s, k, e in secrets.Scanner().spans(text) if secrets.KINDS[k][0] == "jwt"] == plain, text
+
+
 def test_embedded_checksums(spark):
     body = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
     good, bad = f"ghp_{body}{secrets.crc_base62(body)}", f"ghp_{body}000000"
@@ -400,7 +466,10 @@ def test_chat_round_trip(spark):
     for e in chat_format.expand(segments).collect():
         expanded.setdefault(e.conv_id, []).append(e)
     key = lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, x[3] or "")
-    convs = {c: sorted([x for x in rows if x[0] == c], key=key) for c in {x[0] for x in rows} - {None}}
+    convs = {c: sorted([x for x in rows if x[0] == c], key=key) for c in {x[0] for x in rows}}
+    listed = {}
+    for e in chat_format.examples(segments).collect():
+        listed.setdefault(e.conv_id, []).append(e)
     assert got.keys() == convs.keys()
     for c, turns in convs.items():
         replies = [x[3] or "" for x in turns if x[2] == "assistant"]
@@ -409,6 +478,9 @@ def test_chat_round_trip(spark):
         assert got[c][3:5] == (len("".join(replies)), hashlib.sha256("".join(replies).encode()).hexdigest())
         examples = sorted(expanded.get(c, []), key=lambda e: e.example)
         assert [chat_format.unescape(e.text[e.loss_start : e.loss_end]) for e in examples] == replies
+        spans = sorted(listed.get(c, []), key=lambda e: e.example)
+        assert [(e.target_end, e.loss_start, e.loss_end) for e in spans] == [(len(e.text), e.loss_start, e.loss_end) for e in examples]
+        assert all(s.context_start == 0 and chat_format.parse_segment(e.text[s.context_end :])[1] == reply for s, e, reply in zip(spans, examples, replies, strict=True))
         for e in examples:  # all turns before, the reply last
             before = [chat_format.parse_segment(s + "</turn>\n") for s in e.text.split("</turn>\n")[:-1]]
             assert before == [(x[2] or "", x[3] or "") for x in turns[: len(before)]] and before[-1][0] == "assistant"

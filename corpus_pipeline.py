@@ -13,28 +13,51 @@ from quillspark.llm.quality import score_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
-    scored = score_quality(docs, queries.quality_model(spark, docs, sf_dir))
-    return scored.filter(F.col("score") >= queries.QUALITY_THRESHOLD).select(*docs.columns)
+    """Documents that the classifier doesn't reject.
+
+    A null text scores as an empty one; a score at the threshold stays; repeated rows stay or go together; rows without
+    doc_id are judged by their text. An empty table stays empty. All columns keep their values.
+    """
+    (score,) = frames.unused(docs, "_score")
+    scored = score_quality(docs, queries.quality_model(spark, docs, sf_dir), score)
+    return scored.filter(F.col(score) >= queries.QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; n_chars follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Documents without recurring lines; a column n_chars follows the text, all others keep their values.
+
+    Null texts stay null, and rows without doc_id stay as they are. Of a recurring line the largest doc_id keeps all
+    its places; repeated rows lose the same lines. A document that loses all lines has an empty text. No row goes.
+    """
+    lines, dropped = frames.unused(docs, "_lines", "_dropped")
+    out = dedup_lines(docs, n_lines=lines, n_dropped=dropped)
+    return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the smallest doc_id.
+
+    Null and wordless texts and rows without doc_id are nobody's copies and stay. Of rows that repeat a doc_id one
+    stays, whatever their texts. An empty table stays empty. All columns keep their values.
+    """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item.
+
+    Null texts and rows without doc_id stay. Rows that repeat a doc_id go together if any of them leaks, and so does a
+    document at the thresholds. Without benchmark or documents nothing goes. All columns keep their values.
+    """
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into sequences."""
+    """Pieces of documents, packed into sequences: the columns of queries.packed(), in place of those of the documents.
+
+    A null text is packed as an empty one; repeated rows and rows without doc_id are packed each. No documents give no
+    pieces.
+    """
     return queries.packed(docs)
 
 

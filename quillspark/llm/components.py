@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.frames import cut
+from quillspark.llm.frames import BROADCAST_ROWS, cut
+
+#: A node with more edges than this is a hub: its minimum goes to the edges, not its edges to one task.
+HUB_EDGES = 256
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+    hubs = least.filter(F.col("n") > HUB_EDGES)
+    if not 0 < hubs.count() <= BROADCAST_ROWS:
+        return _moved(both, least)
+    of_hubs = both.join(F.broadcast(hubs.select("u")), "u", "left_semi")
+    others = both.join(F.broadcast(hubs.select("u")), "u", "left_anti")
+    return _moved(of_hubs, F.broadcast(hubs)).unionByName(_moved(others, least.filter(F.col("n") <= HUB_EDGES)))
+
+
+def _moved(both: DataFrame, least: DataFrame) -> DataFrame:
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 

@@ -1,14 +1,17 @@
 """Near-duplicate groups by MinHash with tensored banding and exact verification.
 
 Two collections of `halves` short MinHash bands are computed for each document. A table key is a pair, one band of each
-collection, so halves ** 2 tables need only 2 * halves bands: 48 MinHash values stand for 64 tables of 6 rows, where
-plain banding would compute 384. A pair with Jaccard similarity s shares a table with probability
-(1 - (1 - s ** rows) ** halves) ** 2: 0.999 at 0.85 with eight bands of three rows, and at 0.8 with eight of two.
-
-Documents with the same shingle set are one text and are collapsed first. Texts that share a table key, directly or
-through others, form a candidate cluster. Inside a cluster every pair is decided on the full sets by whichever task
-holds the two blocks it belongs to, so no link between texts that met in a table is lost and none is unverified;
-clusters are cut into blocks of bounded size, and each pair of blocks returns only a spanning forest of its links.
+collection, so halves ** 2 tables need only 2 * halves bands: 80 MinHash values stand for 100 tables of 8 values, where
+plain banding would compute 800. A pair with Jaccard similarity s shares a table with probability
+(1 - (1 - s ** rows) ** halves) ** 2: with ten bands of four rows 0.999 at 0.85, 0.006 at 0.3. Only bands that some
+other text has are paired.
+
+Documents with the same shingle set are one text and are collapsed first. Every text is compared, on the full sets,
+with the least text of each of its tables; that is linear in the texts, however large a table is, and joins most of
+what belongs together. What is left are tables whose texts are not yet of one component. They are joined to clusters of
+bounded size, or stay by themselves where a cluster would be larger, and inside each, all pairs of texts of different
+components are decided by whichever task holds the two blocks they belong to. So no link between texts that met in a
+table is lost and none is unverified; a pair of blocks returns only a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm import bytewords as bw
 from quillspark.llm.components import connected_components
-from quillspark.llm.frames import bounded_broadcast, cut, groups, python_workers, unused
+from quillspark.llm.frames import bounded_broadcast, cut, groups, partitions_for, python_workers, unused
 
-#: Most texts and most shingles of a block of a candidate cluster.
+#: Most texts and most shingles of a block of candidates, and of a cluster that several tables are joined to.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Texts that one task compares with the least text of a table, and sets that a task gets in all, roughly.
+STAR_TEXTS, TASK_SETS = 256, 20_000
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
@@ -70,16 +74,43 @@ def _with_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for s in _sets(batch, words)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("cluster"), batch.column("n_blocks"), pa.array(sets, pa.binary())],
-                ["doc_id", "cluster", "n_blocks", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "n_shingles", "shingles"])
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, per_cent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if 100 * min(len(x), len(y)) < per_cent * max(len(x), len(y)):
+        return False
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * shared >= per_cent * (len(x) + len(y) - shared)
+
+
+def _verify(per_cent: int):
+    """Links of texts with the head of their group; only the head is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, heads = None, []
+        for batch in batches:
+            u, v = [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("head", "part", "member", "doc_id", "shingles")), strict=True)
+            for head, part, member, doc_id, shingles in rows:
+                if (head, part) != own:
+                    own, heads = (head, part), []
+                x = np.frombuffer(shingles, np.uint64)
+                if not member:
+                    heads.append(x)
+                elif any(_similar(x, y, per_cent) for y in heads):
+                    u.append(doc_id)
+                    v.append(head)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _forest(ids: list[int], sets: list[np.ndarray], side: np.ndarray, same: bool, per_cent: int) -> list[tuple[int, int]]:
-    """Links that join what is linked among the sets; between the two sides only, unless they are the same block."""
+def _forest(ids: list[int], sets: list[np.ndarray], side: np.ndarray, same: bool, per_cent: int, component: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join what is linked among the sets and not of one component already; between the two sides only, unless they are the same block."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(n), sizes)
@@ -89,7 +120,7 @@ def _forest(ids: list[int], sets: list[np.ndarray], side: np.ndarray, same: bool
     keep = common[at]
     owner, at = owner[keep], number[at[keep]]
     width = int(common.sum())
-    root = np.arange(n)
+    root = np.arange(n) if component is None else np.unique(np.array(component, np.int64), return_inverse=True)[1]
     found: list[tuple[int, int]] = []
     dense = width and n * width <= 256_000_000
     if dense:
@@ -128,11 +159,11 @@ def _resolve(per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: list[int] = []
         v: list[int] = []
-        for table in groups(batches, ["cluster", "i", "j"]):
+        for table in groups(batches, ["cluster", "by_table", "i", "j"]):
             ids = table.column("doc_id").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            for x, y in _forest(ids, sets, np.array(table.column("block").to_pylist()), i == j, per_cent):
+            for x, y in _forest(ids, sets, np.array(table.column("block").to_pylist()), i == j, per_cent, table.column("component").to_pylist()):
                 u.append(x)
                 v.append(y)
             if len(u) > 10_000:
@@ -143,7 +174,61 @@ def _resolve(per_cent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves: int = 8, rows: int = 2) -> DataFrame:
+def _tables(texts: DataFrame, halves: int) -> DataFrame:
+    """(rep, n_shingles, key) of the tables that may hold more than one text."""
+    bands = texts.select("rep", "n_shingles", F.posexplode("bands").alias("at", "band"))
+    shared = bands.groupBy("at", "band").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    own = bands.join(shared, ["at", "band"]).groupBy("rep", "n_shingles").agg(F.collect_list(F.struct("at", "band")).alias("own"))
+    first, second = F.filter("own", lambda x: x["at"] < halves), F.filter("own", lambda x: x["at"] >= halves)
+    keys = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["at"], y["at"], x["band"], y["band"]))))
+    return own.select("rep", "n_shingles", F.explode(keys).alias("key"))
+
+
+def _star_links(tables: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """(u, v): the links of each text with the least text of each of its tables. A head's texts are dealt in parts."""
+    heads = tables.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("h"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("h.rep").alias("head"), F.col("h.n_shingles").alias("n_head"))
+    near = 100 * F.least("n_shingles", "n_head") >= per_cent * F.greatest("n_shingles", "n_head")
+    pairs = cut(tables.join(heads, "key").filter((F.col("rep") != F.col("head")) & near).select("rep", "head").distinct())
+    sizes = cut(pairs.groupBy("head").agg(F.ceil(F.count("*") / STAR_TEXTS).cast("int").alias("parts")))
+    members = pairs.join(bounded_broadcast(sizes), "head").select("head", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), F.col("rep").alias("doc_id"))
+    own = sizes.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("head").alias("doc_id"))
+    dealt = members.unionByName(own).join(sets.select("doc_id", "shingles"), "doc_id")
+    n = partitions_for(sets.sparkSession, pairs.count(), TASK_SETS)
+    return dealt.repartition(n, "head", "part").sortWithinPartitions("head", "part", "member").select("head", "part", "member", "doc_id", "shingles").mapInArrow(_verify(per_cent), "u long, v long")
+
+
+def _block_links(tables: DataFrame, components: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame | None:
+    """(u, v): links between texts of one table but of different components; None if there can be none.
+
+    A table's least text has been compared with all others, so a table of two texts is done.
+    """
+    placed = cut(tables.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), "n_shingles"))
+    of_table = [F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.min("rep").alias("head"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y")]
+    mixed = placed.groupBy("key").agg(*of_table).filter("a != b AND n > 2")
+    mixed = cut(mixed.groupBy("head", "n", "x", "y").agg(F.min("key").alias("key")))  # tables with the same texts are one
+    if not mixed.count():
+        return None
+    left = cut(placed.join(bounded_broadcast(mixed.select("key", "head")), "key"))
+    together = connected_components(left.select(F.col("rep").alias("u"), F.col("head").alias("v")).filter("u != v"))
+    named = left.join(together.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    texts = cut(named.select("cluster", "rep", "component", "n_shingles").distinct())
+    sizes = texts.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).withColumn("by_table", (F.col("n") > BLOCK_TEXTS) | (F.col("m") > BLOCK_SHINGLES))
+    sizes = cut(sizes.select("cluster", "by_table"))
+    small = texts.join(bounded_broadcast(sizes.filter("NOT by_table")), "cluster").select("cluster", "by_table", "rep", "component", "n_shingles")
+    large = named.join(bounded_broadcast(sizes.filter("by_table")), "cluster").select(F.col("key").alias("cluster"), "by_table", "rep", "component", "n_shingles")
+    every = cut(small.unionByName(large))
+    blocks = every.groupBy("cluster", "by_table").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
+    every = every.join(bounded_broadcast(cut(blocks)), ["cluster", "by_table"])
+    block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
+    # Block b meets the blocks j > b as (b, j), those below as (j, b), and itself as (b, b).
+    dealt = every.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = cut(dealt.select("cluster", "by_table", F.col("rep").alias("doc_id"), "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    full = dealt.join(sets.select("doc_id", "shingles"), "doc_id")
+    n = partitions_for(sets.sparkSession, dealt.count(), TASK_SETS)
+    return full.repartition(n, "cluster", "by_table", "i", "j").sortWithinPartitions("cluster", "by_table", "i", "j", "doc_id").mapInArrow(_resolve(per_cent), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves: int = 12, rows: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each distinct doc_id of docs(doc_id, text, ...).
 
     Texts are linked when 100 * intersection >= per_cent * union of their sets of `words`-word shingles (A-Z lowered,
@@ -151,8 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves:
     smallest doc_id reachable over links, kept tells whether it is the document itself.
 
     Null or wordless texts have no shingles and are linked with nothing. Rows that repeat a doc_id are one document
-    (with different texts it takes the smallest component_id and the largest n_shingles of any). Rows
-    without doc_id take part in nothing and give one row of nulls with kept true each. Other columns are ignored.
+    (with different texts it is linked by any of them, and takes the smallest component_id and the largest n_shingles).
+    Rows without doc_id take part in nothing and give one row of nulls with kept true each. Other columns are ignored.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -162,27 +247,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves:
     named = signed.filter("doc_id IS NOT NULL")
     texts = cut(named.filter("s1 IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
 
-    first, second = F.slice("bands", 1, halves), F.slice("bands", halves + 1, halves)
-    keys = F.flatten(F.transform(first, lambda x, i: F.transform(second, lambda y, j: F.xxhash64(i, j, x, y))))
-    keyed = texts.select("rep", F.explode(keys).alias("key"))
-    head = F.first("rep").over(Window.partitionBy("key").orderBy("rep"))
-    met = keyed.select(F.col("rep").alias("u"), head.alias("v")).filter("u != v").distinct()
-    clusters = connected_components(met)
-    sized = clusters.join(texts.select(F.col("rep").alias("node"), "n_shingles"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n_shingles")
-    sized = cut(sized)
-    cluster_sizes = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
-    wanted = cut(sized.join(cluster_sizes, "cluster").select("doc_id", "cluster", "n_blocks", F.col("n_shingles").alias("n_wanted")))
-
-    # The text of the representative itself: a doc_id that repeats with other texts has other sets, told apart below.
-    chosen = source.join(bounded_broadcast(wanted), "doc_id").select("doc_id", "text", "cluster", "n_blocks")
-    sets = chosen.mapInArrow(_with_sets(words), "doc_id long, cluster long, n_blocks int, shingles binary")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")
-    # Block b meets the blocks j > b as (b, j), those below as (j, b), and itself as (b, b).
-    dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "n_blocks")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id").mapInArrow(_resolve(per_cent), "u long, v long")
-    linked = cut(connected_components(links.filter("u != v")))
+    tables = cut(_tables(texts, halves))
+    met = cut(tables.select(F.col("rep").alias("doc_id")).distinct())
+    sets = cut(source.join(bounded_broadcast(met), "doc_id").mapInArrow(_with_sets(words), "doc_id long, n_shingles long, shingles binary").dropDuplicates(["doc_id", "shingles"]).filter("n_shingles > 0"))
+    links = cut(_star_links(tables, sets, per_cent))
+    linked = connected_components(links)
+    if (more := _block_links(tables, linked, sets, per_cent)) is not None:
+        linked = connected_components(links.unionByName(cut(more)))
+    linked = cut(linked)
 
     member = named.join(texts.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     placed = member.join(bounded_broadcast(linked.select(F.col("node").alias("rep"), "component")), "rep", "left")

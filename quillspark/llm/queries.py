@@ -42,7 +42,7 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> QualityM
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(frames.documents(spark, sf_dir), words=3, per_cent=85, halves=8, rows=3)
+    return near_duplicates(frames.documents(spark, sf_dir), words=3, per_cent=85, halves=10, rows=4)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm import bytewords as bw
-from quillspark.llm import chat_format, decontaminate, fingerprints, license_scan, line_dedup, minhash_dedup, packing, quality, secrets, url_filter
+from quillspark.llm import chat_format, components, decontaminate, fingerprints, license_scan, line_dedup, minhash_dedup, packing, quality, secrets, url_filter
 from quillspark.llm.components import connected_components
 
 DOCS = "doc_id long, text string, component_id string, n_lines int, cluster string"
@@ -55,6 +55,16 @@ def brute_components(rows, size, per_cent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def brute_pairs(rows, size, per_cent):
+    """The second of each pair of consecutive rows that is linked with the first."""
+    out = set()
+    for (_, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = (set(zip(*(t.split()[k:] for k in range(size)), strict=False)) for t in (a, b))
+        if 100 * len(x & y) >= per_cent * len(x | y):
+            out.add(j)
+    return out
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rows, base = [], words(120, 1, 5000)
     for k in range(60):  # a chain of edits, and copies
@@ -63,7 +73,7 @@ def test_near_duplicates_equal_brute_force(spark):
         rows.append((k, " ".join(base)))
     rows += [(100 + k, " ".join(words(80, k, 5000))) for k in range(20)] + [(200, rows[3][1].upper().replace("EDIT", "edit")), (201, rows[3][1]), (202, "a b"), (203, "A\tb"), (204, ""), (205, None), (206, "\x1f"), (207, "one")]
     expected = brute_components(rows, 3, 85)
-    got = rows_of(minhash_dedup.near_duplicates(docs(spark, rows), words=3, per_cent=85, halves=8, rows=3))
+    got = rows_of(minhash_dedup.near_duplicates(docs(spark, rows), words=3, per_cent=85, halves=10, rows=4))
     assert {i: (r[1], r[2]) for i, r in got.items()} == expected
     assert all(r[3] == (r[0] == r[2]) for r in got.values())
 
@@ -76,6 +86,59 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {i: (r[1], r[2]) for i, r in got.items()} == brute_components(rows, 5, 80)
 
 
+@pytest.mark.parametrize("most", [1024, 8])
+def test_tables_of_several_components(spark, monkeypatch, most):
+    """Texts that share much but not enough, and chains among them: the least text of a table doesn't decide."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_TEXTS", most)
+    monkeypatch.setattr(minhash_dedup, "STAR_TEXTS", 3)
+    monkeypatch.setattr(components, "HUB_EDGES", 4)
+    r, base, rows = random.Random(6), words(150, 6, 5000), []
+    for k in range(60):
+        own = list(base)
+        for i in range(150):
+            if r.random() < 0.012 * (1 + k % 4):
+                own[i] = f"x{r.randrange(4)}"
+        rows.append((r.randrange(10_000) * 100 + k, " ".join(own)))
+    expected = brute_components(rows, 3, 85)
+    assert 2 < len({c for _, c in expected.values()}) < 60
+    seen = []
+    blocks, own_blocks = minhash_dedup._block_links, lambda *a: seen.append(blocks(*a)) or seen[-1]
+    monkeypatch.setattr(minhash_dedup, "_block_links", own_blocks)
+    got = rows_of(minhash_dedup.near_duplicates(docs(spark, rows), words=3, per_cent=85, halves=10, rows=2))
+    assert {i: (x[1], x[2]) for i, x in got.items()} == expected
+    assert seen[0] is not None
+
+
+def test_work_is_linear_in_texts_with_common_passages(spark):
+    """Boilerplate that all texts share, though none is a copy: what is compared doesn't grow with the square."""
+    common = words(40, 1, 5000)
+    rows = [(k, " ".join(common + words(60, 100 + k, 100_000))) for k in range(300)] + [(900, " ".join(common + words(60, 100, 100_000)))]
+    pairs = []
+    star, counted = minhash_dedup._star_links, lambda t, s, p: pairs.append(t.groupBy("key").count().filter("count > 1").agg({"count": "sum"}).first()[0] or 0) or star(t, s, p)
+    minhash_dedup._star_links = counted
+    try:
+        got = rows_of(minhash_dedup.near_duplicates(docs(spark, rows), words=3, per_cent=85, halves=10, rows=4))
+    finally:
+        minhash_dedup._star_links = star
+    assert {i for i, x in got.items() if not x[3]} == {900} and got[900][2] == 0
+    assert pairs[0] < 100 * len(rows)
+
+
+def test_recall_against_an_exact_join(spark):
+    r, rows, n = random.Random(12), [], 0
+    for k in range(400):  # pairs of similarities on both sides of the threshold
+        base = words(100, 5000 + k, 100_000)
+        edits = r.randrange(1, 6)
+        other = list(base)
+        for i in r.sample(range(100), edits):
+            other[i] = f"edit{k}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    expected = brute_pairs(rows, 3, 85)
+    got = rows_of(minhash_dedup.near_duplicates(docs(spark, rows), words=3, per_cent=85, halves=10, rows=4))
+    found = {i for i, x in got.items() if not x[3]}
+    assert found <= expected and len(found) >= 0.99 * len(expected) and 100 < len(expected) < 390
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash_dedup.near_duplicates(docs(spark, [])).collect() == []
     out = minhash_dedup.near_duplicates(docs(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")])).collect()

@@ -8,9 +8,9 @@ other text has are paired.
 
 Documents with the same shingle set are one text and are collapsed first. Every text is compared, on the full sets,
 with the least text of each of its tables; that is linear in the texts, however large a table is, and joins most of
-what belongs together. What is left are tables whose texts are not yet of one component. They are joined to clusters of
-bounded size, or stay by themselves where a cluster would be larger, and inside each, all pairs of texts of different
-components are decided by whichever task holds the two blocks they belong to. So no link between texts that met in a
+what belongs together. What is left are tables whose texts are not yet of one component. They are joined to clusters,
+or stay by themselves where that sends fewer sets, and inside each, all pairs of texts of different components are
+decided by whichever task holds the two blocks they belong to. So no link between texts that met in a
 table is lost and none is unverified; a pair of blocks returns only a spanning forest of its links.
 """
 
@@ -20,15 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytewords as bw
 from quillspark.llm.components import connected_components
 from quillspark.llm.frames import bounded_broadcast, cut, groups, partitions_for, python_workers, unused
 
-#: Most texts and most shingles of a block of candidates, and of a cluster that several tables are joined to.
-BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Most texts and most shingles of a block of candidates.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 2_000_000
 #: Texts that one task compares with the least text of a table, and sets that a task gets in all, roughly.
 STAR_TEXTS, TASK_SETS = 256, 20_000
 
@@ -203,21 +203,30 @@ def _block_links(tables: DataFrame, components: DataFrame, sets: DataFrame, per_
     A table's least text has been compared with all others, so a table of two texts is done.
     """
     placed = cut(tables.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), "n_shingles"))
-    of_table = [F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.min("rep").alias("head"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y")]
-    mixed = placed.groupBy("key").agg(*of_table).filter("a != b AND n > 2")
-    mixed = cut(mixed.groupBy("head", "n", "x", "y").agg(F.min("key").alias("key")))  # tables with the same texts are one
-    if not mixed.count():
+    of_table = [F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n"), F.sum("n_shingles").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y")]
+    mixed = placed.groupBy("key").agg(*of_table).filter("first != last AND n > 2")
+    mixed = cut(mixed.groupBy("first", "n", "m", "x", "y").agg(F.min("key").alias("key")))  # tables with the same texts are one
+    n_mixed = mixed.count()
+    if not n_mixed:
         return None
-    left = cut(placed.join(bounded_broadcast(mixed.select("key", "head")), "key"))
-    together = connected_components(left.select(F.col("rep").alias("u"), F.col("head").alias("v")).filter("u != v"))
-    named = left.join(together.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
-    texts = cut(named.select("cluster", "rep", "component", "n_shingles").distinct())
-    sizes = texts.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).withColumn("by_table", (F.col("n") > BLOCK_TEXTS) | (F.col("m") > BLOCK_SHINGLES))
-    sizes = cut(sizes.select("cluster", "by_table"))
+    # Tables with a component in common are one cluster, of components first.
+    met = placed.join(bounded_broadcast(mixed.select("key", "first"), n_mixed), "key")
+    together = cut(connected_components(met.select(F.col("component").alias("u"), F.col("first").alias("v")).filter("u != v").distinct()))
+    cluster = bounded_broadcast(together.select(F.col("node").alias("component"), F.col("component").alias("cluster")))
+    texts = cut(met.select("rep", "component", "n_shingles").distinct().join(cluster, "component"))
+
+    # How many sets the pairs of blocks of a cluster get, and those of its tables by themselves: the fewer.
+    def of_blocks(n: str, m: str) -> Column:
+        return F.ceil(F.greatest(F.col(n) / BLOCK_TEXTS, F.col(m) / BLOCK_SHINGLES)).cast("int")
+
+    whole = texts.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    single = mixed.join(cluster, F.col("first") == F.col("component")).groupBy("cluster").agg(F.sum(F.col("n") * of_blocks("n", "m")).alias("sent"))
+    sizes = cut(whole.join(single, "cluster").select("cluster", (F.col("n") * of_blocks("n", "m") > F.col("sent")).alias("by_table")))
     small = texts.join(bounded_broadcast(sizes.filter("NOT by_table")), "cluster").select("cluster", "by_table", "rep", "component", "n_shingles")
-    large = named.join(bounded_broadcast(sizes.filter("by_table")), "cluster").select(F.col("key").alias("cluster"), "by_table", "rep", "component", "n_shingles")
+    large = texts.select("rep", "cluster").join(bounded_broadcast(sizes.filter("by_table")), "cluster").select("rep", "by_table")
+    large = met.join(large, "rep").select(F.col("key").alias("cluster"), "by_table", "rep", "component", "n_shingles")
     every = cut(small.unionByName(large))
-    blocks = every.groupBy("cluster", "by_table").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
+    blocks = every.groupBy("cluster", "by_table").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).select("cluster", "by_table", of_blocks("n", "m").alias("n_blocks"))
     every = every.join(bounded_broadcast(cut(blocks)), ["cluster", "by_table"])
     block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
     # Block b meets the blocks j > b as (b, j), those below as (j, b), and itself as (b, b).

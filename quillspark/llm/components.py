@@ -11,9 +11,9 @@ from quillspark.llm.frames import BROADCAST_ROWS, cut
 HUB_EDGES = 256
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+    least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), 2 * n_edges)
     hubs = least.filter(F.col("n") > HUB_EDGES)
     if not 0 < hubs.count() <= BROADCAST_ROWS:
         return _moved(both, least)
@@ -36,17 +36,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(u, v); component is the smallest node that can be reached.
 
-    Loops and repeated edges do no harm; an empty table gives an empty result. Minima are combined before each
+    edges is read twice. Loops and repeated edges do no harm; an empty table gives an empty result. Minima are combined before each
     shuffle, so a node with very many edges costs one row per map task there. Each round is checkpointed.
     """
-    state = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    n = edges.count()
+    state = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n)
     sign = None
     while True:
         now = state.agg(F.count("*"), F.sum("u"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == sign:
             break
         sign = tuple(now)
-        state = cut(_small_star(_large_star(state).distinct()).distinct())
+        state = cut(_small_star(_large_star(state, n).distinct()).distinct(), n)
     nodes = state.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)

@@ -20,6 +20,8 @@ ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 BROADCAST_ROWS = 1_000_000
 #: Narrow rows of a task of a shuffle whose number of partitions is fixed.
 TASK_ROWS = 1_000_000
+#: Narrow rows of a file of a checkpoint whose number of rows is known.
+FILE_ROWS = 250_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +55,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the shared folder and go on from there."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Checkpoint df in the shared folder and go on from there.
+
+    If df is known to have at most so many narrow rows, they are put into as few files as these fill; each shuffle
+    that follows then writes as few.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:

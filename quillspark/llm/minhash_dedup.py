@@ -184,36 +184,36 @@ def _tables(texts: DataFrame, halves: int) -> DataFrame:
     return own.select("rep", "n_shingles", F.explode(keys).alias("key"))
 
 
-def _star_links(tables: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def _star_links(tables: DataFrame, n: int, sets: DataFrame, per_cent: int) -> DataFrame:
     """(u, v): the links of each text with the least text of each of its tables. A head's texts are dealt in parts."""
     heads = tables.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("h"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("h.rep").alias("head"), F.col("h.n_shingles").alias("n_head"))
     near = 100 * F.least("n_shingles", "n_head") >= per_cent * F.greatest("n_shingles", "n_head")
-    pairs = cut(tables.join(heads, "key").filter((F.col("rep") != F.col("head")) & near).select("rep", "head").distinct())
-    sizes = cut(pairs.groupBy("head").agg(F.ceil(F.count("*") / STAR_TEXTS).cast("int").alias("parts")))
+    pairs = cut(tables.join(heads, "key").filter((F.col("rep") != F.col("head")) & near).select("rep", "head").distinct(), n)
+    sizes = cut(pairs.groupBy("head").agg(F.ceil(F.count("*") / STAR_TEXTS).cast("int").alias("parts")), n)
     members = pairs.join(bounded_broadcast(sizes), "head").select("head", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), F.col("rep").alias("doc_id"))
     own = sizes.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("head").alias("doc_id"))
     dealt = members.unionByName(own).join(sets.select("doc_id", "shingles"), "doc_id")
-    n = partitions_for(sets.sparkSession, pairs.count(), TASK_SETS)
-    return dealt.repartition(n, "head", "part").sortWithinPartitions("head", "part", "member").select("head", "part", "member", "doc_id", "shingles").mapInArrow(_verify(per_cent), "u long, v long")
+    tasks = partitions_for(sets.sparkSession, pairs.count(), TASK_SETS)
+    return dealt.repartition(tasks, "head", "part").sortWithinPartitions("head", "part", "member").select("head", "part", "member", "doc_id", "shingles").mapInArrow(_verify(per_cent), "u long, v long")
 
 
-def _block_links(tables: DataFrame, components: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame | None:
+def _block_links(tables: DataFrame, n: int, components: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame | None:
     """(u, v): links between texts of one table but of different components; None if there can be none.
 
     A table's least text has been compared with all others, so a table of two texts is done.
     """
-    placed = cut(tables.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), "n_shingles"))
+    placed = cut(tables.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), "n_shingles"), n)
     of_table = [F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n"), F.sum("n_shingles").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y")]
     mixed = placed.groupBy("key").agg(*of_table).filter("first != last AND n > 2")
-    mixed = cut(mixed.groupBy("first", "n", "m", "x", "y").agg(F.min("key").alias("key")))  # tables with the same texts are one
+    mixed = cut(mixed.groupBy("first", "n", "m", "x", "y").agg(F.min("key").alias("key")), n)  # tables with the same texts are one
     n_mixed = mixed.count()
     if not n_mixed:
         return None
     # Tables with a component in common are one cluster, of components first.
     met = placed.join(bounded_broadcast(mixed.select("key", "first"), n_mixed), "key")
-    together = cut(connected_components(met.select(F.col("component").alias("u"), F.col("first").alias("v")).filter("u != v").distinct()))
+    together = cut(connected_components(cut(met.select(F.col("component").alias("u"), F.col("first").alias("v")).filter("u != v").distinct(), n)), n)
     cluster = bounded_broadcast(together.select(F.col("node").alias("component"), F.col("component").alias("cluster")))
-    texts = cut(met.select("rep", "component", "n_shingles").distinct().join(cluster, "component"))
+    texts = cut(met.select("rep", "component", "n_shingles").distinct().join(cluster, "component"), n)
 
     # How many sets the pairs of blocks of a cluster get, and those of its tables by themselves: the fewer.
     def of_blocks(n: str, m: str) -> Column:
@@ -221,20 +221,20 @@ def _block_links(tables: DataFrame, components: DataFrame, sets: DataFrame, per_
 
     whole = texts.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
     single = mixed.join(cluster, F.col("first") == F.col("component")).groupBy("cluster").agg(F.sum(F.col("n") * of_blocks("n", "m")).alias("sent"))
-    sizes = cut(whole.join(single, "cluster").select("cluster", (F.col("n") * of_blocks("n", "m") > F.col("sent")).alias("by_table")))
+    sizes = cut(whole.join(single, "cluster").select("cluster", (F.col("n") * of_blocks("n", "m") > F.col("sent")).alias("by_table")), n_mixed)
     small = texts.join(bounded_broadcast(sizes.filter("NOT by_table")), "cluster").select("cluster", "by_table", "rep", "component", "n_shingles")
     large = texts.select("rep", "cluster").join(bounded_broadcast(sizes.filter("by_table")), "cluster").select("rep", "by_table")
     large = met.join(large, "rep").select(F.col("key").alias("cluster"), "by_table", "rep", "component", "n_shingles")
-    every = cut(small.unionByName(large))
+    every = cut(small.unionByName(large), n)
     blocks = every.groupBy("cluster", "by_table").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).select("cluster", "by_table", of_blocks("n", "m").alias("n_blocks"))
-    every = every.join(bounded_broadcast(cut(blocks)), ["cluster", "by_table"])
+    every = every.join(bounded_broadcast(cut(blocks, n)), ["cluster", "by_table"])
     block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
     # Block b meets the blocks j > b as (b, j), those below as (j, b), and itself as (b, b).
     dealt = every.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = cut(dealt.select("cluster", "by_table", F.col("rep").alias("doc_id"), "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     full = dealt.join(sets.select("doc_id", "shingles"), "doc_id")
-    n = partitions_for(sets.sparkSession, dealt.count(), TASK_SETS)
-    return full.repartition(n, "cluster", "by_table", "i", "j").sortWithinPartitions("cluster", "by_table", "i", "j", "doc_id").mapInArrow(_resolve(per_cent), "u long, v long")
+    tasks = partitions_for(sets.sparkSession, dealt.count(), TASK_SETS)
+    return full.repartition(tasks, "cluster", "by_table", "i", "j").sortWithinPartitions("cluster", "by_table", "i", "j", "doc_id").mapInArrow(_resolve(per_cent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves: int = 12, rows: int = 4) -> DataFrame:
@@ -257,13 +257,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, halves:
     texts = cut(named.filter("s1 IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
 
     tables = cut(_tables(texts, halves))
-    met = cut(tables.select(F.col("rep").alias("doc_id")).distinct())
+    n = tables.count()
+    met = cut(tables.select(F.col("rep").alias("doc_id")).distinct(), n)
     sets = cut(source.join(bounded_broadcast(met), "doc_id").mapInArrow(_with_sets(words), "doc_id long, n_shingles long, shingles binary").dropDuplicates(["doc_id", "shingles"]).filter("n_shingles > 0"))
-    links = cut(_star_links(tables, sets, per_cent))
-    linked = connected_components(links)
-    if (more := _block_links(tables, linked, sets, per_cent)) is not None:
-        linked = connected_components(links.unionByName(cut(more)))
-    linked = cut(linked)
+    links = cut(_star_links(tables, n, sets, per_cent))
+    linked = cut(connected_components(links), n)
+    if (more := _block_links(tables, n, linked, sets, per_cent)) is not None:
+        more = cut(more)
+        linked = cut(connected_components(cut(links.unionByName(more), n + more.count())), n)
 
     member = named.join(texts.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     placed = member.join(bounded_broadcast(linked.select(F.col("node").alias("rep"), "component")), "rep", "left")

@@ -114,7 +114,7 @@ def test_work_is_linear_in_texts_with_common_passages(spark):
     common = words(40, 1, 5000)
     rows = [(k, " ".join(common + words(60, 100 + k, 100_000))) for k in range(300)] + [(900, " ".join(common + words(60, 100, 100_000)))]
     pairs = []
-    star, counted = minhash_dedup._star_links, lambda t, s, p: pairs.append(t.groupBy("key").count().filter("count > 1").agg({"count": "sum"}).first()[0] or 0) or star(t, s, p)
+    star, counted = minhash_dedup._star_links, lambda t, n, s, p: pairs.append(t.groupBy("key").count().filter("count > 1").agg({"count": "sum"}).first()[0] or 0) or star(t, n, s, p)
     minhash_dedup._star_links = counted
     try:
         got = rows_of(minhash_dedup.near_duplicates(docs(spark, rows), words=3, per_cent=85, halves=10, rows=4))

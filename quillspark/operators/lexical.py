@@ -1,12 +1,17 @@
 """Inverted index, BM25, phrases, query language, expansion and snippets.
 
-Queries come as a table and are answered together: one join of query terms with postings serves all of them.
+Queries come as a table and are answered together: one join of query terms with postings serves all of them. Without
+a stored index, search() scores the documents where they are read: no posting is shuffled.
 """
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +20,15 @@ from quillspark.functions.text import tokens
 from quillspark.functions.workers import ship_package
 
 K1, B = 1.2, 0.75
+#: A side of a join gets a broadcast hint only if a count shows that it has at most so many rows.
+BROADCAST_ROWS = 200_000
+#: Queries whose scores a task holds at once, and documents of a batch.
+QUERY_BLOCK, BATCH_DOCS = 2_048, 256
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows, with a broadcast hint if they are few; beyond that the join shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 # What a query that holds one of the keys is extended with.
 ALIASES: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = (
@@ -76,8 +90,8 @@ def query_terms(queries: DataFrame, key: str, text: str, analyse=tokens) -> Data
 
 def bm25(index: TextIndex, terms: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
     """(query_id, id, score): the sum of BM25 over fields and query terms."""
-    wanted = terms.select("term").distinct()
-    hits = index.postings.join(wanted, "term")
+    # A semi-join goes below the aggregation that makes the postings: other terms are never shuffled.
+    hits = index.postings.join(small(terms.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     weighted = df.join(F.broadcast(index.stats), "field").withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     boost = F.lit(1.0)
@@ -88,6 +102,118 @@ def bm25(index: TextIndex, terms: DataFrame, boosts: dict[str, float] | None = N
     return scored.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
+def search(docs: DataFrame, key: str, fields: list[str], terms: DataFrame, k: int, boosts: dict[str, float] | None = None, analysers: dict[str, Callable] | None = None) -> DataFrame:
+    """(query_id, id, score, rank): top_k() of bm25() of docs(key, fields...), without an index.
+
+    terms(query_id, term, times) are the queries', or (query_id, field, term, times) where fields have analysers of
+    their own (`analysers`, by field). Document frequencies and mean lengths are counted first, combined before their
+    shuffle; then each task scores its documents against blocks of queries and keeps the k best of each. What is
+    shuffled is tasks * queries * k rows, whatever the number of documents or the frequency of a term.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    own = analysers or {}
+    if "field" not in terms.columns:
+        terms = terms.select("query_id", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"), "term", "times")
+    arrays = docs.select(F.col(key).alias("id"), *[own.get(f, tokens)(f).alias(f"t{i}") for i, f in enumerate(fields)])
+    lengths = arrays.agg(F.count("*").alias("n"), *[F.avg(F.size(f"t{i}")).alias(f"dl{i}") for i in range(len(fields))]).first()
+    wanted = terms.select("field", "term").distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(f"t{i}").alias("terms")) for i, f in enumerate(fields)])).alias("f")
+    there = arrays.select(each).select("f.field", F.explode("f.terms").alias("term"))
+    df = there.join(small(wanted), ["field", "term"], "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(lengths["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = terms.join(df, ["field", "term"]).select("query_id", "field", "term", (F.col("times") * idf).alias("weight"))
+    id_type, query_type = dict(arrays.dtypes)["id"], dict(terms.dtypes)["query_id"]
+    out = None
+    block: list = []
+    rows = weighted.orderBy("query_id").toLocalIterator()
+
+    def scored(block: list) -> DataFrame:
+        part = _score_block(arrays, fields, block, [lengths[f"dl{i}"] or 1.0 for i in range(len(fields))], [float((boosts or {}).get(f, 1.0)) for f in fields], k)
+        return arrays.select("id", *[f"t{i}" for i in range(len(fields))]).mapInArrow(part, f"query_id {query_type}, id {id_type}, score double")
+
+    seen: set = set()
+    for row in rows:
+        if len(seen) == QUERY_BLOCK and row["query_id"] not in seen:
+            part = scored(block)
+            out, block, seen = part if out is None else out.unionByName(part), [], set()
+        seen.add(row["query_id"])
+        block.append((row["query_id"], row["field"], row["term"], row["weight"]))
+    if block:
+        part = scored(block)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"query_id {query_type}, id {id_type}, score double, rank int")
+    return top_k(out, k)
+
+
+def _score_block(arrays: DataFrame, fields: list[str], block: list, mean_lengths: list[float], boosts: list[float], k: int):
+    """A function from batches of token arrays to the k best documents of each query of a block."""
+    queries = sorted({q for q, *_ in block})
+    number = {q: i for i, q in enumerate(queries)}
+    index = []
+    for f in fields:
+        own = sorted((term, number[q], w) for q, field, term, w in block if field == f)
+        vocabulary = sorted({t for t, _, _ in own})
+        at = {t: i for i, t in enumerate(vocabulary)}
+        starts = np.searchsorted([at[t] for t, _, _ in own], np.arange(len(vocabulary) + 1))
+        index.append((vocabulary, starts, np.array([q for _, q, _ in own], np.int64), np.array([w for _, _, w in own], np.float64)))
+    shared = arrays.sparkSession.sparkContext.broadcast((queries, index))
+
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
+        queries, index = shared.value
+        total = np.zeros((batch.num_rows, len(queries)))
+        for i, (vocabulary, starts, owners, weights) in enumerate(index):
+            lists = batch.column(f"t{i}")
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.index_in(pc.list_flatten(lists), value_set=pa.array(vocabulary, pa.string()))
+            term = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(batch.num_rows), lengths)
+            use = term >= 0
+            code, tf = np.unique(doc[use] * max(1, len(vocabulary)) + term[use], return_counts=True)
+            doc, term = np.divmod(code, max(1, len(vocabulary)))
+            part = boosts[i] * ((K1 + 1) * tf) / (tf + K1 * (1 - B + B * lengths[doc] / mean_lengths[i]))
+            many = starts[term + 1] - starts[term]
+            first = np.cumsum(many) - many
+            row = np.repeat(starts[term] - first, many) + np.arange(many.sum())
+            flat = np.repeat(doc, many) * len(queries) + owners[row]
+            total += np.bincount(flat, weights[row] * np.repeat(part, many), total.size).reshape(total.shape)
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value[0]
+        kept: list[tuple] = []  # (query number, score, id) of what may be among the best
+
+        def best() -> tuple:
+            q, s = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept])
+            ids = pa.chunked_array([x[2] for x in kept]).combine_chunks()
+            by_id = np.empty(len(q), np.int64)
+            by_id[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(q))
+            order = np.lexsort((by_id, -np.round(s, 9), q))
+            q = q[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            order = order[place < k]
+            return q[place < k], s[order], ids.take(pa.array(order))
+
+        held = 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(a, BATCH_DOCS)
+                total = scores(part)
+                doc, query = np.nonzero(total)
+                kept.append((query, total[doc, query], part.column("id").take(pa.array(doc))))
+                held += len(doc)
+                if held > 2_000_000:
+                    kept = [best()]
+                    held = len(kept[0][0])
+        if kept:
+            q, s, ids = best()
+            kind = pa.int64() if all(isinstance(x, int) for x in queries) else pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array(queries, kind).take(pa.array(q)), pa.array(s), ids], ["query_id", "score", "id"]).select(["query_id", "id", "score"])
+
+    return run
+
+
 def top_k(scores: DataFrame, k: int, score: str = "score", ascending: bool = False) -> DataFrame:
     """The k best of each query with rank from 1; equal scores (to nine digits) go by id."""
     by = F.round(score, 9)
@@ -101,7 +227,7 @@ def phrase_matches(docs: DataFrame, key: str, text: str, phrases: DataFrame) ->
     asked = phrases.select("phrase_id", tokens("phrase").alias("w")).filter(F.size("w") > 0)
     asked = asked.select("phrase_id", F.size("w").alias("n"), F.posexplode("w").alias("k", "term"))
     # A phrase starts where every one of its words, less its place in the phrase, meets.
-    met = words.join(F.broadcast(asked), "term").select("phrase_id", "id", "n", (F.col("pos") - F.col("k")).alias("start"))
+    met = words.join(small(asked), "term").select("phrase_id", "id", "n", (F.col("pos") - F.col("k")).alias("start"))
     starts = met.groupBy("phrase_id", "id", "start", "n").agg(F.count("*").alias("found")).filter("found = n")
     return starts.groupBy("phrase_id", "id").agg(F.count("*").alias("tf"))
 

@@ -60,8 +60,7 @@ _TEXT_ONLY = {"text": ("text", 1.0)}
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    index = lexical.build_index(read(spark, d, "documents"), "doc_id", ["text"])
-    return lexical.top_k(lexical.bm25(index, lexical.query_terms(read(spark, d, "benchmark"), "item_id", "text")), POOL)
+    return lexical.search(read(spark, d, "documents"), "doc_id", ["text"], lexical.query_terms(read(spark, d, "benchmark"), "item_id", "text"), POOL)
 
 
 @query(_bm25_sql(_TEXT_ONLY) + " SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM top")

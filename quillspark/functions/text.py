@@ -51,10 +51,15 @@ def unaccented(text: Column | str) -> Column:
 
 def clean_paragraph(text: Column | str) -> Column:
     """Joined hyphenations, no soft hyphens, single blanks, at most one blank line, trimmed."""
-    joined = F.replace(F.regexp_replace(col(text), r"(\w)-\n(\w)", "$1$2"), F.lit("­"), F.lit(""))
+    joined = F.replace(F.regexp_replace(col(text), r"(?U)(\w)-\s*\n\s*(\w)", "$1$2"), F.lit("­"), F.lit(""))
     return F.trim(F.regexp_replace(F.regexp_replace(joined, r"[ \t]+", " "), r"\n{3,}", "\n\n"), F.lit(" \n\t\r"))
 
 
+def stripped(text: Column | str) -> Column:
+    """text without white space at its ends."""
+    return F.btrim(col(text), F.lit(" \t\n\x0b\x0c\r"))
+
+
 # --- URLs ---------------------------------------------------------------------------------------------------------
 
 # Hosts that browsers reach only, and hosts whose files need a signed-in reader.
@@ -113,6 +118,12 @@ def host_suffix(h: Column, domain: Column) -> Column:
     return (h == bare) | F.endswith(h, F.concat(F.lit("."), bare))
 
 
+def host_suffixes(h: Column) -> Column:
+    """The host and all domains above it: what host_suffix() holds for."""
+    labels = F.split(h, r"\.", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+
+
 def arxiv_version(url: Column | str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(col(url), r"v(\d{1,9})(?=\.pdf)", 1), F.lit("")).try_cast("int"), F.lit(0))
 
@@ -141,6 +152,7 @@ def is_pdf(content: Column | str, least: int = 10_000) -> Column:
 
 # --- identifiers --------------------------------------------------------------------------------------------------
 
+# What identifiers look like.
 ARXIV_NEW = r"(?<!\d)(\d{4}\.\d{4,5})(?:v\d+)?(?!\d)"
 ARXIV_OLD = r"(?:^|[\s(\[/])([a-z-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?"
 DOI = r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)\b"

@@ -60,22 +60,30 @@ def pack_units(text: str, budget: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERL
     return out
 
 
-def chunk_sections(docs: DataFrame, key: str = "paper_id", md: str = "md", budget: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+def chunk_sections(docs: DataFrame, key: str = "paper_id", md: str = "md", budget: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, tokenize: Callable[[str], list[str]] | None = None) -> DataFrame:
     """(key, chunk_id, idx, section, text, tokens) of docs(key, md): sections within the budget whole, others packed; useful chunks only.
 
-    Sections are split and short ones passed through in the JVM; only sections over budget go to Python.
+    tokenize gives the tokens of a text as strings, by which budgets are counted (a byte-pair encoding's, for example);
+    without it tokens are words between white space, sections are split and short ones passed through in the JVM, and
+    only sections over budget go to Python.
     """
     ship_package(docs.sparkSession)
     parts = docs.select(key, F.posexplode(split_sections(F.col(md))).alias("section_no", "s")).select(key, "section_no", F.col("s.heading").alias("section"), F.col("s.body").alias("body"))
 
     @F.pandas_udf("array<string>")
     def packed(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: pack_units(b, budget, overlap))
+        return bodies.map(lambda b: pack_units(b, budget, overlap, tokenize or white_space_tokens))
 
-    fits = count_tokens("body") <= budget
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(tokenize(t or "")))
+
+    count = count_tokens if tokenize is None else lambda c: counted(F.col(c))
+    parts = parts.withColumn("size", count("body"))
+    fits = F.col("size") <= budget
     whole = parts.filter(fits).withColumn("pieces", F.array("body"))
     long = parts.filter(~fits).withColumn("pieces", packed("body"))
     pieces = whole.unionByName(long).select(key, "section_no", "section", F.posexplode("pieces").alias("piece", "text")).withColumn("text", F.btrim("text", F.lit(" \t\n\r")))
-    kept = pieces.withColumn("tokens", count_tokens("text")).filter(useful("text", F.col("tokens")))
+    kept = pieces.withColumn("tokens", count("text")).filter(useful("text", F.col("tokens")))
     numbered = kept.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("section_no", "piece")) - 1)
     return numbered.select(key, F.concat(F.col(key), F.lit("::"), padded("idx", 4)).alias("chunk_id"), "idx", "section", "text", "tokens")

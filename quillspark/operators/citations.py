@@ -14,11 +14,11 @@ def mentions(texts: DataFrame, key: str = "paper_id", md: str = "md") -> DataFra
     return found.groupBy("paper_id", "m.kind", "m.ref").agg(F.count("*").alias("times"))
 
 
-def own_ids(papers: DataFrame, key: str = "paper_id", url: str = "pdf_url") -> DataFrame:
-    """(kind, ref, owner): the identifier in a paper's own URL; of several owners, the last by key."""
-    doi = F.lower(F.nullif(F.regexp_extract(F.col(url), r"doi\.org/(10\.\d{4,9}/[^\s?#]+)", 1), F.lit("")))
-    ids = papers.select(F.col(key).alias("owner"), F.explode(F.array_compact(F.array(F.when(own_arxiv_id(url).isNotNull(), F.struct(F.lit("arxiv").alias("kind"), own_arxiv_id(url).alias("ref"))), F.when(doi.isNotNull(), F.struct(F.lit("doi").alias("kind"), doi.alias("ref")))))).alias("m"))
-    return ids.groupBy("m.kind", "m.ref").agg(F.max("owner").alias("owner"))
+def own_ids(papers: DataFrame, key: str = "paper_id", url: str = "pdf_url", order: str | None = None) -> DataFrame:
+    """(kind, ref, owner): the identifiers anywhere in a paper's own URL; of several owners, the last by `order` (by key without one)."""
+    doi = F.get(dois(url), F.lit(0))
+    ids = papers.select(F.col(key).alias("owner"), F.col(order or key).alias("place"), F.explode(F.array_compact(F.array(F.when(own_arxiv_id(url).isNotNull(), F.struct(F.lit("arxiv").alias("kind"), own_arxiv_id(url).alias("ref"))), F.when(doi.isNotNull(), F.struct(F.lit("doi").alias("kind"), doi.alias("ref")))))).alias("m"))
+    return ids.groupBy("m.kind", "m.ref").agg(F.max_by("owner", F.struct("place", "owner")).alias("owner"))
 
 
 def paper_refs(found: DataFrame, own: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import clean_paragraph
+from quillspark.functions.text import clean_paragraph, stripped
 
 # Limits of headings, and words that no heading ends with.
 HEADING_RATIO, HEADING_MAX_WORDS, HEADING_MIN_CHARS, HEADING_MAX_CHARS = 1.30, 12, 4, 90
@@ -17,30 +17,40 @@ ABSTRACT_STOP, ABSTRACT_CHARS = 2500, 2000
 
 
 def recurring_lines(lines: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
-    """(doc, text, n_pages): lines of 3 to 120 characters, not ending with a dot, on at least max(3, 40 %) of a document's pages, of at least 4."""
+    """(doc, text, n_pages): lines of 3 to 120 characters, not ending with a dot, on at least max(3, 40 %) of a document's pages, of at least 4.
+
+    Lines count, and come back, without white space at their ends.
+    """
     pages = lines.groupBy(doc).agg(F.countDistinct(page).alias("pages")).filter("pages >= 4")
-    short = lines.filter((F.length(F.trim(text)) >= 3) & (F.length(F.trim(text)) <= 120) & ~F.endswith(F.trim(F.col(text)), F.lit(".")))
+    own = lines.select(doc, page, stripped(text).alias(text))
+    short = own.filter((F.length(text) >= 3) & (F.length(text) <= 120) & ~F.endswith(F.col(text), F.lit(".")))
     counted = short.groupBy(doc, text).agg(F.countDistinct(page).alias("n_pages"))
     return counted.join(pages, doc).filter(F.col("n_pages") >= F.greatest(F.lit(3), F.floor(F.col("pages") * 0.4))).drop("pages")
 
 
 def strip_recurring(lines: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
-    return lines.join(recurring_lines(lines, doc, page, text).select(doc, text), [doc, text], "left_anti")
+    """lines without the recurring ones, whatever white space stands at their ends."""
+    found = recurring_lines(lines, doc, page, text).select(F.col(doc).alias("_doc"), F.col(text).alias("_line"))
+    return lines.join(found, (F.col(doc) == F.col("_doc")) & (stripped(text) == F.col("_line")), "left_anti")
 
 
 def _letters(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
 
 
+# What no heading looks like, and the numbers before numbered ones.
+BANNER, ADDRESS, NUMBERING = r"(?i)^\s*arxiv\s*:\s*\d", r"(?i)https?://|doi\.org|github\.com|@\S+\.\S+", r"^\d+(\.\d+)*\.?\s+"
+
+
 def is_heading(text: Column, font_size: Column, body_size: Column) -> Column:
     """Whether a block is a heading: numbered or in a larger font, short, wordy, and not cut off."""
     t = F.trim(text)
     rejected = (
-        (t == "") | t.rlike(r"(?i)^\s*arxiv\s*:\s*\d") | t.rlike(r"(?i)https?://|doi\.org|github\.com|@\S+\.\S+") | t.rlike(r"(?U)^[\d\W]+$")
+        (t == "") | t.rlike(BANNER) | t.rlike(ADDRESS) | t.rlike(r"(?U)^[\d\W]+$")
         | t.rlike(f"[{MATH_SIGNS}]") | (_letters(t) < 3) | (F.length(F.regexp_replace(t, r"[\p{L}\s]", "")) / F.greatest(F.length(t), F.lit(1)) > 0.40)
     )
-    numbered = t.rlike(r"^\d+(\.\d+)*\.?\s+\S")
-    bare = numbered & (_letters(F.regexp_replace(t, r"^\d+(\.\d+)*\.?\s+", "")) < 3)
+    numbered = t.rlike(NUMBERING + r"\S")
+    bare = numbered & (_letters(F.regexp_replace(t, NUMBERING, "")) < 3)
     words = F.split(t, r"\s+", -1)
     cut_off = ~numbered & t.rlike(r"[-,;:.]$")
     long = (F.size(words) > HEADING_MAX_WORDS) | (F.length(t) > HEADING_MAX_CHARS) | (F.length(t) < HEADING_MIN_CHARS)

@@ -44,11 +44,18 @@ def longer(a: Column | str, b: Column | str) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old merged with new by key: columns of new replace those of old where they are not null; rows of either stay."""
+    """old merged with new by key: where new has the row, its columns replace those of old, nulls too; rows of either stay."""
     values = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in keys]
     a = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in old.columns if c not in keys])
-    b = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in new.columns if c not in keys])
-    merged = [F.coalesce(*([F.col(f"_new_{c}")] if c in new.columns else []), *([F.col(f"_old_{c}")] if c in old.columns else [])).alias(c) for c in values]
+    b = new.select(*keys, F.lit(True).alias("_is_new"), *[F.col(c).alias(f"_new_{c}") for c in new.columns if c not in keys])
+
+    def value(c: str) -> Column:
+        if c not in new.columns:
+            return F.col(f"_old_{c}")
+        fresh = F.when(F.col("_is_new"), F.col(f"_new_{c}"))
+        return fresh.otherwise(F.col(f"_old_{c}")) if c in old.columns else fresh
+
+    merged = [value(c).alias(c) for c in values]
     return a.join(b, keys, "full_outer").select(*keys, *merged)
 
 
@@ -76,7 +83,11 @@ def indicators(text: Column | str, words: dict[str, tuple[str, ...]]) -> dict[st
     return {name: F.exists(F.array(*[F.lit(w.lower()) for w in own]), lambda w: F.contains(low, w)) for name, own in words.items()}
 
 
-def excerpts(chunks: DataFrame, terms: tuple[str, ...] = ("introduction", "conclusion", "discussion", "summary", "results", "contribution"), heads: int = 2, budget: int = 6000) -> DataFrame:
+# What key sections are called, in the order in which they are picked.
+KEY_TERMS = ("introduction", "conclusion", "discussion", "summary", "results", "contribution")
+
+
+def excerpts(chunks: DataFrame, terms: tuple[str, ...] = KEY_TERMS, heads: int = 2, budget: int = 6000) -> DataFrame:
     """(paper_id, chunk_id, pick, text): the first chunks of each paper(paper_id, idx, section, text), then for each term the
     first chunk of a section that holds it and has not been picked from; cut to a budget of characters in all.
     """

@@ -335,7 +335,9 @@ SELECT host, domain FROM h JOIN d ON host = ltrim(domain, '.') OR ends_with(host
 def host_suffix_join(spark: SparkSession, d: str) -> DataFrame:
     hosts = read(spark, d, "pages").select(tx.host("url").alias("host")).distinct()
     domains = spark.createDataFrame([(".example.org",), ("example.net",), ("tionsh.example.net",)], "domain string")
-    return hosts.join(F.broadcast(domains), tx.host_suffix(F.col("host"), F.col("domain")))
+    # A host has one suffix for each label: joined as equals, not compared with every domain.
+    suffixes = hosts.select("host", F.explode(tx.host_suffixes(F.col("host"))).alias("bare"))
+    return suffixes.join(domains.withColumn("bare", F.ltrim("domain", F.lit("."))), "bare").select("host", "domain")
 
 
 _ENTRY_SQL = f"""WITH raw AS ({v.CATALOGUE.replace('{orders}', 'orders')}), n AS (SELECT line, trim(title) AS title, {_NORMAL_SQL} AS url, release_date FROM (SELECT *, {_ARXIV_SQL.format('trim(url)')} AS u FROM raw) a),
@@ -357,20 +359,26 @@ def catalog_entries(spark: SparkSession, d: str) -> DataFrame:
 
 # --- layout, sections, chunks -------------------------------------------------------------------------------------
 
-_RECURRING_SQL = f"""WITH l AS (SELECT source AS doc, doc_id % 7 AS page, substr(unnest(string_split(text, chr(10))), 1, 3) AS text FROM documents), p AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY doc),
-r AS (SELECT l.doc, l.text, count(DISTINCT page) AS n_pages FROM l JOIN p USING (doc) WHERE pages >= 4 AND length(trim(text)) BETWEEN 3 AND 120 AND NOT ends_with(trim(text), '.') GROUP BY l.doc, l.text, pages HAVING count(DISTINCT page) >= greatest(3, floor(pages * 0.4)))"""
+# Whole lines, and a running head on each page with blanks at its end on every other one.
+_RECURRING_SQL = f"""WITH l AS (SELECT source AS doc, doc_id % 7 AS page, unnest(string_split(text, chr(10))) AS text FROM documents
+  UNION ALL SELECT DISTINCT source, doc_id % 7, 'Notes on ' || source || CASE WHEN doc_id % 7 % 2 = 1 THEN ' ' || chr(9) ELSE '' END FROM documents), p AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY doc),
+s AS (SELECT doc, page, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+r AS (SELECT s.doc, line, count(DISTINCT page) AS n_pages FROM s JOIN p USING (doc) WHERE pages >= 4 AND length(line) BETWEEN 3 AND 120 AND NOT ends_with(line, '.') GROUP BY s.doc, line, pages HAVING count(DISTINCT page) >= greatest(3, floor(pages * 0.4)))"""
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("source").alias("doc"), (F.col("doc_id") % 7).alias("page"), F.explode(F.split("text", "\n", -1)).alias("line")).select("doc", "page", F.substring("line", 1, 3).alias("text"))
+    docs = read(spark, d, "documents").select(F.col("source").alias("doc"), (F.col("doc_id") % 7).alias("page"), "text")
+    head = F.concat(F.lit("Notes on "), "doc", F.when(F.col("page") % 2 == 1, " \t").otherwise(""))
+    heads = docs.select("doc", "page").distinct().select("doc", "page", head.alias("text"))
+    return docs.select("doc", "page", F.explode(F.split("text", "\n", -1)).alias("text")).unionByName(heads)
 
 
-@query(_RECURRING_SQL + " SELECT doc, text, CAST(n_pages AS BIGINT) AS n_pages FROM r")
+@query(_RECURRING_SQL + " SELECT doc, line AS text, CAST(n_pages AS BIGINT) AS n_pages FROM r")
 def recurring_lines(spark: SparkSession, d: str) -> DataFrame:
     return layout.recurring_lines(_pages(spark, d))
 
 
-@query(_RECURRING_SQL + " SELECT doc, count(*) AS n_lines FROM l ANTI JOIN r USING (doc, text) GROUP BY doc")
+@query(_RECURRING_SQL + " SELECT doc, count(*) AS n_lines FROM s ANTI JOIN r USING (doc, line) GROUP BY doc")
 def strip_recurring(spark: SparkSession, d: str) -> DataFrame:
     return layout.strip_recurring(_pages(spark, d)).groupBy("doc").agg(F.count("*").alias("n_lines"))
 
@@ -429,7 +437,7 @@ def ocr_flag(spark: SparkSession, d: str) -> DataFrame:
 # --- taxonomy -----------------------------------------------------------------------------------------------------
 
 RULES = [(0, "token", "secrets"), (1, "licen[sc]ed? under", "legal"), (2, "rights reserved", "legal"), (3, "ththe", "english"), (4, "keit", "german"), (5, "eaux", "french"), (6, "mente", "spanish")]
-PAIRS = [("keit", "de"), ("The", "en"), ("eaux", "fr")]
+PAIRS = [("keit", "de"), ("The", "en"), ("eaux", "fr"), ("mente", "es"), ("ción", "es"), ("tion", "en"), ("de", "fr"), ("in", "src1"), ("la", "src0")]
 _RULES_SQL = "rules(ord, pattern, label) AS (VALUES " + ", ".join(str(r) for r in RULES) + ")"
 
 
@@ -472,9 +480,10 @@ def domains(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH w(word, label) AS (VALUES " + ", ".join(str(x) for x in PAIRS) + f""")
-SELECT word, label, count(*) AS missing, min_by(title, paper_id) AS first_title FROM ({P}) p JOIN w ON contains(lower(title), lower(word)) AND NOT list_contains([lang, source], label) GROUP BY word, label""")
+SELECT word, label, count(*) AS missing, array_to_string(list(title ORDER BY paper_id)[1:8], '|') AS examples FROM ({P}) p JOIN w ON contains(lower(title), lower(word)) AND NOT list_contains([lang, source], label) GROUP BY word, label""")
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.coverage_gaps(v.papers(spark, d), spark.createDataFrame(PAIRS, "word string, label string"), "paper_id")
+    found = taxonomy.coverage_gaps(v.papers(spark, d), spark.createDataFrame(PAIRS, "word string, label string"), "paper_id")
+    return found.select("word", "label", "missing", F.array_join("examples", "|").alias("examples"))
 
 
 @query(f"SELECT facet, count(*) AS count FROM (SELECT unnest([lang, source]) AS facet FROM ({P}) p) t GROUP BY facet ORDER BY count DESC, facet LIMIT 25")

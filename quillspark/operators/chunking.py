@@ -28,7 +28,7 @@ def white_space_tokens(text: str) -> list[str]:
     return text.split()
 
 
-def pack_units(text: str, budget: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, tokenize: Callable[[str], list[str]] = white_space_tokens) -> list[str]:
+def pack_units(text: str, budget: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, tokenize: Callable[[str], list[str]] = white_space_tokens, glue: str = " ") -> list[str]:
     """Chunks of whole paragraphs, or of sentences of longer ones, that begin with what ends the chunk before.
 
     A paragraph over budget without sentence ends is cut into windows of tokens; a longer sentence stays whole.
@@ -43,7 +43,7 @@ def pack_units(text: str, budget: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERL
         elif len(parts := _SENTENCE.split(paragraph)) > 1:
             units += [(s, len(tokenize(s))) for s in parts]
         else:
-            units += [(" ".join(w := words[a : a + budget]), len(w)) for a in range(0, len(words), budget - overlap)]
+            units += [(glue.join(w := words[a : a + budget]), len(w)) for a in range(0, len(words), budget - overlap)]
     out: list[str] = []
     first, total = 0, 0
     for at, (_, size) in enumerate(units):
@@ -63,7 +63,7 @@ def pack_units(text: str, budget: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERL
 def chunk_sections(docs: DataFrame, key: str = "paper_id", md: str = "md", budget: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, tokenize: Callable[[str], list[str]] | None = None) -> DataFrame:
     """(key, chunk_id, idx, section, text, tokens) of docs(key, md): sections within the budget whole, others packed; useful chunks only.
 
-    tokenize gives the tokens of a text as strings, by which budgets are counted (a byte-pair encoding's, for example);
+    tokenize cuts a text into the tokens by which budgets are counted, white space included (a byte-pair encoding's, for example);
     without it tokens are words between white space, sections are split and short ones passed through in the JVM, and
     only sections over budget go to Python.
     """
@@ -72,7 +72,7 @@ def chunk_sections(docs: DataFrame, key: str = "paper_id", md: str = "md", budge
 
     @F.pandas_udf("array<string>")
     def packed(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: pack_units(b, budget, overlap, tokenize or white_space_tokens))
+        return bodies.map(lambda b: pack_units(b, budget, overlap, tokenize or white_space_tokens, " " if tokenize is None else ""))
 
     @F.pandas_udf("long")
     def counted(texts: pd.Series) -> pd.Series:

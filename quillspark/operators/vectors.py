@@ -15,6 +15,8 @@ from quillspark.functions.workers import ship_package
 
 #: Most query vectors that are sent to every task at once; larger query tables are answered in blocks.
 QUERY_BLOCK = 4096
+#: Query vectors whose distances to a batch are held at once.
+QUERY_ROWS = 256
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", drop_self: bool = False) -> DataFrame:
@@ -46,21 +48,33 @@ def _knn_block(vectors: DataFrame, ids: list[int], matrix: np.ndarray, k: int, m
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, q = shared.value
         kept: list[pd.DataFrame] = []
+        held = 0
         for batch in batches:
             batch = batch[[v is not None and len(v) == q.shape[1] for v in batch["embedding"]]]
             if batch.empty:
                 continue
             v, own = np.stack(batch["embedding"].to_numpy()).astype(np.float64), batch["id"].to_numpy()
-            if metric == "l2":
-                d = np.stack([np.sqrt(((v - x) ** 2).sum(axis=1)) for x in q])
-            else:
-                d = 1 - (q @ v.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :], 1e-300)
-            for x, row in zip(query_ids, d, strict=True):
-                use = np.flatnonzero(own != x) if drop_self else np.arange(len(own))
-                best = use[np.lexsort((own[use], np.round(row[use], 9)))[:k]]
-                kept.append(pd.DataFrame({"query_id": x, "id": own[best], "distance": row[best]}))
-            if len(kept) > 4 * len(query_ids):
+            v_square = (v**2).sum(axis=1)
+            for a in range(0, len(q), QUERY_ROWS):
+                part = q[a : a + QUERY_ROWS]
+                dots, q_square = part @ v.T, (part**2).sum(axis=1)
+                if metric == "l2":
+                    rough = np.maximum(q_square[:, None] + v_square[None, :] - 2 * dots, 0)
+                    slack = 1e-9 * (q_square[:, None] + v_square[None, :].max()) + 1e-12
+                else:
+                    rough = 1 - dots / np.maximum(np.sqrt(q_square)[:, None] * np.sqrt(v_square)[None, :], 1e-300)
+                    slack = np.full((len(part), 1), 2e-9)
+                if drop_self:
+                    rough[query_ids[a : a + QUERY_ROWS, None] == own[None, :]] = np.inf
+                # One product finds what may be among the k best; distances of these are computed as they are defined.
+                edge = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if k < len(own) else np.full((len(part), 1), np.finfo(float).max)
+                i, j = np.nonzero(rough <= edge + slack)
+                exact = np.sqrt(((v[j] - part[i]) ** 2).sum(axis=1)) if metric == "l2" else rough[i, j]
+                kept.append(pd.DataFrame({"query_id": query_ids[a + i], "id": own[j], "distance": exact}))
+            held += sum(map(len, kept[-(-(-len(q) // QUERY_ROWS)) :]))
+            if held > 4 * k * len(query_ids):
                 kept = [_best(pd.concat(kept), k)]
+                held = len(kept[0])
         if kept:
             yield _best(pd.concat(kept), k)
 

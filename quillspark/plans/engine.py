@@ -1,14 +1,17 @@
 """The eight tools over a corpus, and their JSON-RPC front."""
 
+import inspect
 import json
+import logging
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.stem import stemmed_tokens
 from quillspark.functions.text import bib_key, bibtex, tokens
 from quillspark.operators import citations as graph
 from quillspark.operators import fusion, lexical, vectors
@@ -31,19 +34,25 @@ class Corpus:
     """papers(paper_id, title, authors, topics array, release_date, pdf_url, n_pages, abstract, md),
     chunks(paper_id, chunk_id, idx, section, text, embedding) and citation edges(src, dst, kind, times).
 
-    embedder turns query texts into a matrix; without one, semantic search is off and hybrid falls back to words.
+    embedder turns query texts into a matrix; without one, or if it fails, semantic search is off and hybrid falls back
+    to words. reranker gives a score column from the columns of the query's text and the chunk's; without one, or if
+    it fails, the share of the query's words counts. With stem, texts and their queries are stemmed (English); titles
+    and sections never are.
     """
 
     papers: DataFrame
     chunks: DataFrame
     edges: DataFrame
     embedder: Callable[[list[str]], np.ndarray] | None = None
+    reranker: Callable[[Column, Column], Column] | None = None
+    stem: bool = True
 
     def __post_init__(self) -> None:
         _required("papers", self.papers, ["paper_id", "title", "authors", "topics", "release_date", "pdf_url", "n_pages", "abstract", "md"])
         _required("chunks", self.chunks, ["paper_id", "chunk_id", "idx", "section", "text", "embedding"])
         _required("edges", self.edges, ["src", "dst", "kind", "times"])
         self._centroids: DataFrame | None = None
+        self._tried: bool | None = None
 
     @property
     def spark(self):
@@ -56,11 +65,13 @@ class Corpus:
         docs = self.chunks.select(F.col("chunk_id").alias("id"), "text", "section", "paper_id").join(self.papers.select("paper_id", "title"), "paper_id")
         lists, scores = [], []
         if mode != "sem":
-            index = lexical.build_index(docs, "id", ["text", "title", "section"])
-            lex = lexical.top_k(lexical.bm25(index, lexical.query_terms(asked, "query_id", "query"), {"title": 2.0}), POOL)
+            fields = ["text", "title", "section"]
+            analysers = {"text": stemmed_tokens} if self.stem else {}
+            own = [lexical.query_terms(asked, "query_id", "query", analysers.get(f, tokens)).select("query_id", F.lit(f).alias("field"), "term", "times") for f in fields]
+            lex = lexical.search(docs, "id", fields, own[0].unionByName(own[1]).unionByName(own[2]), POOL, {"title": 2.0}, analysers)
             lists.append(lex)
             scores.append(lex.select("query_id", "id", F.col("score").alias("bm25")))
-        if mode != "lex" and self.embedder is not None:
+        if mode != "lex" and self._embeds():
             own = vectors.embed(asked.select("query_id", F.concat(F.lit("query: "), "query").alias("t")), "t", self.embedder)
             numbered = self.chunks.select(F.xxhash64("chunk_id").alias("id"), "chunk_id", "embedding")
             near = vectors.knn(own, numbered, POOL).join(numbered.select("id", "chunk_id"), "id").select("query_id", F.col("chunk_id").alias("id"), "rank", F.col("similarity").alias("score"))
@@ -71,17 +82,30 @@ class Corpus:
         fused = fusion.ranked(fusion.rrf(lists) if len(lists) > 1 else lists[0].select("query_id", "id", "score"))
         fused = fused.join(docs, "id")  # before the cap, so that what is missing takes no place
         if rerank:
-            words = asked.select("query_id", tokens("original").alias("_asked"))
-            fused = fusion.rerank(fused.join(F.broadcast(words), "query_id"), RERANK_POOL, fusion.overlap_score(F.col("_asked"), tokens("text"))).drop("rank", "_asked").withColumnRenamed("new_rank", "rank")
+            words = lexical.small(asked.select("query_id", F.col("original").alias("_asked")))
+            score = self.reranker(F.col("_asked"), F.col("text")) if self.reranker else fusion.overlap_score(tokens("_asked"), tokens("text"))
+            fused = fusion.rerank(fused.join(words, "query_id"), RERANK_POOL, score).drop("rank", "_asked").withColumnRenamed("new_rank", "rank")
         hits = fusion.cap_per_group(fused, "paper_id", per_paper_cap, k)
         for extra in scores:
             hits = hits.join(extra, ["query_id", "id"], "left")
         for name in ("bm25", "cosine"):
             if name not in hits.columns:
                 hits = hits.withColumn(name, F.lit(None).cast("double"))
-        hits = hits.join(F.broadcast(asked.select("query_id", tokens("query").alias("_terms"))), "query_id")
+        hits = hits.join(lexical.small(asked.select("query_id", tokens("query").alias("_terms"))), "query_id")
         return hits.select("query_id", "position", F.col("id").alias("chunk_id"), "paper_id", "title", "section", "score", lexical.snippet(F.col("text"), F.col("_terms")).alias("snippet"), "bm25", "cosine")
 
+    def _embeds(self) -> bool:
+        """Whether there is an embedder that works: it is tried once on the driver."""
+        if self.embedder is None:
+            return False
+        if self._tried is None:
+            try:
+                self._tried = len(self.embedder(["query: "])) == 1
+            except Exception as e:  # noqa: BLE001  whatever a model raises, words are left
+                logging.getLogger(__name__).warning("no semantic search: %s", e)
+                self._tried = False
+        return self._tried
+
     def search(self, query: str, k: int = 8, mode: str = "hybrid", per_paper_cap: int = 2, rerank: bool = False, expand: bool = True) -> dict:
         one = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         rows = self.search_all(one, k, mode, per_paper_cap, rerank, expand).orderBy("position").drop("query_id", "position").collect()
@@ -143,6 +167,28 @@ class Corpus:
         return self._paper(paper_id, bibtex("paper_id", "title", "authors", "release_date").alias("bibtex"), bib_key("authors", "release_date").alias("key")) or NOT_FOUND
 
 
+_JSON_TYPES = {str: "string", int: "integer", bool: "boolean", "str": "string", "int": "integer", "bool": "boolean"}
+# What arguments of tools are bound to.
+_BOUNDS = {
+    ("search", "k"): {"minimum": 1, "maximum": 50}, ("search", "mode"): {"enum": ["hybrid", "lex", "sem"]}, ("search", "per_paper_cap"): {"minimum": 0},
+    ("find_related", "k"): {"minimum": 1, "maximum": 30}, ("citations", "direction"): {"enum": ["cites", "cited_by", "both"]},
+}
+
+
+def tool_schema(tool: str) -> dict[str, Any]:
+    """The JSON schema of a tool's arguments, from its signature: types, defaults and bounds; arguments without a default are required."""
+    properties, required = {}, []
+    for name, p in list(inspect.signature(getattr(Corpus, tool)).parameters.items())[1:]:
+        kind = _JSON_TYPES.get(p.annotation) or _JSON_TYPES.get(str(p.annotation).split(" | ")[0])
+        own = {"type": kind} if kind else {"type": "array", "items": {"type": "string"}}
+        if p.default is inspect.Parameter.empty:
+            required.append(name)
+        elif p.default is not None:
+            own["default"] = p.default
+        properties[name] = own | _BOUNDS.get((tool, name), {})
+    return {"type": "object", "properties": properties, "required": required}
+
+
 TOOLS = ("search", "get_paper", "list_papers", "list_topics", "summarize_paper", "find_related", "citations", "cite")
 
 
@@ -169,7 +215,7 @@ def _answer(corpus: Corpus, method: str, params: dict) -> dict[str, Any]:
     if method == "ping" or method.startswith("notifications/"):
         return {"result": {}}
     if method == "tools/list":
-        return {"result": {"tools": [{"name": t, "description": (getattr(Corpus, t).__doc__ or t)} for t in TOOLS]}}
+        return {"result": {"tools": [{"name": t, "description": (getattr(Corpus, t).__doc__ or t), "inputSchema": tool_schema(t)} for t in TOOLS]}}
     if method != "tools/call":
         return {"error": {"code": -32601, "message": f"unknown method: {method}"}}
     try:

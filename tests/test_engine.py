@@ -373,3 +373,71 @@ def test_requests(corpus):
 def test_schema_is_checked(corpus):
     with pytest.raises(ValueError, match="papers lacks"):
         Corpus(corpus.papers.drop("md"), corpus.chunks, corpus.edges)
+
+
+def test_words_joined_over_lines(spark):
+    assert one(spark, tx.clean_paragraph, "caf\u00e9- \n \u00e9t\u00e9 exam-\n\n ple") == "caf\u00e9\u00e9t\u00e9 example"
+
+
+def test_recurring_lines_without_their_blanks(spark):
+    rows = [("d", p, "Header" + " " * (p % 2)) for p in range(6)] + [("d", p, f"body {p}.") for p in range(6)]
+    lines = spark.createDataFrame(rows, "doc string, page int, text string")
+    assert values(layout.recurring_lines(lines), "doc", "text", "n_pages") == [("d", "Header", 6)]
+    assert {r.text for r in layout.strip_recurring(lines).collect()} == {f"body {p}." for p in range(6)}
+
+
+def test_gaps_have_samples(spark):
+    papers = spark.createDataFrame([(k, f"On MEV {k}", ["x"]) for k in range(20)] + [(30, "mev", ["MEV"])], "id long, title string, topics array<string>")
+    got = taxonomy.coverage_gaps(papers, spark.createDataFrame([("mev", "MEV"), ("none", "y")], "word string, label string")).collect()
+    assert [(r.word, r.missing, r.examples) for r in got] == [("mev", 20, [f"On MEV {k}" for k in range(8)])]
+
+
+def test_owners_by_order_and_dois_anywhere(spark):
+    papers = spark.createDataFrame([("b", "http://x.org/pdf/10.1000/AB.1.", 1), ("a", "https://doi.org/10.1000/ab.1", 2), ("c", "http://arxiv.org/abs/2001.00001v2", 3)], "paper_id string, pdf_url string, line int")
+    assert sorted(values(citations.own_ids(papers, order="line"), "kind", "ref", "owner")) == [("arxiv", "2001.00001", "c"), ("doi", "10.1000/ab.1", "a")]
+    assert ("doi", "10.1000/ab.1", "b") in values(citations.own_ids(papers), "kind", "ref", "owner")
+
+
+def test_upsert_takes_nulls(spark):
+    old = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "k string, s string, n int")
+    new = spark.createDataFrame([("a", None)], "k string, s string")
+    assert sorted(values(records.upsert(old, new, ["k"]), "k", "s", "n")) == [("a", None, 1), ("b", "y", 2)]
+
+
+def test_chunks_by_another_counter(spark):
+    from quillspark.operators import chunking
+
+    body = " ".join(f"wording{k}" for k in range(300))
+    docs = spark.createDataFrame([("p", f"## A\n\n{body}")], "paper_id string, md string")
+    by_letters = chunking.chunk_sections(docs, budget=500, overlap=0, tokenize=lambda t: [t[a : a + 2] for a in range(0, len(t), 2)]).collect()
+    assert len(by_letters) > 1 and all(r.tokens > 40 for r in by_letters)
+    assert chunking.chunk_sections(docs, budget=500).count() == 1
+
+
+def test_search_equals_scores_of_an_index(spark):
+    import random
+
+    r = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(f"w{r.randrange(30)}" for _ in range(r.randrange(40))), f"w{k % 7}") for k in range(120)] + [(500, None, "")], "id long, text string, title string")
+    queries = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q} none") for q in range(9)], "query_id long, text string")
+    terms = lexical.query_terms(queries, "query_id", "text")
+    expected = lexical.top_k(lexical.bm25(lexical.build_index(docs, "id", ["text", "title"]), terms, {"title": 2.0}), 5)
+    key = ("query_id", "rank", "id")
+    before = lexical.QUERY_BLOCK
+    lexical.QUERY_BLOCK = 4
+    try:
+        got = lexical.search(docs, "id", ["text", "title"], terms, 5, {"title": 2.0})
+    finally:
+        lexical.QUERY_BLOCK = before
+    assert sorted(values(got, *key)) == sorted(values(expected, *key))
+    assert max(abs(a - b) for (_, _, a), (_, _, b) in zip(sorted(values(got, "query_id", "rank", "score")), sorted(values(expected, "query_id", "rank", "score")), strict=True)) < 1e-9
+    assert lexical.search(docs, "id", ["text"], terms.limit(0), 5).collect() == []
+
+
+def test_schemas_of_tools():
+    from quillspark.plans.engine import tool_schema
+
+    own = tool_schema("search")
+    assert own["required"] == ["query"] and own["properties"]["k"] == {"type": "integer", "default": 8, "minimum": 1, "maximum": 50}
+    assert own["properties"]["rerank"] == {"type": "boolean", "default": False}
+    assert tool_schema("get_paper")["properties"]["sections"]["type"] == "array"

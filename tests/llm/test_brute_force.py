@@ -172,3 +172,11 @@ def test_pipeline_equals_plain_stages(spark, tmp_path, tokenizer):
 @pytest.fixture(scope="module")
 def tokenizer():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_notices_have_their_own_labels(spark):
+    """The whole notice of each license, among other words, gets its label and no other license's."""
+    rows = [(k, f"{' '.join(words(30, k))}\n{text}\n{' '.join(words(30, 99 + k))}") for k, (_, text) in enumerate(license_scan.TEMPLATES)]
+    got = rows_of(license_scan.scan_licenses(docs(spark, rows)))
+    for k, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert got[k][6] == label, license_scan.TEMPLATES[k]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytewords as bw
-from quillspark.llm.frames import python_workers
+from quillspark.llm.frames import partitions_for, python_workers
 
 #: Samples in a fingerprint; each is four hexadecimal digits.
 SAMPLES = 64
@@ -117,7 +117,8 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     lowest = -(2**63)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = source.select(F.coalesce("doc_id", F.lit(lowest)).alias("at"))
-    n = max(1, min(MOST_BLOCKS, ids.count() // BLOCK_DOCS))
+    n_docs = ids.count()
+    n = max(1, min(MOST_BLOCKS, n_docs // BLOCK_DOCS))
     found = ids.agg(F.percentile_approx("at", [k / n for k in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("q")).first()["q"]
     cuts = np.unique(np.array(found or [], np.int64))
     cuts_here = spark.sparkContext.broadcast(cuts)
@@ -143,7 +144,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
 
     dealt = source.withColumn("at", F.coalesce("doc_id", F.lit(lowest))).withColumn("targets", targets("at"))
     dealt = dealt.select("doc_id", "text", "at", F.posexplode("targets").alias("closing", "block"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(spark, n_docs, 5 * BLOCK_DOCS)
     ordered = dealt.repartition(parts, "block").sortWithinPartitions("block", "closing", "at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

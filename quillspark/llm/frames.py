@@ -69,7 +69,20 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again; for rows with texts."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def remove(table: DataFrame) -> None:
+    """Delete a table that stored() wrote, once nothing reads it any more; other tables are left alone."""
+    if id(table) in _paths:
+        _, path = _paths.pop(id(table))
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions_for(spark: SparkSession, rows: int, of_a_task: int = TASK_ROWS) -> int:

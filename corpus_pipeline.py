@@ -68,9 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents. Of the tables between stages, only the last one's input is left in the shared folder."""
     docs = frames.documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = frames.stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, frames.stored(stage(spark, docs, sf_dir))
+        frames.remove(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,7 +21,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bitmaps are broadcast to the texts only if there are at most so many runs in all (16 bytes each, and 50 a document).
 BROADCAST_RUNS = 1_000_000
 #: Rows of one line that make a part of their own.
-PART_ROWS = 2_000
+PART_ROWS = 250
 #: Parts that a side of a join is dealt into where the other is too large to be broadcast.
 SALTS = 32
 

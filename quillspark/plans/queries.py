@@ -396,17 +396,20 @@ def heading_detect(spark: SparkSession, d: str) -> DataFrame:
     return layout.with_headings(v.blocks(spark, d)).select("paper_id", F.col("ord").cast("long").alias("ord"), "is_heading")
 
 
-@query()
+_SECTIONS_SQL = r""", g AS (SELECT *, sum(CAST(is_heading AS INT)) OVER (PARTITION BY paper_id ORDER BY ord) AS section_no FROM h),
+j AS (SELECT paper_id, section_no, coalesce(max(text) FILTER (WHERE is_heading), '') AS heading, coalesce(string_agg(text, ' ' ORDER BY ord) FILTER (WHERE NOT is_heading), '') AS raw FROM g GROUP BY paper_id, section_no),
+c AS (SELECT paper_id, section_no, heading, trim(regexp_replace(replace(raw, chr(173), ''), '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS body FROM j),
+s2 AS (SELECT paper_id, CAST(section_no AS BIGINT) AS section_no, heading, body FROM c WHERE heading <> '' OR body <> '')"""
+
+
+@query(_HEADING_SQL + _SECTIONS_SQL + " SELECT paper_id, substr(body, 1, 2000) AS abstract FROM s2 WHERE section_no = 1")
 def abstracts(spark: SparkSession, d: str) -> DataFrame:
     """Abstracts of layout blocks, under the heading that opens each paper's second section."""
-    found = layout.sections(v.blocks(spark, d, whole=True)).withColumn("heading", F.when(F.col("section_no") == 1, F.lit("Abstract")).otherwise(F.col("heading")))
+    found = layout.sections(v.blocks(spark, d)).withColumn("heading", F.when(F.col("section_no") == 1, F.lit("Abstract")).otherwise(F.col("heading")))
     return layout.abstracts(found)
 
 
-@query(_HEADING_SQL + r""", g AS (SELECT *, sum(CAST(is_heading AS INT)) OVER (PARTITION BY paper_id ORDER BY ord) AS section_no FROM h),
-j AS (SELECT paper_id, section_no, coalesce(max(text) FILTER (WHERE is_heading), '') AS heading, coalesce(string_agg(text, ' ' ORDER BY ord) FILTER (WHERE NOT is_heading), '') AS raw FROM g GROUP BY paper_id, section_no),
-c AS (SELECT paper_id, section_no, heading, trim(regexp_replace(replace(raw, chr(173), ''), '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS body FROM j)
-SELECT paper_id, CAST(section_no AS BIGINT) AS section_no, heading, body FROM c WHERE heading <> '' OR body <> ''""")
+@query(_HEADING_SQL + _SECTIONS_SQL + " SELECT paper_id, section_no, heading, body FROM s2")
 def sessionize_sections(spark: SparkSession, d: str) -> DataFrame:
     return layout.sections(v.blocks(spark, d))
 

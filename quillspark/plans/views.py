@@ -58,11 +58,10 @@ def chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return lines.select("doc_id", "paper_id", "idx", F.concat("paper_id", F.lit("::"), padded("idx", 4)).alias("chunk_id"), section.alias("section"), "text", *more)
 
 
-def blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Layout blocks: each line, or its first 70 characters as in BLOCKS; every fourth is numbered or in a larger font."""
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout blocks: each line; every fourth is numbered, every fourth in a larger font."""
     c = chunks(spark, sf_dir)
-    numbered, other = (F.col("text"), F.col("text")) if whole else (F.substring("text", 1, 40), F.substring("text", 1, 70))
-    text = F.when(F.col("idx") % 4 == 1, F.concat(F.lit("2.1 "), numbered)).otherwise(other)
+    text = F.when(F.col("idx") % 4 == 1, F.concat(F.lit("2.1 "), "text")).otherwise(F.col("text"))
     size = F.when(F.col("idx") % 4 == 3, 14.0).otherwise(10.0)
     return c.select("paper_id", F.col("idx").alias("ord"), text.alias("text"), size.alias("font_size"), (F.floor(F.col("idx") / 2) + 1).cast("int").alias("page"))
 
@@ -76,4 +75,4 @@ def md(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 P = PAPERS.replace("{documents}", "documents")
 LINES = f"(SELECT doc_id, paper_id, i - 1 AS idx, ls[i] AS text, paper_id || '::' || lpad(CAST(i - 1 AS VARCHAR), 4, '0') AS chunk_id FROM (SELECT doc_id, paper_id, string_split(text, chr(10)) AS ls FROM ({P}) p) t, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i) r)"
-BLOCKS = f"(SELECT paper_id, idx AS ord, CASE WHEN idx % 4 = 1 THEN '2.1 ' || substr(text, 1, 40) ELSE substr(text, 1, 70) END AS text, CASE WHEN idx % 4 = 3 THEN 14.0 ELSE 10.0 END AS font_size, CAST(idx // 2 + 1 AS INT) AS page FROM {LINES} l)"
+BLOCKS = f"(SELECT paper_id, idx AS ord, CASE WHEN idx % 4 = 1 THEN '2.1 ' || text ELSE text END AS text, CASE WHEN idx % 4 = 3 THEN 14.0 ELSE 10.0 END AS font_size, CAST(idx // 2 + 1 AS INT) AS page FROM {LINES} l)"

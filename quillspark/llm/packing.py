@@ -12,10 +12,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +24,8 @@ from quillspark.llm.frames import python_workers, unused
 
 #: Entries of a Python worker's memory of encoded words.
 REMEMBERED = 500_000
+#: Places of the hash table of merges, a power of two far above their number.
+_PLACES = 1 << 19
 #: Characters for which the library's normaliser and pre-tokeniser are a plain lower-casing and splitting.
 _PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~¡-¬®-įı-ſ‐-‧]*")
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
@@ -40,15 +42,39 @@ class BatchMerges:
         self.last = np.array([vocabulary[names[b] + suffix] for b in range(256)], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         keys = np.array([vocabulary[x] << 20 | vocabulary[y] for x, y in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        # An open hash table of pairs: a pair lies at its hash or a few places after it.
+        self.table, self.ranks = np.full(_PLACES + 64, -1, np.int64), np.full(_PLACES + 64, len(pairs), np.int64)
+        left = np.arange(len(keys))
+        at = self._place(keys)
+        while len(left):
+            free = self.table[at] == -1
+            first = np.unique(at[free], return_index=True)[1]
+            put = np.flatnonzero(free)[first]
+            self.table[at[put]], self.ranks[at[put]] = keys[left[put]], left[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], at[rest] + 1
         self.made = np.array([vocabulary[x + y] for x, y in pairs], np.int64)
         self.never = len(pairs)
 
+    @staticmethod
+    def _place(key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PLACES.bit_length() + 1)).astype(np.int64)
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], self.never)
+        at = self._place(key)
+        held = self.table[at]
+        out = np.where(held == key, self.ranks[at], self.never)
+        going = np.flatnonzero((held != key) & (held != -1))
+        while len(going):
+            at[going] += 1
+            held = self.table[at[going]]
+            same = held == key[going]
+            out[going[same]] = self.ranks[at[going[same]]]
+            going = going[~same & (held != -1)]
+        return out
 
     def __call__(self, words: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word; no word is empty."""
@@ -120,12 +146,11 @@ class WordTokenizer:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _learn(self, new: set[str]) -> None:
-        if not new:
+    def _learn(self, listed: list[str]) -> None:
+        if not listed:
             return
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        listed = list(new)
         parts = _SPLIT.findall("\n".join(listed))
         fresh = list(set(parts) - self.words.keys() - {"\n"})
         for a in range(0, len(fresh), 50_000):
@@ -143,12 +168,30 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [self.known and _PLAIN.fullmatch(x) is not None and not any(t in x for t in self.special) for x in texts]
-        split = [x.lower().split() if p else [] for x, p in zip(texts, plain, strict=True)]
+        own = iter(self._encode_plain([x for x, p in zip(texts, plain, strict=True) if p]))
+        others = iter(self.whole.encode_batch([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(own) if p else np.array(next(others).ids, "<u4").tobytes() for p in plain]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Each different chunk of the batch is looked up once; a text's ids are gathered from those of its chunks."""
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        encoded = pc.list_flatten(lists).dictionary_encode()
+        # Chunks hold no line feeds: one string of all of them is split much faster than each is made.
+        listed = pc.binary_join(pa.ListArray.from_arrays([0, len(encoded.dictionary)], encoded.dictionary.cast(pa.string())), "\n")[0].as_py().split("\n") if len(encoded.dictionary) else []
+        code = encoded.indices.to_numpy(zero_copy_only=False)
         if len(self.chunks) > REMEMBERED:
             self.chunks.clear()
-        self._learn(set(chain.from_iterable(split)) - self.chunks.keys())
-        others = iter(self.whole.encode_batch([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [b"".join(map(self.chunks.__getitem__, s)) if p else np.array(next(others).ids, "<u4").tobytes() for s, p in zip(split, plain, strict=True)]
+        self.chunks[""] = b""  # before white space that begins a text, and after white space that ends it
+        known = list(map(self.chunks.get, listed))
+        self._learn([x for x, ids in zip(listed, known, strict=True) if ids is None])
+        known = [self.chunks[x] if ids is None else ids for x, ids in zip(listed, known, strict=True)]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        many = sizes[code]
+        ends = np.append(0, np.cumsum(many))
+        place = np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], many) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(known), "<u4")[place].tobytes()
+        cuts = (4 * ends[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))]).tolist()
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 _tokenizers: dict[int, WordTokenizer] = {}

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from quillspark.llm.frames import python_workers, unused
 
 #: Entries of a Python worker's memory of encoded words.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Places of the hash table of merges, a power of two far above their number.
 _PLACES = 1 << 19
 #: Characters for which the library's normaliser and pre-tokeniser are a plain lower-casing and splitting.

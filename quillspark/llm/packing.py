@@ -24,6 +24,8 @@ from quillspark.llm.frames import python_workers, unused
 
 #: Entries of a Python worker's memory of encoded words.
 REMEMBERED = 100_000
+#: Characters that are looked up together.
+BLOCK_CHARS = 1 << 20
 #: Places of the hash table of merges, a power of two far above their number.
 _PLACES = 1 << 19
 #: Characters for which the library's normaliser and pre-tokeniser are a plain lower-casing and splitting.
@@ -168,9 +170,22 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [self.known and _PLAIN.fullmatch(x) is not None and not any(t in x for t in self.special) for x in texts]
-        own = iter(self._encode_plain([x for x, p in zip(texts, plain, strict=True) if p]))
+        own = self._in_blocks([x for x, p in zip(texts, plain, strict=True) if p])
         others = iter(self.whole.encode_batch([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [next(own) if p else np.array(next(others).ids, "<u4").tobytes() for p in plain]
+        out = [next(own) if p else np.array(next(others).ids, "<u4").tobytes() for p in plain]
+        next(own, None)
+        return out
+
+    def _in_blocks(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of plain texts, by blocks of BLOCK_CHARS or of one text, so that what is held beside the ids stays small."""
+        first, size = 0, 0
+        for k, x in enumerate(texts):
+            if k > first and size + len(x) > BLOCK_CHARS:
+                yield from self._encode_plain(texts[first:k])
+                first, size = k, 0
+            size += len(x)
+        yield from self._encode_plain(texts[first:])
+        pa.default_memory_pool().release_unused()
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
         """Each different chunk of the batch is looked up once; a text's ids are gathered from those of its chunks."""
@@ -188,7 +203,8 @@ class WordTokenizer:
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         many = sizes[code]
         ends = np.append(0, np.cumsum(many))
-        place = np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], many) + np.arange(ends[-1])
+        place = np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], many)
+        place += np.arange(len(place))
         ids = np.frombuffer(b"".join(known), "<u4")[place].tobytes()
         cuts = (4 * ends[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))]).tolist()
         return [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]

@@ -23,9 +23,9 @@ from pyspark.sql.window import Window
 from quillspark.llm.frames import python_workers, unused
 
 #: Entries of a Python worker's memory of encoded words.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 #: Characters that are looked up together.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 22
 #: Places of the hash table of merges, a power of two far above their number.
 _PLACES = 1 << 19
 #: Characters for which the library's normaliser and pre-tokeniser are a plain lower-casing and splitting.
@@ -185,7 +185,6 @@ class WordTokenizer:
                 first, size = k, 0
             size += len(x)
         yield from self._encode_plain(texts[first:])
-        pa.default_memory_pool().release_unused()
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
         """Each different chunk of the batch is looked up once; a text's ids are gathered from those of its chunks."""

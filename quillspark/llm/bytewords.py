@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes worked on at once; a longer document makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -42,7 +42,7 @@ _powers = {"n": 0, "p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse; tables beyond 8 blocks are not kept."""
+    """Powers of the hash base and of its inverse; tables beyond 4 blocks are not kept."""
     if _powers["n"] >= n:
         return _powers["p"], _powers["q"]
     size = max(n, BLOCK_BYTES + 1)
@@ -51,7 +51,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         q = np.full(size, _INVERSE)
         p[0] = q[0] = 1
         p, q = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    if size <= 8 * BLOCK_BYTES:
+    if size <= 4 * BLOCK_BYTES:
         _powers.update(n=size, p=p, q=q)
     return p, q
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.workers import ship_package
 
 #: Rows and bytes of an Arrow batch sent to Python. Texts can be long, so batches are short: memory stays bounded.
-ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 2 << 20
 #: A side of a join is broadcast only when a count shows it has at most so many rows (of two or three longs each).
 BROADCAST_ROWS = 1_000_000
 #: Narrow rows of a task of a shuffle whose number of partitions is fixed.

@@ -23,9 +23,9 @@ from pyspark.sql.window import Window
 from quillspark.llm.frames import python_workers, unused
 
 #: Entries of a Python worker's memory of encoded words.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 #: Characters that are looked up together.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 20
 #: Places of the hash table of merges, a power of two far above their number.
 _PLACES = 1 << 19
 #: Characters for which the library's normaliser and pre-tokeniser are a plain lower-casing and splitting.
@@ -171,8 +171,8 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [self.known and _PLAIN.fullmatch(x) is not None and not any(t in x for t in self.special) for x in texts]
         own = self._in_blocks([x for x, p in zip(texts, plain, strict=True) if p])
-        others = iter(self.whole.encode_batch([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        out = [next(own) if p else np.array(next(others).ids, "<u4").tobytes() for p in plain]
+        # The library's results are many times as large as the ids, so only one is held.
+        out = [next(own) if p else np.array(self.whole.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4").tobytes() for x, p in zip(texts, plain, strict=True)]
         next(own, None)
         return out
 

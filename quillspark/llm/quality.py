@@ -189,8 +189,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             found = [x.astype(np.int32).tobytes() for x in features.of_column(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "features"])
 
-    # The batches as they come, in one array of features; the order of rows is fixed by an index.
-    table = rows.mapInArrow(run, "doc_id long, label int, features binary").toArrow()
+    sample, known_labels = _in_one_array(rows.mapInArrow(run, "doc_id long, label int, features binary").toArrow())
+    pa.default_memory_pool().release_unused()  # the fetched batches, of which the fit needs nothing
+    return fit_nbsvm(sample, known_labels)
+
+
+def _in_one_array(table: pa.Table) -> tuple[Rows, np.ndarray]:
+    """Rows and labels by ascending doc_id of fetched batches, which come in any order."""
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     at, ends = 0, np.zeros(len(order) + 1, np.int64)
     np.cumsum(pc.binary_length(table.column("features")).to_numpy()[order] // 4, out=ends[1:])
@@ -202,7 +207,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             own = np.frombuffer(x.as_buffer(), np.int32)
             features[place[at] : place[at] + len(own)] = own
             at += 1
-    return fit_nbsvm(Rows(features, ends), table.column("label").to_numpy()[order])
+    return Rows(features, ends), table.column("label").to_numpy()[order]
 
 
 def score_quality(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:

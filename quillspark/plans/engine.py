@@ -73,8 +73,7 @@ class Corpus:
             scores.append(lex.select("query_id", "id", F.col("score").alias("bm25")))
         if mode != "lex" and self._embeds():
             own = vectors.embed(asked.select("query_id", F.concat(F.lit("query: "), "query").alias("t")), "t", self.embedder)
-            numbered = self.chunks.select(F.xxhash64("chunk_id").alias("id"), "chunk_id", "embedding")
-            near = vectors.knn(own, numbered, POOL).join(numbered.select("id", "chunk_id"), "id").select("query_id", F.col("chunk_id").alias("id"), "rank", F.col("similarity").alias("score"))
+            near = vectors.knn(own, self.chunks.select(F.col("chunk_id").alias("id"), "embedding"), POOL).select("query_id", "id", "rank", F.col("similarity").alias("score"))
             lists.append(near)
             scores.append(near.select("query_id", "id", F.col("score").alias("cosine")))
         if not lists:
@@ -149,8 +148,8 @@ class Corpus:
         if source is None:
             raise ValueError("the paper has no vectors")
         own = self.spark.createDataFrame([(0, source["embedding"])], "query_id long, embedding array<double>")
-        others = self._centroids.filter(F.col("paper_id") != paper_id).withColumn("id", F.xxhash64("paper_id"))
-        near = vectors.knn(own, others, max(1, min(30, k))).join(others.select("id", "paper_id"), "id").join(self.papers.select("paper_id", "title", "release_date"), "paper_id")
+        others = self._centroids.filter(F.col("paper_id") != paper_id).select(F.col("paper_id").alias("id"), "embedding")
+        near = vectors.knn(own, others, max(1, min(30, k))).withColumnRenamed("id", "paper_id").join(self.papers.select("paper_id", "title", "release_date"), "paper_id")
         return {"source": paper_id, "related": [r.asDict() for r in near.orderBy("rank").select("paper_id", "title", "release_date", "similarity").collect()]}
 
     def citations(self, paper_id: str, direction: str = "both") -> dict:

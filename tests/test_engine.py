@@ -441,3 +441,42 @@ def test_schemas_of_tools():
     assert own["required"] == ["query"] and own["properties"]["k"] == {"type": "integer", "default": 8, "minimum": 1, "maximum": 50}
     assert own["properties"]["rerank"] == {"type": "boolean", "default": False}
     assert tool_schema("get_paper")["properties"]["sections"]["type"] == "array"
+
+
+# --- tiled neighbours ---------------------------------------------------------------------------------------------
+
+
+def brute_knn(queries, rows, k, drop_self):
+    """(query_id, id, rank): by distance to nine digits, then id."""
+    out = set()
+    for q, a in queries:
+        near = sorted((round(float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())), 9), i) for i, b in rows if not drop_self or i != q)
+        out |= {(q, i, n) for n, (_, i) in enumerate(near[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("tile", [7, 40, 10_000])
+def test_knn_of_every_row_in_tiles(spark, tile):
+    r = np.random.default_rng(tile)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 4)]) for i in range(150)]  # small whole numbers: many ties
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = vectors.knn(frame.withColumnRenamed("id", "query_id"), frame, 5, drop_self=True, tile=tile)
+    assert {(x["query_id"], x["id"], x["rank"]) for x in got.collect()} == brute_knn(rows, rows, 5, True)
+    plan = got._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+def test_knn_takes_names_lengths_and_large_numbers(spark):
+    rows = [("b", [1e200, 0.0]), ("a", [0.0, 1e200]), ("c", [3e200, 0.0]), ("short", [1.0]), ("null", None), ("hole", [1.0, None])]
+    frame = spark.createDataFrame(rows, "id string, embedding array<double>")
+    asked = spark.createDataFrame([("q", [0.0, 0.0]), ("short", [4.0]), (None, [0.0, 0.0])], "query_id string, embedding array<double>")
+    got = {(x["query_id"], x["rank"]): (x["id"], x["distance"]) for x in vectors.knn(asked, frame, 2).collect()}
+    assert got == {("q", 1): ("a", 1e200), ("q", 2): ("b", 1e200), ("short", 1): ("short", 3.0)}
+    assert vectors.knn(asked, frame.filter("id = 'x'"), 2).count() == 0
+    assert vectors.knn(asked.filter("query_id = 'x'"), frame, 2).count() == 0
+
+
+def test_related_by_name(spark):
+    groups = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.9, 0.1]), ("z", [0.0, 1.0])], "paper_id string, embedding array<double>")
+    got = {(r["source"], r["rank"]): r["paper_id"] for r in vectors.related(groups, "paper_id", 2).collect()}
+    assert got == {("x", 1): "y", ("x", 2): "z", ("y", 1): "x", ("y", 2): "z", ("z", 1): "y", ("z", 2): "x"}

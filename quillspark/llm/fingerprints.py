@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytewords as bw
@@ -23,6 +23,8 @@ SAMPLES = 64
 _ROWS = 4096
 #: Documents of a block that is sorted in one task, and the most blocks (8 bytes each in a broadcast).
 BLOCK_DOCS, MOST_BLOCKS = 2000, 100_000
+#: Numbers that the driver gets to cut the rows of ids that very many rows have.
+TEXT_CUTS = 1_000_000
 
 
 class Sampler:
@@ -101,51 +103,99 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+class Blocks:
+    """Consecutive blocks of rows in the order of (id, order of the text): cut at ids, and some ids' own rows at texts."""
+
+    def __init__(self, cuts: np.ndarray, text_cuts: dict[int, np.ndarray]) -> None:
+        self.cuts, self.text_cuts = cuts, text_cuts
+        own = np.array([0] + [len(text_cuts[c]) + 1 if c in text_cuts else 0 for c in cuts.tolist()])
+        # The block that begins at a cut has its id's own parts first, and then one for the ids that follow.
+        self.start = np.arange(len(own)) + np.cumsum(own) - own
+        self.rest = (self.start + own).astype(np.int32)
+        self.number = int(self.rest[-1]) + 1
+
+    def of(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.cuts, at, "right")
+        out = self.rest[k]
+        for c, inner in self.text_cuts.items():
+            if (own := at == c).any():
+                out[own] = self.start[np.searchsorted(self.cuts, c, "right")] + np.searchsorted(inner, v[own], "right")
+        return out
+
+
+def _text_order(text: Column) -> Column:
+    """A number that puts texts in order of their first four bytes, then of a hash."""
+    first = F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 4)), 8, "0"), 16, 10).cast("long")
+    return first * (1 << 31) + F.pmod(F.xxhash64(text), F.lit(1 << 31))
+
+
+def _text_cuts(places: DataFrame, hot: dict[int, int]) -> dict[int, np.ndarray]:
+    """Quantiles of v among the rows of each hot id of places(at, v), as many as the id is to have blocks; TEXT_CUTS numbers in all, about."""
+    if not hot:
+        return {}
+    shares = min(max(hot.values()), max(256, TEXT_CUTS // len(hot)))
+    own = places.join(F.broadcast(places.sparkSession.createDataFrame([(c,) for c in hot], "at long")), "at", "left_semi")
+    found = own.groupBy("at").agg(F.percentile_approx("v", [j / shares for j in range(1, shares)], max(10_000, 4 * shares)).alias("q")).collect()
+    return {r["at"]: np.unique(np.array(r["q"], np.int64)[:: max(1, shares // hot[r["at"]])]) for r in found}
+
+
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
-    The edited text takes its last quarter from the next document in the order of doc_id (then text; the first again
-    after the last). Fingerprints count words between ASCII white space, A-Z lowered. Null texts count as empty; an
-    empty text's fingerprint is all zeros, like another empty text's. Rows without doc_id come first. Repeated rows
-    follow each other. A single row follows itself. Other columns are ignored; no rows give none.
+    The edited text takes its last quarter from the next document in the order of doc_id (then the text's first bytes,
+    then a hash of it; the first document again after the last). Fingerprints count words between ASCII white space,
+    A-Z lowered. Null texts count as empty; an empty text's fingerprint is all zeros, like another empty text's. Rows
+    without doc_id come first. Repeated rows follow each other. A single row follows itself. Other columns are ignored;
+    no rows give none.
 
     Ids are cut into blocks at quantiles; a block's texts are sorted in one task, and a copy of each block's first
-    text goes to the block before it. So every text is shuffled once, and no task sees all rows.
+    text goes to the block before it. So every text is shuffled once, and no task sees all rows. The rows of an id that
+    has several blocks' worth of them (or of none, if many rows lack one) are cut further in the order of their texts;
+    only equal rows stay together.
     """
     spark = docs.sparkSession
     python_workers(spark)
     lowest = -(2**63)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = source.select(F.coalesce("doc_id", F.lit(lowest)).alias("at"))
+    at, text_at = F.coalesce("doc_id", F.lit(lowest)).alias("at"), _text_order(F.col("text"))
+    ids = source.select(at)
     n_docs = ids.count()
     n = max(1, min(MOST_BLOCKS, n_docs // BLOCK_DOCS))
     found = ids.agg(F.percentile_approx("at", [k / n for k in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("q")).first()["q"]
-    cuts = np.unique(np.array(found or [], np.int64))
-    cuts_here = spark.sparkContext.broadcast(cuts)
+    cuts, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    hot = {int(c): int(m) for c, m in zip(cuts, times, strict=True) if m > 1}  # these ids are several quantiles
+    here = spark.sparkContext.broadcast(Blocks(cuts, _text_cuts(source.select(at, text_at.alias("v")), hot)))
 
     @F.arrow_udf("int")
-    def block_of(at: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts_here.value, at.to_numpy(zero_copy_only=False), "right").astype(np.int32))
+    def block_of(at: pa.Array, v: pa.Array) -> pa.Array:
+        return pa.array(here.value.of(at.to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False)))
 
-    firsts = {r["block"]: r["first"] for r in ids.select(block_of("at").alias("block"), "at").groupBy("block").agg(F.min("at").alias("first")).collect()}  # one row a block
+    places = source.select(at, (text_at if hot else F.lit(0).cast("long")).alias("v"))  # texts are read for hot ids only
+    firsts = {r["block"]: r["first"] for r in places.select(block_of("at", "v").alias("block"), F.struct("at", "v").alias("x")).groupBy("block").agg(F.min("x").alias("first")).collect()}  # one row a block
     order = sorted(firsts)
     # The first text of a block closes the block before it; that of the first block closes the last.
-    closes = np.full(len(cuts) + 1, -1, np.int32)
+    closes, first_at, first_v = np.full(here.value.number, -1, np.int32), np.full(here.value.number, lowest, np.int64), np.zeros(here.value.number, np.int64)
     for k, block in enumerate(order):
-        closes[block] = order[k - 1]
-    state = spark.sparkContext.broadcast((closes, np.array([firsts.get(b, lowest) for b in range(len(cuts) + 1)], np.int64)))
+        closes[block], first_at[block], first_v[block] = order[k - 1], firsts[block]["at"], firsts[block]["v"]
+    state = spark.sparkContext.broadcast((closes, first_at, first_v))
 
     @F.arrow_udf("array<int>")
-    def targets(at: pa.Array) -> pa.Array:
-        close, first = state.value
-        at = at.to_numpy(zero_copy_only=False)
-        block = np.searchsorted(cuts_here.value, at, "right")
-        return pa.array([[b, close[b]] if x == first[b] else [b] for b, x in zip(block.tolist(), at.tolist(), strict=True)], pa.list_(pa.int32()))
-
-    dealt = source.withColumn("at", F.coalesce("doc_id", F.lit(lowest))).withColumn("targets", targets("at"))
-    dealt = dealt.select("doc_id", "text", "at", F.posexplode("targets").alias("closing", "block"))
+    def targets(at: pa.Array, v: pa.Array) -> pa.Array:
+        close, first, least = state.value
+        at, v = at.to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False)
+        block = here.value.of(at, v)
+        closing = at == first[block]
+        if hot:  # of equal rows, one of a batch is enough
+            closing &= v == least[block]
+            one = np.zeros(len(at), bool)
+            one[np.flatnonzero(closing)[np.unique(block[closing], return_index=True)[1]]] = True
+            closing = one
+        return pa.array([[b, close[b]] if c else [b] for b, c in zip(block.tolist(), closing.tolist(), strict=True)], pa.list_(pa.int32()))
+
+    dealt = source.select("doc_id", "text", at, text_at.alias("v")).withColumn("targets", targets("at", "v"))
+    dealt = dealt.select("doc_id", "text", "at", "v", F.posexplode("targets").alias("closing", "block"))
     parts = partitions_for(spark, n_docs, 5 * BLOCK_DOCS)
-    ordered = dealt.repartition(parts, "block").sortWithinPartitions("block", "closing", "at", "text")
+    ordered = dealt.repartition(parts, "block").sortWithinPartitions("block", "closing", "at", "v", "text").select("block", "closing", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler_here()

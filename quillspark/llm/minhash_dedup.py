@@ -11,7 +11,9 @@ with the least text of each of its tables; that is linear in the texts, however
 what belongs together. What is left are tables whose texts are not yet of one component. They are joined to clusters,
 or stay by themselves where that sends fewer sets, and inside each, all pairs of texts of different components are
 decided by whichever task holds the two blocks they belong to. So no link between texts that met in a
-table is lost and none is unverified; a pair of blocks returns only a spanning forest of its links.
+table is lost and none is unverified; a pair of blocks returns only a spanning forest of its links. In a cluster, texts
+that met in no table of their own are compared too, so a true link may be found that the tables alone would miss (with
+a probability of 0.001 at the threshold); which way a cluster goes never decides about a pair that met.
 """
 
 from __future__ import annotations

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,8 @@ from quillspark.llm.frames import cut, python_workers
 SAMPLE_ROWS = 4_000
 #: Indicators that these rows have at most, all together (4 bytes each on the driver): rows beyond are not fitted on.
 SAMPLE_FEATURES = 40_000_000
+#: Indicators that are fetched from a partition of the sample, at most, but for a longer text's.
+FETCHED_FEATURES = 4_000_000
 #: Hashed features.
 FEATURES = 1 << 18
 #: Lengths of the byte n-grams.
@@ -187,27 +188,24 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         features = Indicators()
         for batch in batches:
             found = [x.astype(np.int32).tobytes() for x in features.of_column(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "features"])
-
-    sample, known_labels = _in_one_array(rows.mapInArrow(run, "doc_id long, label int, features binary").toArrow())
-    pa.default_memory_pool().release_unused()  # the fetched batches, of which the fit needs nothing
-    return fit_nbsvm(sample, known_labels)
-
-
-def _in_one_array(table: pa.Table) -> tuple[Rows, np.ndarray]:
-    """Rows and labels by ascending doc_id of fetched batches, which come in any order."""
-    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-    at, ends = 0, np.zeros(len(order) + 1, np.int64)
-    np.cumsum(pc.binary_length(table.column("features")).to_numpy()[order] // 4, out=ends[1:])
-    features = np.empty(ends[-1], np.int32)
-    place = np.empty(len(order), np.int64)
-    place[order] = ends[:-1]
-    for chunk in table.column("features").chunks:
-        for x in chunk:
-            own = np.frombuffer(x.as_buffer(), np.int32)
-            features[place[at] : place[at] + len(own)] = own
-            at += 1
-    return Rows(features, ends), table.column("label").to_numpy()[order]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "features"])
+
+    ordered = rows.repartitionByRange(max(1, -(-used // FETCHED_FEATURES)), "doc_id").sortWithinPartitions("doc_id")
+    return fit_nbsvm(*_in_one_array(ordered.select("label", "text").mapInArrow(run, "label int, features binary"), used))
+
+
+def _in_one_array(sample: DataFrame, most: int) -> tuple[Rows, np.ndarray]:
+    """Rows and labels of (label, features) of at most so many features, in the order of its partitions.
+
+    They are fetched a partition at a time, so the driver holds the array and one partition beside it.
+    """
+    features, ends, labels = np.empty(most, np.int32), [0], []
+    for row in sample.toLocalIterator(prefetchPartitions=True):
+        own = np.frombuffer(row["features"], np.int32)
+        features[ends[-1] : ends[-1] + len(own)] = own
+        ends.append(ends[-1] + len(own))
+        labels.append(row["label"])
+    return Rows(features[: ends[-1]], np.array(ends, np.int64)), np.array(labels, np.int64)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:

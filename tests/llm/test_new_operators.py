@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillspark.llm import filter_audit, multi_index, queries, timestamps
+from quillspark.llm import chat_format, filter_audit, fingerprints, multi_index, queries, timestamps
 
 VECTORS = "vec_id long, embedding array<double>, id int, vector string, first string, distance int"
 
@@ -294,3 +294,53 @@ def test_sql_of_the_larger_table(spark, name):
 
 def test_instants_are_aware():
     assert in_zone(datetime(2024, 3, 10, 2, 30), "America/New_York") == (int(datetime(2024, 3, 10, 6, 30, tzinfo=timezone.utc).timestamp()) * 1_000_000, True)
+
+
+# --- stored and hot rows of earlier operators ---------------------------------------------------------------------
+
+
+def test_stored_segments_give_the_same_examples(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(c, t, r.choice(["user", "assistant"]), f"c{c} t{t} </turn> \\ ### x") for c in range(40) for t in range(r.randrange(1, 9))]
+    rows += [(None, t, "assistant", f"alone {t}") for t in range(20)]
+    r.shuffle(rows)
+    segments = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    segments.orderBy("segment").repartition(5).write.parquet(f"{tmp_path}/segments")
+    stored = spark.read.parquet(f"{tmp_path}/segments")
+    assert stored.rdd.getNumPartitions() > 1
+
+    def all_of(frame):
+        return sorted((tuple(x) for x in frame.collect()), key=str)
+
+    for f in (chat_format.read_back, chat_format.expand):
+        assert all_of(f(stored)) == all_of(f(segments))
+    for conv in range(40):
+        own = sorted((t, role, text) for c, t, role, text in rows if c == conv)
+        for e in (x for x in chat_format.expand(stored).collect() if x.conv_id == conv):
+            turns = [chat_format.parse_segment(s + "</turn>\n") for s in e.text.split("</turn>\n")[:-1]]
+            assert turns == [(role, text) for _, role, text in own[: len(turns)]]
+    alone = [x for x in chat_format.read_back(stored).collect() if x.conv_id is None]
+    assert sorted((x.n_turns, x.loss_chars) for x in alone) == sorted((1, len(f"alone {t}")) for t in range(20))
+
+
+def test_rows_of_one_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_DOCS", 50)
+    texts = [f"the same beginning of text {k}" for k in range(3000)]
+    rows = [(None, t) for t in texts[:1000]] + [(7, t) for t in texts[1000:2000]] + [(8 + k, t) for k, t in enumerate(texts[2000:])] + [(None, "equal")] * 40
+    out = fingerprints.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    sizes = out.groupBy(fingerprints.F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < len(rows) / 2
+    # The edited texts are those of the whole order: ids, then first bytes, then the hash.
+    order = [tuple(x) for x in spark.createDataFrame(rows, "doc_id long, text string").orderBy(fingerprints.F.col("doc_id").asc_nulls_first(), fingerprints._text_order(fingerprints.F.col("text")), "text").collect()]
+    expected = [(i, fingerprints.edited(t, order[(k + 1) % len(order)][1])) for k, (i, t) in enumerate(order)]
+    assert sorted((str(r.doc_id), r.edited_text) for r in out.collect()) == sorted((str(i), t) for i, t in expected)
+
+
+def test_blocks_are_in_order():
+    cuts, inner = np.array([3, 7, 9]), {3: np.array([10, 20]), 9: np.array([5])}
+    blocks = fingerprints.Blocks(cuts, inner)
+    r = random.Random(3)
+    rows = sorted((r.randrange(12), r.randrange(30)) for _ in range(400))
+    numbers = blocks.of(np.array([a for a, _ in rows]), np.array([v for _, v in rows])).tolist()
+    assert numbers == sorted(numbers) and max(numbers) == blocks.number - 1 and len(set(numbers)) == blocks.number
+    assert len({n for (a, _), n in zip(rows, numbers) if a == 3}) == 3 and len({n for (a, _), n in zip(rows, numbers) if a == 7}) == 1

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -142,12 +143,13 @@ def score(tree: dict, held: dict[int, float]) -> float | None:
 _LEAVES = "array<struct<kind:string,field:string,words:array<string>,slop:int,boost:double,low:string,high:string,ends:string>>"
 
 
-def search(index: inverted.BlockIndex, docs: DataFrame, key: str, fields: list[str], queries: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
+def search(index: inverted.BlockIndex, docs: DataFrame, key: str, fields: list[str], queries: DataFrame, boosts: dict[str, float] | None = None, analysers: dict[str, Callable] | None = None) -> DataFrame:
     """(query_id, id, score) of the documents that queries(query_id, query) select; docs(key, ...) is read for ranges only.
 
     A word's or phrase's score is BM25 over its field, or all fields; a range adds nothing. A word that splits into several,
     like one with a hyphen, is a phrase. Words in a field that is not indexed match nothing, as do ranges of unknown
-    columns. Each document's leaves meet in one row, as many as its query has.
+    columns. Fields with analysers of their own (those of the index) get their words by these. Each document's leaves meet
+    in one row, as many as its query has.
     """
     spark = queries.sparkSession
     ship_package(spark)
@@ -163,6 +165,8 @@ def search(index: inverted.BlockIndex, docs: DataFrame, key: str, fields: list[s
     read = queries.select("query_id", F.posexplode(leaves_of("query")).alias("leaf", "x")).select("query_id", "leaf", "x.*")
     in_fields = F.explode(F.when(F.col("field").isNull(), F.array(*[F.lit(f) for f in fields])).otherwise(F.array("field")))
     words = read.filter("kind = 'words'").select("query_id", "leaf", "boost", "slop", "words", in_fields.alias("field"))
+    for f, analyse in (analysers or {}).items():
+        words = words.withColumn("words", F.when(F.col("field") == f, analyse(F.array_join("words", " "))).otherwise(F.col("words")))
     single = words.filter(F.size("words") == 1).select("query_id", "leaf", "field", F.get("words", F.lit(0)).alias("term"), F.col("boost").alias("times"))
     hits = inverted.matches(index, single, boosts)
     several = words.filter(F.size("words") > 1).select(F.struct("query_id", "leaf", "boost").alias("phrase_id"), "field", "words", "slop")

@@ -1,4 +1,4 @@
-"""Inverted index, BM25, phrases, query language, expansion and snippets.
+"""Inverted index, BM25, expansion and snippets.
 
 Queries come as a table and are answered together: one join of query terms with postings serves all of them. Without
 a stored index, search() scores the documents where they are read: no posting is shuffled.
@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quillspark.functions.text import tokens
@@ -129,7 +130,7 @@ def search(docs: DataFrame, key: str, fields: list[str], terms: DataFrame, k: in
     rows = weighted.orderBy("query_id").toLocalIterator()
 
     def scored(block: list) -> DataFrame:
-        part = _score_block(arrays, fields, block, [lengths[f"dl{i}"] or 1.0 for i in range(len(fields))], [float((boosts or {}).get(f, 1.0)) for f in fields], k)
+        part = _score_block(arrays, fields, block, [lengths[f"dl{i}"] or 1.0 for i in range(len(fields))], [float((boosts or {}).get(f, 1.0)) for f in fields], k, to_arrow_type(terms.schema["query_id"].dataType))
         return arrays.select("id", *[f"t{i}" for i in range(len(fields))]).mapInArrow(part, f"query_id {query_type}, id {id_type}, score double")
 
     seen: set = set()
@@ -147,7 +148,7 @@ def search(docs: DataFrame, key: str, fields: list[str], terms: DataFrame, k: in
     return top_k(out, k)
 
 
-def _score_block(arrays: DataFrame, fields: list[str], block: list, mean_lengths: list[float], boosts: list[float], k: int):
+def _score_block(arrays: DataFrame, fields: list[str], block: list, mean_lengths: list[float], boosts: list[float], k: int, query_type: pa.DataType):
     """A function from batches of token arrays to the k best documents of each query of a block."""
     queries = sorted({q for q, *_ in block})
     number = {q: i for i, q in enumerate(queries)}
@@ -208,8 +209,7 @@ def _score_block(arrays: DataFrame, fields: list[str], block: list, mean_lengths
                     held = len(kept[0][0])
         if kept:
             q, s, ids = best()
-            kind = pa.int64() if all(isinstance(x, int) for x in queries) else pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(queries, kind).take(pa.array(q)), pa.array(s), ids], ["query_id", "score", "id"]).select(["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(queries, query_type).take(pa.array(q)), pa.array(s), ids], ["query_id", "score", "id"]).select(["query_id", "id", "score"])
 
     return run
 
@@ -221,95 +221,6 @@ def top_k(scores: DataFrame, k: int, score: str = "score", ascending: bool = Fal
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def phrase_matches(docs: DataFrame, key: str, text: str, phrases: DataFrame) -> DataFrame:
-    """(phrase_id, id, tf): how often the words of phrases(phrase_id, phrase) stand one after the other."""
-    words = docs.select(F.col(key).alias("id"), F.posexplode(tokens(text)).alias("pos", "term"))
-    asked = phrases.select("phrase_id", tokens("phrase").alias("w")).filter(F.size("w") > 0)
-    asked = asked.select("phrase_id", F.size("w").alias("n"), F.posexplode("w").alias("k", "term"))
-    # A phrase starts where every one of its words, less its place in the phrase, meets.
-    met = words.join(small(asked), "term").select("phrase_id", "id", "n", (F.col("pos") - F.col("k")).alias("start"))
-    starts = met.groupBy("phrase_id", "id", "start", "n").agg(F.count("*").alias("found")).filter("found = n")
-    return starts.groupBy("phrase_id", "id").agg(F.count("*").alias("tf"))
-
-
-@dataclass(frozen=True)
-class Clause:
-    """One clause of a query: occur is "should", "must" or "not"; a phrase has several terms; a range has bounds."""
-
-    occur: str
-    field: str | None
-    terms: tuple[str, ...]
-    boost: float = 1.0
-    low: str | None = None
-    high: str | None = None
-
-
-_CLAUSE = re.compile(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|\[(\S+) TO (\S+)\]|([^\s"()]+))(?:\^(\d+(?:\.\d+)?))?')
-_WORD = re.compile(r"[^\W_]+")
-
-
-def parse_query(query: str) -> list[Clause]:
-    """Clauses of the lexical language: terms, "phrases", +must, -mustnot, AND, OR, NOT, field:term, [a TO b], ^boost.
-
-    Lenient: what cannot be read is left out. Parentheses only group and are ignored. A word that splits into several
-    terms, like one with a hyphen, is a phrase.
-    """
-    out: list[Clause] = []
-    pending = "should"
-    for m in _CLAUSE.finditer(query.replace("(", " ").replace(")", " ")):
-        sign, field, phrase, low, high, word, boost = m.groups()
-        if word in ("AND", "OR", "NOT") and not field and not sign:
-            if word == "AND" and out and out[-1].occur == "should":
-                out[-1] = Clause("must", *[getattr(out[-1], a) for a in ("field", "terms", "boost", "low", "high")])
-            pending = {"AND": "must", "OR": "should", "NOT": "not"}[word]
-            continue
-        occur = {"+": "must", "-": "not"}.get(sign, pending)
-        pending = "should"
-        if low is not None:
-            out.append(Clause(occur, field, (), float(boost or 1), low, high))
-        elif terms := tuple(_WORD.findall((phrase if phrase is not None else word).lower())):
-            out.append(Clause(occur, field, terms, float(boost or 1)))
-    return out
-
-
-def search_language(docs: DataFrame, key: str, fields: list[str], query: str, boosts: dict[str, float] | None = None) -> DataFrame:
-    """(id, score) of the documents that a query in the lexical language selects."""
-    clauses = parse_query(query)
-    index = build_index(docs, key, fields)
-    spark = docs.sparkSession
-    scored: DataFrame | None = None
-    selected = docs.select(F.col(key).alias("id"))
-
-    def matching(c: Clause) -> DataFrame:
-        within = [c.field] if c.field else fields
-        if c.low is not None:
-            value = F.col(c.field or fields[0]).cast("string")
-            keep = (F.lit(c.low == "*") | (value >= c.low)) & (F.lit(c.high == "*") | (value <= c.high))
-            return docs.filter(keep).select(F.col(key).alias("id")).withColumn("score", F.lit(0.0))
-        if len(c.terms) == 1:
-            terms = spark.createDataFrame([(0, c.terms[0], 1)], "query_id long, term string, times long")
-            part = TextIndex(index.postings.filter(F.col("field").isin(within)), index.stats) if set(within) <= set(fields) else build_index(docs, key, within)
-            return bm25(part, terms, boosts).select("id", (F.col("score") * c.boost).alias("score"))
-        ids = None
-        for f in within:
-            phrase = spark.createDataFrame([(0, " ".join(c.terms))], "phrase_id long, phrase string")
-            one = phrase_matches(docs, key, f, phrase).select("id", (F.col("tf") * c.boost * (boosts or {}).get(f, 1.0)).alias("score"))
-            ids = one if ids is None else ids.unionByName(one)
-        return ids.groupBy("id").agg(F.sum("score").alias("score"))
-
-    for c in clauses:
-        found = matching(c)
-        if c.occur == "not":
-            selected = selected.join(found.select("id"), "id", "left_anti")
-            continue
-        if c.occur == "must":
-            selected = selected.join(found.select("id"), "id", "left_semi")
-        scored = found if scored is None else scored.unionByName(found)
-    if scored is None:
-        return spark.createDataFrame([], f"id {dict(docs.dtypes)[key]}, score double")
-    return scored.groupBy("id").agg(F.sum("score").alias("score")).join(selected, "id", "left_semi")
-
-
 _RUN = re.compile(r"[^\W_]+")
 
 

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from quillspark.functions.stem import stemmed_tokens
 from quillspark.functions.text import bib_key, bibtex, tokens
 from quillspark.operators import citations as graph
-from quillspark.operators import fusion, lexical, vectors
+from quillspark.operators import fusion, grammar, inverted, lexical, vectors
 from quillspark.operators.layout import pick_sections
+from quillspark.operators.numbering import chunk_rowids
 from quillspark.operators.records import excerpts
 from quillspark.operators.taxonomy import facet_counts
 
 POOL, RERANK_POOL = 60, 25
+#: What a word without a field is looked for in, and what a hit there counts.
+FIELDS, BOOSTS = ["text", "title", "section"], {"title": 2.0}
 NOT_FOUND = {"error": "paper_id not found"}
 
 
@@ -35,9 +38,14 @@ class Corpus:
     chunks(paper_id, chunk_id, idx, section, text, embedding) and citation edges(src, dst, kind, times).
 
     embedder turns query texts into a matrix; without one, or if it fails, semantic search is off and hybrid falls back
-    to words. reranker gives a score column from the columns of the query's text and the chunk's; without one, or if
-    it fails, the share of the query's words counts. With stem, texts and their queries are stemmed (English); titles
-    and sections never are.
+    to words. reranker gives a score column from the columns of the query's text and the chunk's; without one the share
+    of the query's words counts, and if it fails the fused order stays. Both are tried once on the driver with one short
+    text; what fails later, on an executor, fails the search. With stem, texts and their queries are stemmed (English);
+    titles, sections and topics never are.
+
+    Chunks have dense numbers from 1 in the order of their papers and places, by which lists are fused and ties go.
+    index is a stored index of build_index(); without one, plain words are scored where chunks are read, and only queries
+    with phrases, groups and the like build one.
     """
 
     papers: DataFrame
@@ -46,6 +54,7 @@ class Corpus:
     embedder: Callable[[list[str]], np.ndarray] | None = None
     reranker: Callable[[Column, Column], Column] | None = None
     stem: bool = True
+    index: inverted.BlockIndex | None = None
 
     def __post_init__(self) -> None:
         _required("papers", self.papers, ["paper_id", "title", "authors", "topics", "release_date", "pdf_url", "n_pages", "abstract", "md"])
@@ -53,34 +62,62 @@ class Corpus:
         _required("edges", self.edges, ["src", "dst", "kind", "times"])
         self._centroids: DataFrame | None = None
         self._tried: bool | None = None
+        self._reranks: bool | None = None
+        self._docs: DataFrame | None = None
 
     @property
     def spark(self):
         return self.papers.sparkSession
 
+    def _numbered(self) -> DataFrame:
+        """(id, chunk_id, paper_id, section, text, embedding, title, topics): chunks by their number, with what is indexed of their papers."""
+        if self._docs is None:
+            own = self.chunks.join(chunk_rowids(self.chunks).drop("paper_id"), "chunk_id")
+            papers = self.papers.select("paper_id", "title", F.array_join("topics", " ").alias("topics"))
+            self._docs = own.join(papers, "paper_id").select(F.col("chunk_rowid").alias("id"), "chunk_id", "paper_id", "section", "text", "embedding", "title", "topics")
+        return self._docs
+
+    def _analysers(self) -> dict[str, Callable]:
+        return {"text": stemmed_tokens} if self.stem else {}
+
+    def build_index(self) -> inverted.BlockIndex:
+        """The index that search() takes, of chunks by their number; topics can be searched as a field of their own."""
+        return inverted.build(self._numbered(), "id", [*FIELDS, "topics"], self._analysers())
+
+    def _by_words(self, asked: DataFrame) -> list[DataFrame]:
+        """(query_id, id, score, rank) of queries(query_id, query) of plain words, and of those in the query language."""
+        docs, analysers, out = self._numbered(), self._analysers(), []
+        special = F.col("query").rlike(grammar.SYNTAX)
+        if not (plain := asked.filter(~special)).isEmpty():
+            own = [lexical.query_terms(plain, "query_id", "query", analysers.get(f, tokens)).select("query_id", F.lit(f).alias("field"), "term", "times") for f in FIELDS]
+            terms = own[0].unionByName(own[1]).unionByName(own[2])
+            out.append(inverted.search(self.index, terms, POOL, BOOSTS) if self.index else lexical.search(docs, "id", FIELDS, terms, POOL, BOOSTS, analysers))
+        if not (rest := asked.filter(special)).isEmpty():
+            if self.index is None:
+                self.index = self.build_index()
+            out.append(lexical.top_k(grammar.search(self.index, docs, "id", FIELDS, rest, BOOSTS, analysers), POOL))
+        return out
+
     def search_all(self, queries: DataFrame, k: int = 8, mode: str = "hybrid", per_paper_cap: int = 2, rerank: bool = False, expand: bool = True) -> DataFrame:
         """Hits of queries(query_id, query), all at once: (query_id, position, chunk_id, paper_id, title, section, score, snippet, bm25, cosine)."""
         k = max(1, min(50, k))
         asked = queries.select("query_id", F.col("query").alias("original"), (lexical.expand_query(F.col("query")) if expand else F.col("query")).alias("query"))
-        docs = self.chunks.select(F.col("chunk_id").alias("id"), "text", "section", "paper_id").join(self.papers.select("paper_id", "title"), "paper_id")
+        docs = self._numbered()
         lists, scores = [], []
         if mode != "sem":
-            fields = ["text", "title", "section"]
-            analysers = {"text": stemmed_tokens} if self.stem else {}
-            own = [lexical.query_terms(asked, "query_id", "query", analysers.get(f, tokens)).select("query_id", F.lit(f).alias("field"), "term", "times") for f in fields]
-            lex = lexical.search(docs, "id", fields, own[0].unionByName(own[1]).unionByName(own[2]), POOL, {"title": 2.0}, analysers)
-            lists.append(lex)
-            scores.append(lex.select("query_id", "id", F.col("score").alias("bm25")))
+            lex = self._by_words(asked)
+            lists.append(lex[0] if len(lex) == 1 else lex[0].unionByName(lex[1]) if lex else self.spark.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, id long, score double, rank int"))
+            scores.append(lists[0].select("query_id", "id", F.col("score").alias("bm25")))
         if mode != "lex" and self._embeds():
             own = vectors.embed(asked.select("query_id", F.concat(F.lit("query: "), "query").alias("t")), "t", self.embedder)
-            near = vectors.knn(own, self.chunks.select(F.col("chunk_id").alias("id"), "embedding"), POOL).select("query_id", "id", "rank", F.col("similarity").alias("score"))
+            near = vectors.knn(own, docs.select("id", "embedding"), POOL).select("query_id", "id", "rank", F.col("similarity").alias("score"))
             lists.append(near)
             scores.append(near.select("query_id", "id", F.col("score").alias("cosine")))
         if not lists:
             raise ValueError("semantic search needs an embedder")
         fused = fusion.ranked(fusion.rrf(lists) if len(lists) > 1 else lists[0].select("query_id", "id", "score"))
-        fused = fused.join(docs, "id")  # before the cap, so that what is missing takes no place
-        if rerank:
+        fused = fused.join(docs.drop("embedding", "topics"), "id")  # before the cap, so that what is missing takes no place
+        if rerank and self._reranker_works():
             words = lexical.small(asked.select("query_id", F.col("original").alias("_asked")))
             score = self.reranker(F.col("_asked"), F.col("text")) if self.reranker else fusion.overlap_score(tokens("_asked"), tokens("text"))
             fused = fusion.rerank(fused.join(words, "query_id"), RERANK_POOL, score).drop("rank", "_asked").withColumnRenamed("new_rank", "rank")
@@ -91,7 +128,7 @@ class Corpus:
             if name not in hits.columns:
                 hits = hits.withColumn(name, F.lit(None).cast("double"))
         hits = hits.join(lexical.small(asked.select("query_id", tokens("query").alias("_terms"))), "query_id")
-        return hits.select("query_id", "position", F.col("id").alias("chunk_id"), "paper_id", "title", "section", "score", lexical.snippet(F.col("text"), F.col("_terms")).alias("snippet"), "bm25", "cosine")
+        return hits.select("query_id", "position", "chunk_id", "paper_id", "title", "section", "score", lexical.snippet(F.col("text"), F.col("_terms")).alias("snippet"), "bm25", "cosine")
 
     def _embeds(self) -> bool:
         """Whether there is an embedder that works: it is tried once on the driver."""
@@ -105,6 +142,19 @@ class Corpus:
                 self._tried = False
         return self._tried
 
+    def _reranker_works(self) -> bool:
+        """Whether the reranker, if there is one, scores a pair of short texts."""
+        if self.reranker is None:
+            return True
+        if self._reranks is None:
+            try:
+                one = self.spark.createDataFrame([("a", "b")], "asked string, text string")
+                self._reranks = one.select(self.reranker(F.col("asked"), F.col("text"))).first() is not None
+            except Exception as e:  # noqa: BLE001  whatever a model raises, the fused order is left
+                logging.getLogger(__name__).warning("no reranking: %s", e)
+                self._reranks = False
+        return self._reranks
+
     def search(self, query: str, k: int = 8, mode: str = "hybrid", per_paper_cap: int = 2, rerank: bool = False, expand: bool = True) -> dict:
         one = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         rows = self.search_all(one, k, mode, per_paper_cap, rerank, expand).orderBy("position").drop("query_id", "position").collect()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import chunking, citations, fusion, layout, lexical, matching, records, taxonomy, vectors
+from quillspark.operators import chunking, citations, fusion, grammar, inverted, layout, lexical, matching, numbering, records, taxonomy, vectors
 from quillspark.plans import views as v
 from quillspark.plans.engine import Corpus
 from quillspark.plans.views import BLOCKS, LINES, P, read
@@ -75,15 +75,34 @@ def bm25_multifield_boost(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top_k(scores, POOL).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(_bm25_sql({"text": ("text", 1.0), "title": ("title", 2.0)}, source=f"({P})") + " SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM top")
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of bm25_multifield_boost by an index of blocks, of which only what can lead to a hit is read."""
+    index = inverted.build(v.papers(spark, d), "doc_id", ["text", "title"])
+    terms = lexical.query_terms(read(spark, d, "benchmark"), "item_id", "text")
+    terms = terms.select("query_id", F.explode(F.array(F.lit("text"), F.lit("title"))).alias("field"), "term", "times")
+    return inverted.search(index, terms, POOL, {"title": 2.0}).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(rf"""
-WITH words AS (SELECT doc_id AS id, i AS pos, ts[i] AS term FROM (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents) a, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i) r),
-runs AS (SELECT id, term AS t1, lead(term) OVER w AS t2, lead(term, 2) OVER w AS t3 FROM words WINDOW w AS (PARTITION BY id ORDER BY pos)),
-phrases AS (SELECT item_id AS phrase_id, ts[1] AS t1, ts[2] AS t2, ts[3] AS t3 FROM (SELECT item_id, {_TOKENS.format('text')} AS ts FROM benchmark) b)
-SELECT phrase_id, id, count(*) AS tf FROM runs JOIN phrases USING (t1, t2, t3) GROUP BY ALL
+WITH RECURSIVE words AS (SELECT doc_id AS id, i AS pos, ts[i] AS term FROM (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents) a, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i) r),
+phrases AS (SELECT item_id AS phrase_id, {_TOKENS.format('text')} AS ts FROM benchmark),
+runs AS (
+  SELECT phrase_id, id, pos, 1 AS n FROM words JOIN phrases ON term = ts[1]
+  UNION ALL SELECT r.phrase_id, r.id, r.pos, r.n + 1 FROM runs r JOIN phrases p ON p.phrase_id = r.phrase_id AND r.n < len(ts) JOIN words w ON w.id = r.id AND w.pos = r.pos + r.n AND w.term = ts[r.n + 1]
+)
+SELECT r.phrase_id, id, count(*) AS tf FROM runs r JOIN phrases p ON p.phrase_id = r.phrase_id AND n = len(ts) GROUP BY ALL
 """)
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
-    phrases = read(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(tx.tokens("text"), 1, 3), " ").alias("phrase"))
-    return lexical.phrase_matches(read(spark, d, "documents"), "doc_id", "text", phrases)
+    """Where whole items stand word for word, by the positions of an index."""
+    index = inverted.build(read(spark, d, "documents"), "doc_id", ["text"])
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), F.lit("text").alias("field"), tx.tokens("text").alias("words"), F.lit(0).alias("slop"))
+    return inverted.phrases(index, asked.filter(F.size("words") > 0)).select("phrase_id", "id", "tf")
+
+
+@query(f"SELECT chunk_id, row_number() OVER (ORDER BY paper_id, idx) AS chunk_rowid FROM {LINES} l")
+def chunk_rowid(spark: SparkSession, d: str) -> DataFrame:
+    return numbering.chunk_rowids(v.chunks(spark, d)).select("chunk_id", "chunk_rowid")
 
 
 _ASKED = "CASE item_id % 6 WHEN 0 THEN 'MEV in an AMM index' WHEN 1 THEN 'loss-versus-rebalancing intents' WHEN 2 THEN 'zk rollup and EIP-1559 base fee' WHEN 3 THEN 'sandwich on a dex' WHEN 4 THEN 'grammar of pbs' ELSE text END"
@@ -100,10 +119,39 @@ def query_expand(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select("item_id", F.expr(_ASKED).alias("q")).select("item_id", lexical.expand_query(F.col("q")).alias("expanded"))
 
 
-@query()
+#: Query 1 has a group, an excluded word, a phrase, a boost and a range, query 2 a group in a field and one word that must be there.
+LANGUAGE = ((1, '("of the"^2 OR with) AND NOT that AND release_date:[2020-06 TO 2023]'), (2, "+was title:(the and)^3 -en"))
+
+
+def _language_sql() -> str:
+    def word(name: str, term: str, boost: float, *within: str) -> str:
+        return f"""{name} AS (
+  SELECT id, sum({boost} * boost * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (2.2 * tf) / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))) AS s
+  FROM postings JOIN dfs USING (field, term) JOIN stats USING (field) WHERE term = '{term}' AND field IN ({", ".join(f"'{f}'" for f in within)}) GROUP BY id)"""
+
+    words = [word("w_with", "with", 1, "text", "title"), word("w_that", "that", 1, "text", "title"), word("w_was", "was", 1, "text", "title"), word("w_en", "en", 1, "text", "title"), word("t_the", "the", 3, "title"), word("t_and", "and", 3, "title")]
+    return f"""
+WITH arrays AS (SELECT *, len(terms) AS dl FROM (SELECT doc_id AS id, 'text' AS field, 1.0::DOUBLE AS boost, {_TOKENS.format('text')} AS terms FROM ({P}) p UNION ALL SELECT doc_id, 'title', 2.0::DOUBLE, {_TOKENS.format('title')} FROM ({P}) p) a),
+stats AS (SELECT field, count(*) AS n_docs, avg(dl) AS avg_dl FROM arrays GROUP BY field),
+postings AS (SELECT id, field, boost, dl, term, count(*) AS tf FROM (SELECT id, field, boost, dl, unnest(terms) AS term FROM arrays) p GROUP BY ALL),
+dfs AS (SELECT field, term, count(*) AS df FROM postings GROUP BY ALL),
+pairs AS (SELECT id, field, boost, dl, len(list_filter(range(1, len(terms)), lambda i: terms[i] = 'of' AND terms[i + 1] = 'the')) AS tf FROM arrays),
+of_the AS (
+  SELECT id, sum(2 * boost * idf * (2.2 * tf) / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))) AS s
+  FROM pairs JOIN stats USING (field) JOIN (SELECT field, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5))) AS idf FROM dfs JOIN stats USING (field) WHERE term IN ('of', 'the') GROUP BY field) i USING (field) WHERE tf > 0 GROUP BY id),
+{", ".join(words)}, dated AS (SELECT doc_id AS id FROM ({P}) p WHERE release_date BETWEEN '2020-06' AND '2023')
+SELECT 1::BIGINT AS query_id, id, round(coalesce(o.s, 0) + coalesce(w.s, 0), 6) AS score FROM of_the o FULL JOIN w_with w USING (id)
+WHERE id NOT IN (SELECT id FROM w_that) AND id IN (SELECT id FROM dated)
+UNION ALL
+SELECT 2::BIGINT, w.id, round(w.s + coalesce(t.s, 0) + coalesce(a.s, 0), 6) FROM w_was w LEFT JOIN t_the t ON t.id = w.id LEFT JOIN t_and a ON a.id = w.id WHERE w.id NOT IN (SELECT id FROM w_en)"""
+
+
+@query(_language_sql())
 def query_language(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.search_language(v.papers(spark, d), "doc_id", ["text", "title"], '+the "of the" -license lang:en^2 release_date:[2020-06 TO 2023]', {"title": 2.0})
-    return found.select("id", F.round("score", 6).alias("score"))
+    papers = v.papers(spark, d)
+    queries = spark.createDataFrame(LANGUAGE, "query_id long, query string")
+    found = grammar.search(inverted.build(papers, "doc_id", ["text", "title"]), papers, "doc_id", ["text", "title"], queries, {"title": 2.0})
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -121,13 +169,13 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return own.select(F.col("vec_id").alias("query_id"), "embedding"), own.select(F.col("vec_id").alias("id"), "embedding")
 
 
-def _knn_sql(distance: str) -> str:
+def _knn_sql(distance: str, asked: str = "vec_id % 100 = 0", pairs: str = "true", k: int = POOL) -> str:
     return f"""
 SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distance, round(1 - distance / 2, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM (
     SELECT q.vec_id AS query_id, e.vec_id AS id, {distance} AS distance
-    FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e) p) r
-WHERE rank <= {POOL}"""
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {asked}) q, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e WHERE {pairs}) p) r
+WHERE rank <= {k}"""
 
 
 def _knn(spark: SparkSession, d: str, metric: str) -> DataFrame:
@@ -171,7 +219,7 @@ SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION
 def rerank_pool(spark: SparkSession, d: str) -> DataFrame:
     hits = _fused(spark, d).join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.tokens("text").alias("asked"))
-    ranked = fusion.rerank(hits.join(F.broadcast(asked), "query_id"), 25, fusion.overlap_score(F.col("asked"), tx.tokens("text")))
+    ranked = fusion.rerank(hits.join(lexical.small(asked), "query_id"), 25, fusion.overlap_score(F.col("asked"), tx.tokens("text")))
     return ranked.select("query_id", "id", F.round("score", 6).alias("score"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
@@ -199,7 +247,8 @@ def find_related(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("source").cast("long").alias("source"), F.col("label").cast("long").alias("label"), F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+# Every passage has the word "passage", and the embedder gives vectors of length 1.
+@query(f"SELECT doc_id, chunk_id, 64::BIGINT AS dimensions, 1.0::DOUBLE AS norm FROM {LINES} l")
 def embed_passages(spark: SparkSession, d: str) -> DataFrame:
     rows = v.chunks(spark, d, "title")
     found = vectors.embed(rows.withColumn("passage", vectors.passage_text()), "passage", vectors.hashing_embedder(64))
@@ -216,6 +265,30 @@ def search_tool(spark: SparkSession, d: str) -> DataFrame:
     return corpus.search_all(queries).select("query_id", "position", "chunk_id", F.round("score", 6).alias("score"), F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
 
 
+_SECTION = "CASE idx % 6 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(v.SECTIONS)) + " END"
+_CHUNKS = f"(SELECT l.paper_id, l.chunk_id, l.text, {_SECTION} AS section, p.title, row_number() OVER (ORDER BY l.paper_id, idx) AS rowid FROM {LINES} l JOIN ({P}) p ON p.doc_id = l.doc_id)"
+
+
+@query(_bm25_sql({"text": ("text", 1.0), "title": ("title", 2.0), "section": ("section", 1.0)}, "rowid", _CHUNKS) + f""",
+capped AS (SELECT t.query_id, c.chunk_id, c.paper_id, t.score, t.rank, row_number() OVER (PARTITION BY t.query_id, c.paper_id ORDER BY t.rank) AS n FROM top t JOIN {_CHUNKS} c ON c.rowid = t.id)
+SELECT query_id, CAST(position AS BIGINT) AS position, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM capped WHERE n <= 2) c WHERE position <= 8""")
+def search_words(spark: SparkSession, d: str) -> DataFrame:
+    """The search tool by words only, for all benchmark texts at once, at most two hits a paper."""
+    papers = v.papers(spark, d).withColumns({"n_pages": F.lit(1), "md": F.col("text")})
+    corpus = Corpus(papers, v.chunks(spark, d).withColumn("embedding", F.lit(None).cast("array<float>")), _graph(spark, d), stem=False)
+    # A word in another case or with marks is no operator.
+    queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tx.tokens("text"), " ").alias("query"))
+    return corpus.search_all(queries, mode="lex", expand=False).select("query_id", F.col("position").cast("long").alias("position"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(_knn_sql("list_distance(q.v, e.v)", asked="true", pairs="e.vec_id <> q.vec_id", k=5))
+def knn_all(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every vector, itself excluded."""
+    queries, own = _vectors(spark, d)
+    found = vectors.knn(queries, own, 5, drop_self=True)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
+
+
 # --- catalogue tools ----------------------------------------------------------------------------------------------
 
 

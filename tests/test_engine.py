@@ -1,5 +1,6 @@
 """Goldens, properties and round trips of the engine."""
 
+import dataclasses
 import json
 import math
 import random
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import chunking, citations, fusion, layout, lexical, matching, records, taxonomy, vectors
+from quillspark.operators import chunking, citations, fusion, grammar, inverted, layout, lexical, matching, records, taxonomy, vectors
 from quillspark.plans.engine import Corpus, serve
 from quillspark.sources import readers, sinks
 from quillspark.streaming import ingest
@@ -84,13 +85,16 @@ def test_bm25_by_hand(spark):
 
 
 def test_query_grammar(spark):
-    clauses = lexical.parse_query('+must -not "two words"^2 title:x front-running year:[2020 TO 2022] (a AND b) NOT c " ')
-    assert [(c.occur, c.field, c.terms, c.boost, c.low) for c in clauses[:6]] == [("must", None, ("must",), 1.0, None), ("not", None, ("not",), 1.0, None), ("should", None, ("two", "words"), 2.0, None), ("should", "title", ("x",), 1.0, None), ("should", None, ("front", "running"), 1.0, None), ("should", "year", (), 1.0, "2020")]
-    assert [(c.occur, c.terms) for c in clauses[6:]] == [("must", ("a",)), ("must", ("b",)), ("not", ("c",))]
     docs = spark.createDataFrame([(1, "a b", "2021"), (2, "a c", "2021"), (3, "b a", "1999")], "id long, text string, year string")
-    assert sorted(r.id for r in lexical.search_language(docs, "id", ["text"], "+a -c").collect()) == [1, 3]
-    assert [r.id for r in lexical.search_language(docs, "id", ["text"], '"a b"').collect()] == [1]
-    assert sorted(r.id for r in lexical.search_language(docs, "id", ["text"], "+year:[2020 TO 2022] a").collect()) == [1, 2]
+    index = inverted.build(docs, "id", ["text"])
+
+    def found(query):
+        asked = spark.createDataFrame([(0, query)], "query_id long, query string")
+        return sorted(r.id for r in grammar.search(index, docs, "id", ["text"], asked).collect())
+
+    assert found("+a -c") == [1, 3]
+    assert found('"a b"') == [1]
+    assert found("+year:[2020 TO 2022] a") == [1, 2]
 
 
 def test_expansion(spark):
@@ -350,6 +354,32 @@ def test_search(corpus, mode):
     assert corpus.search("alpha beta", k=2, rerank=True)["hits"][0]["score"] == 1.0
 
 
+def test_search_by_a_stored_index_and_with_grammar(corpus, spark, tmp_path):
+    corpus.build_index().write(f"{tmp_path}/index")
+    stored = dataclasses.replace(corpus, index=inverted.BlockIndex.read(spark, f"{tmp_path}/index"))
+    for mode in ("lex", "hybrid"):
+        a, b = (c.search("alpha beta", k=4, mode=mode)["hits"] for c in (corpus, stored))
+        assert [h["chunk_id"] for h in a] == [h["chunk_id"] for h in b] and [round(h["bm25"] or 0, 9) for h in a] == [round(h["bm25"] or 0, 9) for h in b]
+
+    def papers(query):
+        return {h["chunk_id"] for h in stored.search(query, k=50, mode="lex", per_paper_cap=50, expand=False)["hits"]}
+
+    everything = papers("alpha OR beta OR delta")
+    assert papers("(alpha OR beta) AND NOT delta") == papers("+(alpha beta) -delta") and papers("(alpha OR beta) AND NOT delta") <= everything
+    assert papers("alpha AND nothing") == set() and papers('"alpha beta"') <= papers("alpha AND beta")
+    both = spark.createDataFrame([(1, "alpha"), (2, "alpha AND beta")], "query_id int, query string")
+    assert {r.query_id for r in corpus.search_all(both, mode="lex").collect()} <= {1, 2}
+
+
+def test_a_reranker_that_fails_keeps_the_order(corpus):
+    def failing(asked, text):
+        return F.raise_error(F.lit("no model")).cast("double")
+
+    broken = dataclasses.replace(corpus, reranker=failing)
+    plain = corpus.search("alpha beta", k=4)["hits"]
+    assert [h["chunk_id"] for h in broken.search("alpha beta", k=4, rerank=True)["hits"]] == [h["chunk_id"] for h in plain]
+
+
 def test_other_tools(corpus):
     assert corpus.get_paper("p", ["result"])["markdown"] == "## Results\n\ndelta" and corpus.get_paper("x") == {"error": "paper_id not found"}
     assert corpus.list_papers("TOPIC", "2021-01-01")["count"] == 2 and corpus.list_papers(limit=1)["papers"][0]["id"] == "r"
@@ -432,6 +462,8 @@ def test_search_equals_scores_of_an_index(spark):
     assert sorted(values(got, *key)) == sorted(values(expected, *key))
     assert max(abs(a - b) for (_, _, a), (_, _, b) in zip(sorted(values(got, "query_id", "rank", "score")), sorted(values(expected, "query_id", "rank", "score")), strict=True)) < 1e-9
     assert lexical.search(docs, "id", ["text"], terms.limit(0), 5).collect() == []
+    narrow = terms.withColumn("query_id", F.col("query_id").cast("int"))
+    assert sorted(values(lexical.search(docs, "id", ["text", "title"], narrow, 5, {"title": 2.0}), *key)) == sorted(values(expected, *key))
 
 
 def test_schemas_of_tools():

@@ -7,25 +7,72 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.text import slug, word_set
+from quillspark.operators.lexical import small
 
 LEAST_SCORE, PREFIX_BONUS, PREFIX = 0.35, 0.2, 30
+#: The similarity of words that a pair needs without and with the bonus, less what rounding to nine digits may add.
+_NEEDED, _NEEDED_WITH_BONUS = LEAST_SCORE - 1e-8, LEAST_SCORE - PREFIX_BONUS - 1e-8
 
 
 def fuzzy_match(files: DataFrame, candidates: DataFrame) -> DataFrame:
     """(file, candidate, score): the best candidate(candidate, title) for each files(file, title), if good enough.
 
-    The score is the Jaccard similarity of the titles' words, and a bonus if one slug's beginning begins the other.
-    The bonus alone is not enough, so pairs without a common word need not be looked at: an equi-join on words
-    replaces a product of both tables. Equal scores go to the first candidate.
+    The score is the Jaccard similarity of the titles' words, and a bonus if one slug's beginning begins the other's slug.
+    Equal scores go to the first candidate. Null titles and those without words match nothing.
+
+    Titles with the same words and slug are one. Which pairs can score enough is found by two joins: by rare words for
+    those whose words alone do, and by beginnings of slugs for those that need the bonus. In the first, each title is
+    known by the words that are rarest in both tables, as many as a pair that scores enough must have one of in common; a
+    word that all titles have is nobody's rare word.
     """
-    a = files.select("file", F.col("title").alias("t1"), word_set("title").alias("w1"))
-    b = candidates.select("candidate", F.col("title").alias("t2"), word_set("title").alias("w2"))
-    shared = a.select("file", F.explode("w1").alias("w")).join(b.select("candidate", F.explode("w2").alias("w")), "w").groupBy("file", "candidate").agg(F.count("*").alias("both"))
-    pairs = shared.join(a.select("file", slug("t1", 80).alias("s1"), F.size("w1").alias("n1")), "file").join(b.select("candidate", slug("t2", 80).alias("s2"), F.size("w2").alias("n2")), "candidate")
+    a_all, b_all = (_titles(rows, key) for rows, key in ((files, "file"), (candidates, "candidate")))
+    a, b = (x.groupBy("words", "slug").agg(F.min(key).alias(key)) for x, key in ((a_all, "file"), (b_all, "candidate")))
+    df = a.select(F.explode("words").alias("w")).unionByName(b.select(F.explode("words").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
+    pairs = _by_rare_words(_ranked(a, "file", df), _ranked(b, "candidate", df)).unionByName(_by_beginning(a, b)).distinct()
+    both = pairs.join(a.select("file", F.col("words").alias("w1"), F.col("slug").alias("s1")), "file").join(b.select("candidate", F.col("words").alias("w2"), F.col("slug").alias("s2")), "candidate")
+    shared = F.size(F.array_intersect("w1", "w2"))
     begins = F.startswith(F.col("s1"), F.substring("s2", 1, PREFIX)) | F.startswith(F.col("s2"), F.substring("s1", 1, PREFIX))
-    scored = pairs.withColumn("score", F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")) + F.when(begins, PREFIX_BONUS).otherwise(0.0))
+    scored = both.withColumn("score", shared / (F.size("w1") + F.size("w2") - shared) + F.when(begins, PREFIX_BONUS).otherwise(0.0)).filter((shared > 0) & (F.round("score", 9) >= LEAST_SCORE))
     best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy(F.round("score", 9).desc(), "candidate"))).filter("_n = 1")
-    return best.filter(F.round("score", 9) >= LEAST_SCORE).select("file", "candidate", "score")
+    named = best.select(F.col("w1").alias("words"), F.col("s1").alias("slug"), "candidate", "score")
+    return a_all.join(named, ["words", "slug"]).select("file", "candidate", "score")
+
+
+def _titles(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.array_sort(word_set("title")).alias("words"), slug("title", 80).alias("slug")).filter(F.size("words") > 0)
+
+
+def _ranked(titles: DataFrame, key: str, df: DataFrame) -> DataFrame:
+    """(key, n, empty, at, w): a title's words from the rarest on, as many as may decide a pair; empty: its slug begins every other."""
+    words = titles.select(key, F.size("words").alias("n"), (F.col("slug") == "").alias("empty"), F.explode("words").alias("w")).join(small(df), "w")
+    listed = words.groupBy(key, "n", "empty").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("own"))
+    return listed.select(key, "n", "empty", F.posexplode(F.slice("own", F.lit(1), F.col("n") - F.ceil(F.col("n") * _NEEDED_WITH_BONUS).cast("int") + 1)).alias("at", "w"))
+
+
+def _by_rare_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs whose words may be alike enough, with the bonus where a slug is empty, by prefix, length and positional filters."""
+    x, y = a.alias("x"), b.alias("y")
+    need = F.when(F.col("x.empty") | F.col("y.empty"), _NEEDED_WITH_BONUS).otherwise(_NEEDED)
+    n1, n2 = F.col("x.n"), F.col("y.n")
+    inside = (F.col("x.at") <= n1 - F.ceil(n1 * need)) & (F.col("y.at") <= n2 - F.ceil(n2 * need))
+    sizes = (F.least(n1, n2) >= need * F.greatest(n1, n2))
+    room = 1 + F.least(n1 - F.col("x.at"), n2 - F.col("y.at")) - 1 >= F.ceil(need / (1 + need) * (n1 + n2))
+    return x.join(y, F.col("x.w") == F.col("y.w")).filter(inside & sizes & room).select("file", "candidate").distinct()
+
+
+def _by_beginning(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs one of whose slugs, cut to PREFIX characters, begins the other, with sizes that may be alike enough with the bonus."""
+
+    def own(x: DataFrame, key: str) -> DataFrame:
+        return x.filter("slug != ''").select(key, F.size("words").alias(f"n_{key}"), F.substring("slug", 1, PREFIX).alias("head"))
+
+    def every(x: DataFrame) -> DataFrame:
+        return x.withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.length("head")), lambda n: F.substring(F.col("head"), F.lit(1), n))))
+
+    x, y = own(a, "file"), own(b, "candidate")
+    alike = F.least("n_file", "n_candidate") >= _NEEDED_WITH_BONUS * F.greatest("n_file", "n_candidate")
+    met = every(x).join(y, "head").unionByName(x.join(every(y), "head"))
+    return met.filter(alike).select("file", "candidate")
 
 
 def match_cascade(files: DataFrame, candidates: DataFrame) -> DataFrame:

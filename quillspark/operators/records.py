@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.text import arxiv_version, content_key, normalize_url, paper_id, url_class
+from quillspark.functions.workers import ship_package
 
 
 def catalogue(raw: DataFrame) -> DataFrame:
@@ -20,15 +24,30 @@ def catalogue(raw: DataFrame) -> DataFrame:
 def latest_versions(entries: DataFrame, order: str = "line") -> DataFrame:
     """One entry for each content key, by a fold in order: a later entry replaces one with a lower arXiv version, or an older date.
 
-    The fold keeps a version, a date and a place for each entry of a key; the entries themselves are joined back.
+    The fold depends on the order, so a key's lines are one task's; they stream through it sorted, as their place, version
+    and date, and the state is one such line, however many there are. The entries themselves are joined back.
     """
-    keyed = entries.withColumns({"_key": content_key("title", "url"), "_version": arxiv_version("url")})
-    seen = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("_version").alias("version"), F.col("release_date").alias("date"))))
-    start = F.get("seen", F.lit(0))
-    newer = lambda old, new: (new["version"] > old["version"]) | ((new["date"] != "") & (new["date"] > old["date"]))
-    kept = F.aggregate("seen", start, lambda old, new: F.when(newer(old, new), new).otherwise(old))
-    chosen = keyed.groupBy("_key").agg(seen.alias("seen")).select(kept["at"].alias(order))
-    return entries.join(chosen, order, "left_semi")
+    ship_package(entries.sparkSession)
+    lines = entries.select(content_key("title", "url").alias("key"), F.col(order).alias("at"), arxiv_version("url").alias("version"), F.col("release_date").alias("date"))
+    chosen = lines.repartition("key").sortWithinPartitions("key", "at", "version", "date").mapInArrow(_fold_versions, f"at {dict(entries.dtypes)[order]}")
+    return entries.join(chosen.withColumnRenamed("at", order), order, "left_semi")
+
+
+def _fold_versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: tuple | None = None
+    for batch in batches:
+        done = []
+        for key, at, version, date in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "version", "date")), strict=True):
+            if kept is None or kept[0] != key:
+                if kept is not None:
+                    done.append(kept[1])
+                kept = (key, at, version, date)
+            elif (version is not None and kept[2] is not None and version > kept[2]) or (date and kept[3] is not None and date > kept[3]):
+                kept = (key, at, version, date)
+        kind = batch.schema.field("at").type
+        yield pa.RecordBatch.from_arrays([pa.array(done, kind)], ["at"])
+    if kept is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([kept[1]], kind)], ["at"])
 
 
 def or_else(a: Column | str, b: Column | str) -> Column:

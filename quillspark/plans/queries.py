@@ -571,7 +571,7 @@ def topic_audit(spark: SparkSession, d: str) -> DataFrame:
 
 _SLUG = "trim(substr(trim(regexp_replace(replace(strip_accents(lower({0})), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), '-')"
 _WORDS = r"list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: length(x) > 2))"
-_FUZZY_SQL = f"""WITH f AS (SELECT 'item-' || item_id AS file, substr(text, 1, 60) AS title FROM benchmark), c AS (SELECT paper_id AS candidate, title FROM ({P}) p),
+_FUZZY_SQL = f"""WITH f AS (SELECT 'file-' || doc_id AS file, split_part(text, chr(10), 1) AS title FROM documents), c AS (SELECT paper_id AS candidate, title FROM ({P}) p),
 a AS (SELECT file, {_WORDS.format('title')} AS w, {_SLUG.format('title')} AS s FROM f), b AS (SELECT candidate, {_WORDS.format('title')} AS w, {_SLUG.format('title')} AS s FROM c),
 p AS (SELECT file, candidate, len(list_intersect(a.w, b.w)) AS shared, len(a.w) AS n1, len(b.w) AS n2, starts_with(a.s, substr(b.s, 1, 30)) OR starts_with(b.s, substr(a.s, 1, 30)) AS begins FROM a, b),
 s AS (SELECT file, candidate, shared / (n1 + n2 - shared) + CASE WHEN begins THEN 0.2 ELSE 0 END AS score FROM p WHERE shared > 0),
@@ -580,7 +580,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY round(score, 9) DE
 
 @query(_FUZZY_SQL + " SELECT file, candidate, round(score, 6) AS score FROM r WHERE n = 1 AND round(score, 9) >= 0.35")
 def fuzzy_title_match(spark: SparkSession, d: str) -> DataFrame:
-    files = read(spark, d, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("file"), F.substring("text", 1, 60).alias("title"))
+    """Whole first lines as titles of files: most papers' titles are their beginnings."""
+    files = read(spark, d, "documents").select(F.concat(F.lit("file-"), F.col("doc_id").cast("string")).alias("file"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     found = matching.fuzzy_match(files, v.papers(spark, d).select(F.col("paper_id").alias("candidate"), "title"))
     return found.select("file", "candidate", F.round("score", 6).alias("score"))
 

@@ -512,3 +512,49 @@ def test_related_by_name(spark):
     groups = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.9, 0.1]), ("z", [0.0, 1.0])], "paper_id string, embedding array<double>")
     got = {(r["source"], r["rank"]): r["paper_id"] for r in vectors.related(groups, "paper_id", 2).collect()}
     assert got == {("x", 1): "y", ("x", 2): "z", ("y", 1): "x", ("y", 2): "z", ("z", 1): "y", ("z", 2): "x"}
+
+
+# --- folds and set joins ------------------------------------------------------------------------------------------
+
+
+def test_fold_of_versions_equals_a_loop(spark):
+    r = random.Random(4)
+    rows = [(n, "T", f"https://arxiv.org/pdf/2001.0000{r.randrange(3)}v{r.randrange(4)}.pdf", r.choice(["", "2020-01-01", "2021-05-05", "2019-12-31"])) for n in range(600)]
+    kept = {}
+    for n, _, url, date in rows:
+        key, version = url[:-6], int(url[-5])
+        old = kept.get(key)
+        if old is None or version > old[1] or (date and date > old[2]):
+            kept[key] = (n, version, date)
+    entries = spark.createDataFrame(rows, "line long, title string, url string, release_date string").repartition(5)
+    assert sorted(r.line for r in records.latest_versions(entries).collect()) == sorted(n for n, _, _ in kept.values())
+    assert records.latest_versions(entries.limit(0)).count() == 0
+    assert "collect_list" not in records.latest_versions(entries)._jdf.queryExecution().toString()
+
+
+def test_fuzzy_match_equals_all_pairs(spark):
+    r = random.Random(9)
+    vocabulary = ["common"] + [f"word{k}" for k in range(40)]
+    title = lambda: " ".join(["common"] * (r.random() < 0.9) + r.sample(vocabulary[1:], r.randrange(1, 7)))
+    candidates = [(f"c{k:03}", title()) for k in range(150)] + [("x1", "common"), ("x2", "common"), ("x3", ""), ("x4", None), ("x5", "слово другое"), ("x6", "of a")]
+    files = [(f"f{k:03}", r.choice([title(), r.choice(candidates)[1] or "", (r.choice(candidates)[1] or "") + " extra words at the end"])) for k in range(150)]
+    files += [("g1", "слово иное ещё"), ("g2", None), ("g3", "common")]
+
+    def parts(t):
+        words = {w for w in "".join(c if c.isalnum() or c == "_" else " " for c in (t or "").lower()).split() if len(w) > 2}
+        plain = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else "-" for c in (t or "").lower())
+        return words, "-".join(x for x in plain.split("-") if x)[:80].strip("-")
+
+    expected = {}
+    for f, t in files:
+        w1, s1 = parts(t)
+        scores = []
+        for c, u in candidates:
+            w2, s2 = parts(u)
+            if w1 & w2:
+                scores.append((-round(len(w1 & w2) / len(w1 | w2) + (0.2 if s1.startswith(s2[:30]) or s2.startswith(s1[:30]) else 0), 9), c))
+        if scores and min(scores)[0] <= -0.35:
+            expected[f] = min(scores)[1]
+    a, b = spark.createDataFrame(files, "file string, title string"), spark.createDataFrame(candidates, "candidate string, title string")
+    got = {x.file: x.candidate for x in matching.fuzzy_match(a, b).collect()}
+    assert got == expected and len(expected) > 80

@@ -50,16 +50,21 @@ def _rendered(instant: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(instant), zone))
 
 
-def resolve(wall: str, zone: str, offsets: str) -> tuple[Column, Column]:
-    """The instant of a wall time and whether the zone skips or repeats it; null where the zone is unknown (offsets is null)."""
-    at, name = F.col(wall), F.col(zone)
-    fits = F.filter(F.transform(offsets, lambda o: at - o), lambda x: _rendered(x, name) == at)
+def resolved(x: DataFrame) -> DataFrame:
+    """x(wall, zone, offsets, ...) with instant, and odd: whether the zone skips or repeats the wall time.
+
+    instant is null where wall is null or the zone is unknown (offsets is null). Zones of one offset need no candidates.
+    """
+    at, name, offsets = F.col("wall"), F.col("zone"), F.col("offsets")
+    # A column of its own, so that it is computed once for all that is asked of it.
+    x = x.withColumn("fits", F.when(at.isNotNull() & (F.size(offsets) > 1), F.filter(F.transform(offsets, lambda o: at - o), lambda u: _rendered(u, name) == at)))
     # In a gap the earliest candidate lies before the change; with the offset there, the wall time lies after it.
     earliest = at - F.array_max(offsets)
     after = at - (_rendered(earliest, name) - earliest)
     in_gap = at - (_rendered(after, name) - after)
-    n = F.size(fits)
-    return F.when(F.col(offsets).isNotNull(), F.when(n == 0, in_gap).otherwise(F.array_max(fits))), F.col(offsets).isNotNull() & (n != 1)
+    several = F.col("fits").isNotNull()
+    instant = F.when(several, F.when(F.size("fits") == 0, in_gap).otherwise(F.array_max("fits"))).otherwise(at - F.get(offsets, F.lit(0)))
+    return x.withColumns({"instant": instant, "odd": several & (F.size("fits") != 1)})
 
 
 def _number(part: Column) -> Column:
@@ -113,9 +118,9 @@ def _plain(stamps: DataFrame, zones: DataFrame) -> DataFrame:
 def _answers(x: DataFrame, zones: DataFrame) -> DataFrame:
     """(stamp_id, utc_us, rule, ambiguous) from wall, offset, epoch, rule and zone."""
     x = x.join(F.broadcast(zones), "zone", "left") if "offsets" not in x.columns else x
-    instant, odd = resolve("wall", "zone", "offsets")
-    us = F.when(F.col("rule") == "epoch", F.col("epoch")).when(F.col("offset").isNotNull(), F.col("wall") - F.col("offset")).otherwise(instant)
-    x = x.withColumn("utc_us", us).withColumn("odd", odd & F.col("offset").isNull() & F.col("wall").isNotNull())
+    local = F.when(F.col("offset").isNull(), F.col("wall"))  # what has an offset of its own needs no zone
+    x = resolved(x.withColumns({"shifted": F.col("wall") - F.col("offset"), "wall": local}))
+    x = x.withColumn("utc_us", F.when(F.col("rule") == "epoch", F.col("epoch")).otherwise(F.coalesce("shifted", "instant")))
     bad = F.col("utc_us").isNull()
     return x.select("stamp_id", "utc_us", F.when(bad, "bad").otherwise(F.col("rule")).alias("rule"), (~bad & (F.col("rule").isin("votes", "default") | F.col("odd"))).alias("ambiguous"))
 

@@ -4,12 +4,12 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """rows, written to the folder that spark.checkpoint.dir names; one of our own only where it is unset, on a single machine."""
-    sc = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset, on a single machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -18,4 +18,10 @@ def checkpointed(rows: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
             atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows, written to the shared folder and read from there."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()

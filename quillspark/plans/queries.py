@@ -1,12 +1,14 @@
 """Queries of the engine by name, and their SQL for DuckDB."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import chunking, citations, fusion, grammar, inverted, layout, lexical, matching, numbering, records, taxonomy, vectors
+from quillspark.functions.storage import shared_folder
+from quillspark.operators import chunking, citations, fusion, grammar, inverted, layout, lexical, matching, numbering, records, segments, taxonomy, vectors
 from quillspark.plans import views as v
 from quillspark.plans.engine import Corpus
 from quillspark.plans.views import BLOCKS, LINES, P, read
@@ -84,6 +86,23 @@ def index_topk(spark: SparkSession, d: str) -> DataFrame:
     return inverted.search(index, terms, POOL, {"title": 2.0}).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+_REVISED = """(SELECT doc_id, CASE WHEN d.source IN ('src1', 'src2', 'src7') THEN text || ' revised edition' ELSE text END AS text
+FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+@query(_bm25_sql(_TEXT_ONLY, source=_REVISED) + " SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM top")
+def incremental_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of an index after all documents came, those of some sources were changed, and those labelled toxic were deleted; segments with many dead ones are rewritten."""
+    docs, revised = read(spark, d, "documents").select("doc_id", "source", "text"), F.col("source").isin("src1", "src2", "src7")
+    index = segments.SegmentedIndex(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4()}", "doc_id", ["text"])
+    index.apply(docs)
+    index.apply(docs.filter(revised).withColumn("text", F.concat("text", F.lit(" revised edition"))))
+    index.apply(deleted=read(spark, d, "labels").filter("toxic = 1").select("doc_id"))
+    index.merge()
+    terms = lexical.query_terms(read(spark, d, "benchmark"), "item_id", "text").select("query_id", F.lit("text").alias("field"), "term", "times")
+    return inverted.search(index.open(), terms, POOL).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(rf"""
 WITH RECURSIVE words AS (SELECT doc_id AS id, i AS pos, ts[i] AS term FROM (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents) a, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i) r),
 phrases AS (SELECT item_id AS phrase_id, {_TOKENS.format('text')} AS ts FROM benchmark),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -85,6 +86,16 @@ def remove(table: DataFrame) -> None:
         where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver give back what earlier jobs left behind, at the beginning of a stage.
+
+    Spark removes broadcasts, shuffle files and checkpoints when the driver's collector finds them unused, which is every
+    half hour unless the heap is full. Plans that Python still refers to in cycles are dropped first.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions_for(spark: SparkSession, rows: int, of_a_task: int = TASK_ROWS) -> int:
     """How many partitions a shuffle of so many rows gets: the session's number, or more if tasks would be too large."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // of_a_task))

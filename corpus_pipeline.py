@@ -18,6 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text scores as an empty one; a score at the threshold stays; repeated rows stay or go together; rows without
     doc_id are judged by their text. An empty table stays empty. All columns keep their values.
     """
+    frames.release(spark)
     (score,) = frames.unused(docs, "_score")
     scored = score_quality(docs, queries.quality_model(spark, docs, sf_dir), score)
     return scored.filter(F.col(score) >= queries.QUALITY_THRESHOLD).select(*docs.columns)
@@ -29,6 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null, and rows without doc_id stay as they are. Of a recurring line the largest doc_id keeps all
     its places; repeated rows lose the same lines. A document that loses all lines has an empty text. No row goes.
     """
+    frames.release(spark)
     lines, dropped = frames.unused(docs, "_lines", "_dropped")
     out = dedup_lines(docs, n_lines=lines, n_dropped=dropped)
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
@@ -40,6 +42,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and wordless texts and rows without doc_id are nobody's copies and stay. Of rows that repeat a doc_id one
     stays, whatever their texts. An empty table stays empty. All columns keep their values.
     """
+    frames.release(spark)
     return one_of_each(docs)
 
 
@@ -49,6 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts and rows without doc_id stay. Rows that repeat a doc_id go together if any of them leaks, and so does a
     document at the thresholds. Without benchmark or documents nothing goes. All columns keep their values.
     """
+    frames.release(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -58,6 +62,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is packed as an empty one; repeated rows and rows without doc_id are packed each. No documents give no
     pieces.
     """
+    frames.release(spark)
     return queries.packed(docs)
 
 

@@ -25,3 +25,9 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     """rows, written to the shared folder and read from there."""
     shared_folder(rows.sparkSession)
     return rows.checkpoint()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.functions.storage import shared_folder
-from quillspark.operators import chunking, citations, fusion, grammar, inverted, layout, lexical, matching, numbering, records, segments, taxonomy, vectors
+from quillspark.operators import chunking, citations, fusion, grammar, inverted, layout, lexical, matching, numbering, records, retries, segments, taxonomy, vectors
 from quillspark.plans import views as v
 from quillspark.plans.engine import Corpus
 from quillspark.plans.views import BLOCKS, LINES, P, read
@@ -422,6 +422,17 @@ def url_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return _urls(spark, d).select("page_id", F.trim("url").alias("url")).select("page_id", tx.github_raw("url").alias("raw"), tx.referer("url").alias("referer"))
 
 
+@query(f"""WITH r AS (SELECT page_id, url, regexp_replace(url, '^https?://github\\.com/([^/]+)/([^/]+)/blob/(.+)$', 'https://raw.githubusercontent.com/\\1/\\2/\\3') AS u FROM (SELECT page_id, trim(url) AS url FROM {_URLS_SQL} a) t),
+s AS (SELECT page_id, CASE WHEN contains(u, 'ssrn.com') THEN replace(u, 'abstract_id', 'abstractid') ELSE u END AS u FROM r WHERE u IS NOT NULL),
+p AS (SELECT page_id, u, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/' AS home, CASE WHEN contains(u, 'ssrn.com') AND regexp_matches(u, 'abstractid=[0-9]+') THEN 'https://papers.ssrn.com/sol3/papers.cfm?abstract_id=' || regexp_extract(u, 'abstractid=([0-9]+)', 1) END AS page FROM s)
+SELECT page_id, 1 AS n, u AS url, CASE WHEN contains(u, 'ssrn.com') THEN coalesce(page, 'https://papers.ssrn.com/') ELSE home END AS referer, page AS prelude FROM p
+UNION ALL SELECT page_id, 2, CASE WHEN contains(u, '?') THEN u ELSE u || '.pdf' END, home, NULL FROM p WHERE NOT ends_with(u, '.pdf')""")
+def retry_plan(spark: SparkSession, d: str) -> DataFrame:
+    delivery = F.when(F.contains("url", F.lit("ssrn.com")), F.replace("url", F.lit("abstract_id"), F.lit("abstractid"))).otherwise(F.col("url"))
+    urls = _urls(spark, d).select("page_id", F.trim("url").alias("url")).withColumn("url", delivery)
+    return retries.plan(urls, "page_id")
+
+
 @query("""WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages), d(domain) AS (VALUES ('.example.org'), ('example.net'), ('tionsh.example.net'))
 SELECT host, domain FROM h JOIN d ON host = ltrim(domain, '.') OR ends_with(host, '.' || ltrim(domain, '.'))""")
 def host_suffix_join(spark: SparkSession, d: str) -> DataFrame:

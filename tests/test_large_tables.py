@@ -1,7 +1,11 @@
 """Queries over what only larger tables have: long keys, frequent words, many copies."""
 
+import random
+
 import duckdb
 
+from quillspark.operators import lexical
+from quillspark.plans.engine import Corpus
 from quillspark.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -28,3 +32,37 @@ def test_order_keys_of_more_than_six_digits(spark, tmp_path):
     orders = spark.createDataFrame([(k,) for k in keys], "o_orderkey long")
     got = same_as_sql(spark, "match_cascade", tmp_path, orders=orders, documents=documents(spark, [(i, "a title\nand text") for i in (123456, 912345, 7, 500000)]))
     assert len(got) == 8
+
+
+def benchmark(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+
+def test_fields_are_counted_and_scored_without_postings(spark, tmp_path):
+    r = random.Random(2)
+    words = [f"w{int(r.paretovariate(0.8)) % 300}" for _ in range(5000)]
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.randrange(25))) + "\nthe end") for i in range(900)] + [(1000, None), (1001, ""), (1002, "w1")]
+    benches = benchmark(spark, ["the w1 w2", "end", "", "none", " ".join(words[:60])])
+    got = same_as_sql(spark, "bm25_multifield_boost", tmp_path, documents=documents(spark, texts), benchmark=benches)
+    assert got.groupby("query_id").size().max() == 60
+    # No row of a document and a word meets in an exchange: what is left of the plan reads a checkpoint of counts.
+    plan = QUERIES["bm25_multifield_boost"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode" not in plan
+
+
+def test_only_what_may_be_among_the_best_is_kept(spark):
+    """Ties at the k-th place go by id, also where they come after the best were cut for the first time."""
+    docs = spark.createDataFrame([(3000 - i, "w " * (1 + i % 3) + "x " * (3 - i % 3)) for i in range(3000)], "id long, text string").coalesce(1)
+    terms = lexical.query_terms(spark.createDataFrame([(q, "w") for q in range(120)], "query_id long, q string"), "query_id", "q")
+    expected = lexical.top_k(lexical.bm25(lexical.build_index(docs, "id", ["text"]), terms), 5)
+    rows = lambda frame: sorted((r["query_id"], r["rank"], r["id"]) for r in frame.collect())
+    assert rows(lexical.search(docs, "id", ["text"], terms, 5)) == rows(expected)
+
+
+def test_chunks_are_joined_once(spark):
+    """What a search reads of the chunks is a checkpoint, not the joins that number them."""
+    chunks = spark.createDataFrame([("p", f"p::{i}", i, "s", "some words", None) for i in range(5)], "paper_id string, chunk_id string, idx int, section string, text string, embedding array<float>")
+    papers = spark.createDataFrame([("p", "t", "a", ["x"], "2020", "u", 1, "b", "m")], "paper_id string, title string, authors string, topics array<string>, release_date string, pdf_url string, n_pages int, abstract string, md string")
+    corpus = Corpus(papers, chunks, spark.createDataFrame([], "src string, dst string, kind string, times long"))
+    assert "Join" not in corpus._numbered()._jdf.queryExecution().executedPlan().toString()
+    assert len(corpus.search("words", mode="lex")["hits"]) == 2

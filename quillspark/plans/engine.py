@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.stem import stemmed_tokens
+from quillspark.functions.storage import checkpointed
 from quillspark.functions.text import bib_key, bibtex, tokens
 from quillspark.operators import citations as graph
 from quillspark.operators import fusion, grammar, inverted, lexical, vectors
@@ -70,11 +71,14 @@ class Corpus:
         return self.papers.sparkSession
 
     def _numbered(self) -> DataFrame:
-        """(id, chunk_id, paper_id, section, text, embedding, title, topics): chunks by their number, with what is indexed of their papers."""
+        """(id, chunk_id, paper_id, section, text, embedding, title, topics): chunks by their number, with what is indexed of their papers.
+
+        They are made once, as a checkpoint: each search reads them several times.
+        """
         if self._docs is None:
             own = self.chunks.join(chunk_rowids(self.chunks).drop("paper_id"), "chunk_id")
             papers = self.papers.select("paper_id", "title", F.array_join("topics", " ").alias("topics"))
-            self._docs = own.join(papers, "paper_id").select(F.col("chunk_rowid").alias("id"), "chunk_id", "paper_id", "section", "text", "embedding", "title", "topics")
+            self._docs = checkpointed(own.join(papers, "paper_id").select(F.col("chunk_rowid").alias("id"), "chunk_id", "paper_id", "section", "text", "embedding", "title", "topics"))
         return self._docs
 
     def _analysers(self) -> dict[str, Callable]:
@@ -107,16 +111,17 @@ class Corpus:
         if mode != "sem":
             lex = self._by_words(asked)
             lists.append(lex[0] if len(lex) == 1 else lex[0].unionByName(lex[1]) if lex else self.spark.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, id long, score double, rank int"))
+            lists[0] = checkpointed(lists[0])  # some rows for each query, which are read more than once
             scores.append(lists[0].select("query_id", "id", F.col("score").alias("bm25")))
         if mode != "lex" and self._embeds():
             own = vectors.embed(asked.select("query_id", F.concat(F.lit("query: "), "query").alias("t")), "t", self.embedder)
-            near = vectors.knn(own, docs.select("id", "embedding"), POOL).select("query_id", "id", "rank", F.col("similarity").alias("score"))
+            near = checkpointed(vectors.knn(own, docs.select("id", "embedding"), POOL).select("query_id", "id", "rank", F.col("similarity").alias("score")))
             lists.append(near)
             scores.append(near.select("query_id", "id", F.col("score").alias("cosine")))
         if not lists:
             raise ValueError("semantic search needs an embedder")
         fused = fusion.ranked(fusion.rrf(lists) if len(lists) > 1 else lists[0].select("query_id", "id", "score"))
-        fused = fused.join(docs.drop("embedding", "topics"), "id")  # before the cap, so that what is missing takes no place
+        fused = lexical.small(fused).join(docs.drop("embedding", "topics"), "id")  # before the cap, so that what is missing takes no place
         if rerank and self._reranker_works():
             words = lexical.small(asked.select("query_id", F.col("original").alias("_asked")))
             score = self.reranker(F.col("_asked"), F.col("text")) if self.reranker else fusion.overlap_score(tokens("_asked"), tokens("text"))

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.storage import checkpointed
+from quillspark.functions.storage import stored
 from quillspark.operators import inverted
 from quillspark.operators.lexical import small
 
@@ -106,9 +106,9 @@ class SegmentedIndex:
     def _write(self, index: inverted.BlockIndex, ids: DataFrame) -> str:
         segment = uuid.uuid4().hex
         index.write(f"{self.path}/segments/{segment}")
-        ids.repartitionByRange("id").write.parquet(self._at(segment, "ids"))
+        ids.sortWithinPartitions("id").write.parquet(self._at(segment, "ids"))
         lengths = index.postings.groupBy("id", "field").agg(F.first("dl").alias("dl"))
-        lengths.repartitionByRange("id").sortWithinPartitions("id").write.parquet(self._at(segment, "lengths"))
+        lengths.sortWithinPartitions("id").write.parquet(self._at(segment, "lengths"))
         return segment
 
     def merge(self, fanout: int = FANOUT, dead_share: float = DEAD_SHARE) -> int | None:
@@ -132,9 +132,9 @@ class SegmentedIndex:
 
     def _merged(self, segments: list[str], dead: DataFrame | None) -> str:
         live = (lambda rows: rows) if dead is None else lambda rows: rows.join(small(dead), ["segment", "id"], "left_anti")
-        ids = checkpointed(live(self._each("ids", segments)).select("id"))
-        postings = checkpointed(live(self._each("postings", segments)).drop("segment"))
-        stats = checkpointed(_stats(live(self._each("lengths", segments)), ids.count(), self.fields))
+        ids = stored(live(self._each("ids", segments)).select("id"))
+        postings = stored(live(self._each("postings", segments)).drop("segment"))
+        stats = stored(_stats(live(self._each("lengths", segments)), ids.count(), self.fields))
         return self._write(inverted.from_postings(postings, stats), ids)
 
     def vacuum(self) -> list[str]:
@@ -157,9 +157,9 @@ class SegmentedIndex:
             raise ValueError("nothing has been indexed")
         names, spoilt, dead = [s for s, _, _ in listed], [s for s, _, d in listed if d], self._dead(n)
         live = (lambda rows: rows) if dead is None else lambda rows: rows.join(small(dead), ["segment", "id"], "left_anti")
-        stats = checkpointed(_stats(live(self._each("lengths", names)), sum(docs - d for _, docs, d in listed), self.fields))
+        stats = stored(_stats(live(self._each("lengths", names)), sum(docs - d for _, docs, d in listed), self.fields))
         then = self._each("stats", names).select("segment", "field", F.col("avg_dl").alias("then"))
-        growth = checkpointed(then.join(F.broadcast(stats), "field").select("segment", "field", _ratio(F.col("avg_dl"), F.col("then")).alias("growth")))
+        growth = stored(then.join(F.broadcast(stats), "field").select("segment", "field", _ratio(F.col("avg_dl"), F.col("then")).alias("growth")))
         scaled = lambda rows: rows.join(F.broadcast(growth), ["segment", "field"])
         blocks = scaled(self._each("blocks", names)).withColumn("most", F.col("most") * F.greatest(F.lit(1.0), "growth")).drop("growth")
         # Any of the KTH best of a term may be dead in a segment that has dead ones: it bounds nothing there.

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from quillspark.operators import lexical
+from quillspark.operators import inverted, lexical
 from quillspark.plans.engine import Corpus
 from quillspark.plans.queries import ORACLE_SQL, QUERIES
 
@@ -66,3 +66,15 @@ def test_chunks_are_joined_once(spark):
     corpus = Corpus(papers, chunks, spark.createDataFrame([], "src string, dst string, kind string, times long"))
     assert "Join" not in corpus._numbered()._jdf.queryExecution().executedPlan().toString()
     assert len(corpus.search("words", mode="lex")["hits"]) == 2
+
+
+def test_an_index_is_made_without_a_shuffle_of_postings(spark):
+    """Each task makes the blocks of its own documents, packed by column; a search over several slices is whole."""
+    docs = spark.createDataFrame([(i, f"the w{i % 7} w{i % 5}") for i in range(900)], "id long, text string").repartition(3)
+    index = inverted.build(docs, "id", ["text"])
+    assert all(".parquet" in f for x in (index.postings, index.blocks) for f in x.inputFiles()) and index.blocks.inputFiles()
+    terms = lexical.query_terms(spark.createDataFrame([(1, "w3 the"), (2, "w4")], "query_id long, q string"), "query_id", "q")
+    expected = lexical.top_k(lexical.bm25(lexical.build_index(docs, "id", ["text"]), terms), 10)
+    got = inverted.search(index, terms.withColumn("field", lexical.F.lit("text")), 10)
+    rows = lambda frame: sorted((r["query_id"], r["rank"], r["id"]) for r in frame.collect())
+    assert rows(got) == rows(expected)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import frames
-from quillspark.llm.chat_format import format_conversations, read_back
+from quillspark.llm.chat_format import expand, format_conversations, read_examples
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.filter_audit import audit, mask_counts
 from quillspark.llm.fingerprints import edit_fingerprints
@@ -101,7 +101,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(conversations.unionByName(extra)))
+    return read_examples(expand(format_conversations(conversations.unionByName(extra)), rest=True))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

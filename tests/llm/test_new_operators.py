@@ -344,3 +344,22 @@ def test_blocks_are_in_order():
     numbers = blocks.of(np.array([a for a, _ in rows]), np.array([v for _, v in rows])).tolist()
     assert numbers == sorted(numbers) and max(numbers) == blocks.number - 1 and len(set(numbers)) == blocks.number
     assert len({n for (a, _), n in zip(rows, numbers) if a == 3}) == 3 and len({n for (a, _), n in zip(rows, numbers) if a == 7}) == 1
+
+
+def test_examples_are_written_out_by_parts_and_read_back(spark, monkeypatch):
+    """Each assistant turn's example holds all turns before it, also where a conversation's examples are several tasks'."""
+    monkeypatch.setattr(chat_format, "PART_CHARS", 400)
+    rows = [(c, t, "assistant" if t % 2 else "user", f"c{c} t{t} </turn> \\ ###") for c, n in ((1, 31), (2, 30), (3, 1)) for t in range(n)] + [(None, 0, "user", "alone")]
+    segments = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert segments.agg({"last_part": "max"}).first()[0] > 9
+    written = chat_format.expand(segments, rest=True)
+    got = {(x.conv_id, x.example): x for x in written.collect()}
+    assert len(got) == written.count() and got.keys() == {(1, e) for e in range(16)} | {(2, e) for e in range(15)} | {(3, 0), (None, 0)}
+    for (conv, e), x in got.items():
+        own = [(role, text) for c, _, role, text in rows if c == conv]
+        assert [chat_format.parse_segment(s + "</turn>\n") for s in x.text.split("</turn>\n")[:-1]] == own[: 2 * e + 2]
+        assert x.loss_start is None if 2 * e + 1 >= len(own) else chat_format.unescape(x.text[x.loss_start : x.loss_end]) == own[2 * e + 1][1]
+    assert sorted((str(x.conv_id), x.n_turns, x.formatted_chars) for x in chat_format.read_examples(written).collect()) == [("1", 31, len(got[1, 15].text)), ("2", 30, len(got[2, 14].text)), ("3", 1, len(got[3, 0].text)), ("None", 1, len(got[None, 0].text))]
+    for spoilt in (written.filter("conv_id IS NULL OR conv_id <> 1 OR example <> 4"), written.selectExpr("conv_id", "example", "if(conv_id = 2 AND example = 9, substr(text, instr(text, '</turn>') + 8), text) AS text", "loss_start", "loss_end")):
+        with pytest.raises(Exception, match="ValueError"):
+            chat_format.read_examples(spoilt).collect()

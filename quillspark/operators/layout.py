@@ -53,14 +53,20 @@ def is_heading(text: Column, font_size: Column, body_size: Column) -> Column:
     bare = numbered & (_letters(F.regexp_replace(t, NUMBERING, "")) < 3)
     words = F.split(t, r"\s+", -1)
     cut_off = ~numbered & t.rlike(r"[-,;:.]$")
-    long = (F.size(words) > HEADING_MAX_WORDS) | (F.length(t) > HEADING_MAX_CHARS) | (F.length(t) < HEADING_MIN_CHARS)
-    return ~rejected & ~bare & (numbered | (font_size >= body_size * HEADING_RATIO)) & ~long & ~cut_off & ~F.lower(F.element_at(words, -1)).isin(*HEADING_NOT_LAST)
+    long = (F.length(t) > HEADING_MAX_CHARS) | (F.length(t) < HEADING_MIN_CHARS)
+    found = ~rejected & ~bare & (numbered | (font_size >= body_size * HEADING_RATIO)) & (F.size(words) <= HEADING_MAX_WORDS) & ~cut_off & ~F.lower(F.element_at(words, -1)).isin(*HEADING_NOT_LAST)
+    # Most blocks are too long, and patterns over all of their text would take most of the time.
+    return F.when(long, F.lit(False)).otherwise(found)
 
 
 def with_headings(blocks: DataFrame, doc: str = "paper_id") -> DataFrame:
-    """blocks(paper_id, ord, text, font_size, page, ...) with is_heading; the body size is the document's median size."""
+    """blocks(paper_id, ord, text, font_size, page, ...) with is_heading; the body size is the document's median size.
+
+    Blocks come sorted by document and ord, for windows that follow.
+    """
     body = F.coalesce(F.median("font_size").over(Window.partitionBy(doc)), F.lit(10.0))
-    return blocks.withColumn("_body", body).withColumn("is_heading", is_heading(F.col("text"), F.col("font_size"), F.col("_body"))).drop("_body")
+    # One sort serves this window and the next.
+    return blocks.repartition(doc).sortWithinPartitions(doc, "ord").withColumn("_body", body).withColumn("is_heading", is_heading(F.col("text"), F.col("font_size"), F.col("_body"))).drop("_body")
 
 
 def sections(blocks: DataFrame, doc: str = "paper_id") -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from quillspark.operators import inverted, lexical
+from quillspark.operators import inverted, layout, lexical
 from quillspark.plans.engine import Corpus
 from quillspark.plans.queries import ORACLE_SQL, QUERIES
 
@@ -78,3 +78,14 @@ def test_an_index_is_made_without_a_shuffle_of_postings(spark):
     got = inverted.search(index, terms.withColumn("field", lexical.F.lit("text")), 10)
     rows = lambda frame: sorted((r["query_id"], r["rank"], r["id"]) for r in frame.collect())
     assert rows(got) == rows(expected)
+
+
+def test_sections_are_sorted_once_and_patterns_skip_long_blocks(spark):
+    """Blocks are sorted once for both windows; a block too long for a heading meets no pattern."""
+    blocks = spark.createDataFrame([("p", i, t, 10.0, 1) for i, t in enumerate(["1 One", "soft­-\nly  cut", "a-\n b\n\n\n\nc\td ", "2 Two " + "x" * 90])], "paper_id string, ord int, text string, font_size double, page int")
+    found = layout.sections(blocks)
+    assert [tuple(x)[1:] for x in found.orderBy("section_no").collect()] == [(1, "1 One", "soft-\nly cut ab\n\nc d 2 Two " + "x" * 90)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sort [") == 1 and found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    heading = layout.with_headings(blocks)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < heading.index("(length(trim(") < heading.index("RLIKE")

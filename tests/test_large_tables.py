@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from quillspark.operators import inverted, layout, lexical
+from quillspark.operators import inverted, layout, lexical, matching
 from quillspark.plans.engine import Corpus
 from quillspark.plans.queries import ORACLE_SQL, QUERIES
 
@@ -89,3 +89,25 @@ def test_sections_are_sorted_once_and_patterns_skip_long_blocks(spark):
     assert plan.count("Sort [") == 1 and found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     heading = layout.with_headings(blocks)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < heading.index("(length(trim(") < heading.index("RLIKE")
+
+
+def test_titles_are_made_once_and_good_matches_ask_for_no_others(spark):
+    """A file whose own title is a candidate meets no others by words; titles of more words than are told apart are compared too."""
+    r = random.Random(4)
+    vocabulary = [f"word{k}" for k in range(60)] + ["слово", "иное"]
+    title = lambda: " ".join(r.sample(vocabulary, r.choice([1, 2, 5, 9, 22, 30, 45])))
+    titles = [title() for _ in range(120)] + ["слово", "слово иное", "word1 word2 word3 word4 word5 word6 word7"]
+    rows = [(f"f{k:03}", t) for k, t in enumerate(titles)] + [(f"g{k:03}", " ".join(w for w in t.split() if r.random() < 0.8)) for k, t in enumerate(titles)] + [(f"h{k:03}", title()) for k in range(150)]
+    files, candidates = spark.createDataFrame(rows, "file string, title string"), spark.createDataFrame([(f"c{k:03}", t) for k, t in enumerate(titles)], "candidate string, title string")
+    found = matching.fuzzy_match(files, candidates)
+    a, b = (matching._titles(t, k).groupBy("words", "slug").agg(lexical.F.min(k).alias(k)) for t, k in ((files, "file"), (candidates, "candidate")))
+    pairs = a.crossJoin(b.select("candidate", lexical.F.col("words").alias("w2"), lexical.F.col("slug").alias("s2"))).withColumnsRenamed({"words": "w1", "slug": "s1"})
+    best = matching._best(matching._scored(pairs)).join(a, "file").drop("file")
+    expected = matching._titles(files, "file").join(best, ["words", "slug"]).select("file", "candidate", "score")
+    assert sorted(tuple(x) for x in found.collect()) == sorted(tuple(x) for x in expected.collect()) and found.count() > 250
+    assert "translate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    own = a.filter("file LIKE 'f%'")
+    begun = matching._best(matching._scored_by_beginning(own, b))
+    asked = matching._by_rare_words(own, b, begun)
+    exact = {x.file for x in begun.filter("score = 1.2").collect()}
+    assert len(exact) > 100 and not exact & {x.file for x in asked.collect()}

@@ -13,10 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.workers import ship_package
+from quillspark.functions.workers import bound_batches, ship_package
 
-#: Rows and bytes of an Arrow batch sent to Python. Texts can be long, so batches are short: memory stays bounded.
-ARROW_ROWS, ARROW_BYTES = 512, 2 << 20
 #: A side of a join is broadcast only when a count shows it has at most so many rows (of two or three longs each).
 BROADCAST_ROWS = 1_000_000
 #: Narrow rows of a task of a shuffle whose number of partitions is fixed.
@@ -30,15 +28,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def python_workers(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, and send this package to the executors, where it may not be installed.
-
-    Plans are executed long after the operator has returned, with the settings of then, so the bounds stay. A session
-    that has smaller ones keeps them.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bound the Arrow batches of this session, and send this package to the executors, where it may not be installed."""
+    bound_batches(spark)
     ship_package(spark)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.text import count_tokens, padded
-from quillspark.functions.workers import ship_package
+from quillspark.functions.workers import bound_batches, ship_package
 from quillspark.operators.layout import split_sections
 
 # Budget and overlap of a chunk, and what a chunk must have to be kept.
@@ -65,8 +65,9 @@ def chunk_sections(docs: DataFrame, key: str = "paper_id", md: str = "md", budge
 
     tokenize cuts a text into the tokens by which budgets are counted, white space included (a byte-pair encoding's, for example);
     without it tokens are words between white space, sections are split and short ones passed through in the JVM, and
-    only sections over budget go to Python.
+    only sections over budget go to Python, in batches of few rows and bytes: a worker holds one batch, or one longer section.
     """
+    bound_batches(docs.sparkSession)
     ship_package(docs.sparkSession)
     parts = docs.select(key, F.posexplode(split_sections(F.col(md))).alias("section_no", "s")).select(key, "section_no", F.col("s.heading").alias("section"), F.col("s.body").alias("body"))
 

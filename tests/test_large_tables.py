@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from quillspark.operators import inverted, layout, lexical, matching
+from quillspark.operators import chunking, inverted, layout, lexical, matching
 from quillspark.plans.engine import Corpus
 from quillspark.plans.queries import ORACLE_SQL, QUERIES
 
@@ -111,3 +111,14 @@ def test_titles_are_made_once_and_good_matches_ask_for_no_others(spark):
     asked = matching._by_rare_words(own, b, begun)
     exact = {x.file for x in begun.filter("score = 1.2").collect()}
     assert len(exact) > 100 and not exact & {x.file for x in asked.collect()}
+
+
+def test_long_sections_go_to_python_in_small_batches(spark):
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "64m"}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    docs = spark.createDataFrame([(f"p{k}", "## A\n\n" + "Some longer words stand here. " * 2000) for k in range(40)], "paper_id string, md string")
+    chunks = chunking.chunk_sections(docs, budget=128, overlap=16)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+    got = chunks.groupBy("paper_id").agg({"tokens": "sum", "idx": "count"}).collect()
+    assert len(got) == 40 and len({tuple(x)[1:] for x in got}) == 1 and got[0]["sum(tokens)"] >= 10000

@@ -79,6 +79,8 @@ def chunk_sections(docs: DataFrame, key: str = "paper_id", md: str = "md", budge
     def counted(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: len(tokenize(t or "")))
 
+    # Of what is exploded Spark first filters the empty, which would pack each section twice, in two workers a task.
+    packed = packed.asNondeterministic()
     count = count_tokens if tokenize is None else lambda c: counted(F.col(c))
     parts = parts.withColumn("size", count("body"))
     fits = F.col("size") <= budget

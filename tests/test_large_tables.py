@@ -122,3 +122,4 @@ def test_long_sections_go_to_python_in_small_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
     got = chunks.groupBy("paper_id").agg({"tokens": "sum", "idx": "count"}).collect()
     assert len(got) == 40 and len({tuple(x)[1:] for x in got}) == 1 and got[0]["sum(tokens)"] >= 10000
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1

@@ -1,13 +1,12 @@
 """An index that takes additions, changes and deletions: immutable segments, tombstones, merges by size.
 
-A folder holds segments/<name>/ (the tables of one BlockIndex, with lengths(id, field, dl) of its documents),
+A folder holds segments/<name>/ (rows and slices of one BlockIndex, as its making stored them),
 dead/version=<n>/ (segment, id: documents that a later segment replaced or that were deleted) and versions/version=<n>/
 (one row for each segment of a version). A version's own file is written last, as one file, so a job that is killed
 leaves the version before it; what it had written is not referred to by any version, and may be removed with vacuum().
 
-A search of a version gives the scores of an index built anew. Statistics are those of the live documents. Greatest
-impacts in a segment were computed with its own average length a, but a search needs bounds for the average length b of
-now: an impact grows at most by the factor max(1, b / a), and falls at most to min(1, b / a) of what it was.
+A search of a version gives the scores of an index built anew. Statistics are those of the live documents; impacts in a
+slice are bounds by its own average length in any case, so they are for those of any version.
 """
 
 from __future__ import annotations
@@ -16,12 +15,11 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.storage import stored
 from quillspark.operators import inverted
-from quillspark.operators.lexical import small
 
 #: So many segments of about one size (within this factor) are merged; a segment is rewritten when this share of it is dead.
 FANOUT, DEAD_SHARE = 8, 0.25
@@ -66,7 +64,8 @@ class SegmentedIndex:
         if dead is not None:
             dead.write.mode("overwrite").parquet(f"{self.path}/dead/version={n}")
             held |= {r["segment"]: r["count"] for r in spark.read.parquet(f"{self.path}/dead/version={n}").groupBy("segment").count().collect()}
-        rows = [(s, spark.read.parquet(self._at(s, "ids")).count(), held[s]) for s in segments]
+        docs = {r["segment"]: r["docs"] for r in self._heads(segments).groupBy("segment").agg(F.sum(F.size("ids")).alias("docs")).collect()} if segments else {}
+        rows = [(s, docs.get(s, 0), held[s]) for s in segments]
         spark.createDataFrame(rows, "segment string, docs long, dead long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/version={n}")
 
     def _at(self, segment: str, table: str) -> str:
@@ -77,6 +76,10 @@ class SegmentedIndex:
         own = [self.spark.read.parquet(self._at(s, table)).withColumn("segment", F.lit(s)) for s in segments]
         return reduce(DataFrame.unionByName, own)
 
+    def _heads(self, segments: list[str]) -> DataFrame:
+        """(segment, slice, ids) of slices, each once."""
+        return self._each("slices", segments).filter(F.col("field") == self.fields[0]).select("segment", "slice", "ids")
+
     def _dead(self, n: int) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.path}/dead/version={n}") if n and any(d for _, _, d in self.segments(n)) else None
 
@@ -93,22 +96,15 @@ class SegmentedIndex:
         gone = [x.select(F.col(self.key).alias("id")) for x in (docs, deleted) if x is not None]
         dead = self._dead(n)
         if old and gone:
-            ids = self._each("ids", old).join(reduce(DataFrame.union, gone).distinct(), "id", "left_semi").select("segment", "id")
+            ids = self._heads(old).select("segment", F.explode("ids").alias("id")).join(reduce(DataFrame.union, gone).distinct(), "id", "left_semi").select("segment", "id")
             dead = (ids if dead is None else ids.union(dead.select("segment", "id"))).distinct()
         segments = [*old, self._add(docs)] if docs is not None else old
         self._commit(n + 1, segments, dead)
         return n + 1
 
     def _add(self, docs: DataFrame) -> str:
-        index = inverted.build(docs, self.key, self.fields, self.analysers)
-        return self._write(index, docs.select(F.col(self.key).alias("id")))
-
-    def _write(self, index: inverted.BlockIndex, ids: DataFrame) -> str:
         segment = uuid.uuid4().hex
-        index.write(f"{self.path}/segments/{segment}")
-        ids.sortWithinPartitions("id").write.parquet(self._at(segment, "ids"))
-        lengths = index.postings.groupBy("id", "field").agg(F.first("dl").alias("dl"))
-        lengths.sortWithinPartitions("id").write.parquet(self._at(segment, "lengths"))
+        inverted.build(docs, self.key, self.fields, self.analysers, f"{self.path}/segments/{segment}")
         return segment
 
     def merge(self, fanout: int = FANOUT, dead_share: float = DEAD_SHARE) -> int | None:
@@ -131,11 +127,9 @@ class SegmentedIndex:
         return n + 1
 
     def _merged(self, segments: list[str], dead: DataFrame | None) -> str:
-        live = (lambda rows: rows) if dead is None else lambda rows: rows.join(small(dead), ["segment", "id"], "left_anti")
-        ids = stored(live(self._each("ids", segments)).select("id"))
-        postings = stored(live(self._each("postings", segments)).drop("segment"))
-        stats = stored(_stats(live(self._each("lengths", segments)), ids.count(), self.fields))
-        return self._write(inverted.from_postings(postings, stats), ids)
+        segment = uuid.uuid4().hex
+        inverted.merged(self._blocks(segments), self._slices(segments, segments, dead), f"{self.path}/segments/{segment}")
+        return segment
 
     def vacuum(self) -> list[str]:
         """Remove the segments that the last version doesn't have, and all earlier versions; nobody may be reading them."""
@@ -155,22 +149,29 @@ class SegmentedIndex:
         listed = self.segments(n)
         if not listed:
             raise ValueError("nothing has been indexed")
-        names, spoilt, dead = [s for s, _, _ in listed], [s for s, _, d in listed if d], self._dead(n)
-        live = (lambda rows: rows) if dead is None else lambda rows: rows.join(small(dead), ["segment", "id"], "left_anti")
-        stats = stored(_stats(live(self._each("lengths", names)), sum(docs - d for _, docs, d in listed), self.fields))
-        then = self._each("stats", names).select("segment", "field", F.col("avg_dl").alias("then"))
-        growth = stored(then.join(F.broadcast(stats), "field").select("segment", "field", _ratio(F.col("avg_dl"), F.col("then")).alias("growth")))
-        scaled = lambda rows: rows.join(F.broadcast(growth), ["segment", "field"])
-        blocks = scaled(self._each("blocks", names)).withColumn("most", F.col("most") * F.greatest(F.lit(1.0), "growth")).drop("growth")
-        # Any of the KTH best of a term may be dead in a segment that has dead ones: it bounds nothing there.
-        kth = F.when(~F.col("segment").isin(spoilt) if spoilt else F.lit(True), F.col("kth") * F.least(F.lit(1.0), "growth"))
-        terms = scaled(self._each("terms", names)).select("field", "term", "df", (F.col("most") * F.greatest(F.lit(1.0), "growth")).alias("most"), kth.alias("kth"))
-        postings = self._each("postings", names)
-        if dead is not None:
-            lost = postings.join(small(dead), ["segment", "id"], "left_semi").groupBy("field", "term").agg((-F.count("*")).alias("df"))
-            terms = terms.unionByName(lost, allowMissingColumns=True)
-        terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.max("kth").alias("kth")).filter("df > 0")
-        return inverted.BlockIndex(blocks if dead is not None else blocks.drop("segment"), live(postings).drop("segment"), terms, stats, dead)
+        names, spoilt = [s for s, _, _ in listed], [s for s, _, d in listed if d]
+        slices = stored(self._slices(names, spoilt, self._dead(n)))
+        return inverted.BlockIndex(self._blocks(names), slices, stored(inverted.stats_of(slices)), bool(spoilt))
+
+    def _blocks(self, segments: list[str]) -> DataFrame:
+        rows = self._numbered("rows", segments).filter("term IS NOT NULL")
+        return rows.select("slice", "field", "term", "n", "most", "kth", "docs", "tfs", "deltas")
+
+    def _slices(self, segments: list[str], spoilt: list[str], dead: DataFrame | None) -> DataFrame:
+        """The slices of segments, of which those in spoilt have documents in dead(segment, id): live says which are left."""
+        slices = self._numbered("slices", segments).drop("segment")
+        if dead is None or not spoilt:
+            return slices
+        own = self._numbered("slices", segments).filter(F.col("segment").isin(spoilt) & (F.col("field") == self.fields[0]))
+        each = own.select("segment", "slice", F.posexplode("ids").alias("doc", "id"))
+        flags = each.join(dead.withColumn("dead", F.lit(True)), ["segment", "id"], "left").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("doc", F.col("dead").isNull().alias("live")))).alias("x"))
+        live = flags.select("slice", F.col("x.live").alias("live")).filter(F.exists("live", lambda x: ~x))
+        return slices.drop("live").join(live, "slice", "left").select(*slices.columns)
+
+    def _numbered(self, table: str, segments: list[str]) -> DataFrame:
+        """A table of several segments, in which each slice has a number of its own."""
+        own = [self.spark.read.parquet(self._at(s, table)).withColumns({"segment": F.lit(s), "slice": F.col("slice") + F.lit(i << 48)}) for i, s in enumerate(segments)]
+        return reduce(DataFrame.unionByName, own)
 
 
 def _tier(n: int, base: int) -> int:
@@ -179,15 +180,3 @@ def _tier(n: int, base: int) -> int:
     while n > 0:
         n, out = n // base, out + 1
     return out
-
-
-def _ratio(now: Column, then: Column) -> Column:
-    """now / then, where a field without any words has no impacts to scale."""
-    return F.when((now > 0) & (then > 0), now / then).otherwise(1.0)
-
-
-def _stats(lengths: DataFrame, docs: int, fields: list[str]) -> DataFrame:
-    """(field, n_docs, avg_dl) of documents, of which those without words in a field have no length there."""
-    named = lengths.sparkSession.createDataFrame([(f,) for f in fields], "field string")
-    sums = named.join(lengths.groupBy("field").agg(F.sum("dl").alias("total")), "field", "left")
-    return sums.select("field", F.lit(docs).cast("long").alias("n_docs"), (F.coalesce("total", F.lit(0)) / F.lit(max(1, docs))).cast("double").alias("avg_dl"))
